@@ -28,18 +28,21 @@ def held_out(doc_id) -> F.Column:
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
-    """A dictionary for each language, from a bounded sample of labelled rows: those first by a hash of the id, at most sample_docs and sample_bytes a language.
+    """A dictionary for each language, from a bounded sample of labelled rows: of the sample_docs rows first by a hash of the id, whole texts up to sample_bytes, those of at most a fortieth of that first.
 
-    Only ids and languages are ranked; the texts of the chosen few are read afterwards. Each text gives at most its first sample_bytes / 40 bytes to the dictionary, so that one long text doesn't fill it."""
+    Only ids and languages are ranked; the texts of the chosen few are read afterwards."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = labelled.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample_docs)
     chosen = chosen.select(F.col("doc_id").alias("chosen_id"), "nth")
-    rows = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).select("lang", "nth", F.expr(f"substring(text, 1, {sample_bytes // 40})").alias("text"))
+    rows = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id"))
+    rows = rows.withColumn("n", F.octet_length("text")).withColumn("long", F.col("n") > sample_bytes // 40)
+    filling = Window.partitionBy("lang").orderBy("long", "nth", "text")
+    rows = rows.withColumn("held", F.sum("n").over(filling.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("held") <= sample_bytes) | (F.col("held") == F.col("n")))
     found: dict[str, list[bytes]] = {}
-    for lang, _, text in sorted(rows.collect()):
+    for lang, _, _, text in sorted(rows.select("lang", "long", "nth", "text").collect()):
         found.setdefault(lang, []).append(text.encode())
-    return {lang: b"\n".join(texts)[:sample_bytes] for lang, texts in sorted(found.items())}
+    return {lang: b"\n".join(texts) for lang, texts in sorted(found.items())}
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], level: int = 3) -> DataFrame:
@@ -73,5 +76,6 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], level: int = 3) ->
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, margin and rejected, learned from the rows that aren't held out. A row with a null id is never held out."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     found = predict(docs, learn(docs))
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "margin", ((F.col("lang_pred") == "und") | (F.col("margin") < MARGIN)).alias("rejected"))

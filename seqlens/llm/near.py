@@ -84,14 +84,14 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, similar: int = SIMILAR) -> DataFrame:
     """Of each row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = written(docs.mapInArrow(_sketch(k), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "sketches")
     live = rows.where("n_shingles > 0 and doc_id is not null")
+    firsts = live.groupBy("set_key").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands"), "doc_id").alias("one"))
     reps = live.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     named = written(rows.select("doc_id", "n_shingles", "set_key").join(reps, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep")), "named")
 
-    first = live.join(reps, (live.doc_id == reps.rep) & (live.set_key == reps.set_key), "left_semi")
-    banded = first.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band")).distinct()
+    banded = firsts.select(F.col("one.doc_id").alias("node"), F.col("one.n_shingles").alias("n"), F.explode("one.bands").alias("band"))
     leads = banded.groupBy("band").agg(F.count("*").alias("held"), F.min(F.struct(F.xxhash64("node", "band").alias("h"), "node", "n")).alias("lead")).where("held > 1")
     members = written(banded.join(leads, "band").select("band", "node", "n", "held", F.col("lead.node").alias("leader"), F.col("lead.n").alias("leader_n")), "members")
 
