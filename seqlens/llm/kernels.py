@@ -16,6 +16,10 @@ _GOLD = U(0x9E3779B97F4A7C15)
 EMPTY = U(_MASK)
 
 
+def _times(n: int) -> np.uint64:
+    return U(n * 0x9E3779B97F4A7C15 & _MASK)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -73,7 +77,7 @@ def shingles(hashes: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, n
     rolled = np.zeros(n, U)
     for j in range(k):
         rolled += padded[j : j + n] * PLACES[j]
-    rolled = mix(rolled + U(k) * _GOLD)
+    rolled = mix(rolled + _times(k))
     out, sizes = [], np.zeros(len(off), np.int64)
     for d in range(len(off) - 1):
         a, b = int(off[d]), int(off[d + 1])
@@ -81,7 +85,7 @@ def shingles(hashes: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, n
             got = np.unique(rolled[a : b - k + 1])
         elif b > a:
             m = b - a
-            got = mix((hashes[a:b] * PLACES[:m]).sum(dtype=U, keepdims=True) + U(m) * _GOLD)
+            got = mix((hashes[a:b] * PLACES[:m]).sum(dtype=U, keepdims=True) + _times(m))
         else:
             continue
         out.append(got)
@@ -101,7 +105,7 @@ def fast_sketches(values: np.ndarray, off: np.ndarray, t: int) -> np.ndarray:
     for i in range(2 * t):
         if not len(values):
             break
-        h = mix(values + U(i + 1) * _GOLD)
+        h = mix(values + _times(i + 1))
         place = ((h >> U(32)) % U(t)).astype(np.int64) if i < t else i - t
         np.minimum.at(out, owner * t + place, (U(i) << U(48)) | mix(h) >> U(16))
         live = np.unique(owner)

@@ -1,7 +1,7 @@
 """Language identification by compression (operator 7).
 
 Each language has a raw-content zstandard dictionary: texts of that language. A text is compressed once with each; the dictionary that makes it smallest names the language.
-Nulls, empty texts and texts without a letter are `und`, score 0. Ties go to the language first by code point, with score 0. Training rows without text or language are left out; with none at all every text is `und`.
+Text is lower-cased and all but letters become spaces before it is learned from or compressed. Nulls, empty texts and texts without a letter are `und`, score 0. Ties go to the language with more labelled rows, then to the first by code point, with score 0. Training rows without text or language are left out; with none at all every text is `und`.
 """
 
 from __future__ import annotations
@@ -17,10 +17,14 @@ from pyspark.sql.window import Window
 from .common import slices
 
 #: Bounds of what is learned from: documents and bytes for each language.
-SAMPLE_DOCS, SAMPLE_BYTES = 400, 200_000
+SAMPLE_DOCS, SAMPLE_BYTES = 400, 100_000
 #: A text is rejected if the best dictionary saves less than this share against the runner-up.
-MARGIN = 0.005
-_LETTER = re.compile(r"[^\W\d_]")
+MARGIN = 0.002
+_LETTER, _OTHER = re.compile(r"[^\W\d_]"), re.compile(r"[\W\d_]+")
+
+
+def folded(text: str) -> bytes:
+    return _OTHER.sub(" ", text.lower()).encode()
 
 
 def held_out(doc_id) -> F.Column:
@@ -28,7 +32,7 @@ def held_out(doc_id) -> F.Column:
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
-    """A dictionary for each language, from a bounded sample of labelled rows: of the sample_docs rows first by a hash of the id, whole texts up to sample_bytes, those of at most a fortieth of that first.
+    """A dictionary for each language, from a bounded sample of labelled rows: of the sample_docs rows first by a hash of the id, whole texts up to sample_bytes, those of at most a twentieth of that first.
 
     Only ids and languages are ranked; the texts of the chosen few are read afterwards."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -36,17 +40,18 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = S
     chosen = labelled.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample_docs)
     chosen = chosen.select(F.col("doc_id").alias("chosen_id"), "nth")
     rows = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id"))
-    rows = rows.withColumn("n", F.octet_length("text")).withColumn("long", F.col("n") > sample_bytes // 40)
+    rows = rows.withColumn("n", F.octet_length("text")).withColumn("long", F.col("n") > sample_bytes // 20)
     filling = Window.partitionBy("lang").orderBy("long", "nth", "text")
     rows = rows.withColumn("held", F.sum("n").over(filling.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("held") <= sample_bytes) | (F.col("held") == F.col("n")))
     found: dict[str, list[bytes]] = {}
     for lang, _, _, text in sorted(rows.select("lang", "long", "nth", "text").collect()):
-        found.setdefault(lang, []).append(text.encode())
-    return {lang: b"\n".join(texts) for lang, texts in sorted(found.items())}
+        found.setdefault(lang, []).append(folded(text))
+    often = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
+    return {lang: b"\n".join(found[lang]) for lang in sorted(found, key=lambda x: (-often[x], x))}
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], level: int = 3) -> DataFrame:
-    """doc_id, lang_pred, score (0 to 1) and margin: the share of the runner-up's bytes that the best dictionary saves."""
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], level: int = 6) -> DataFrame:
+    """dictionaries: by language, in the order that ties go by. Returns doc_id, lang_pred, score (0 to 1) and margin: the share of the runner-up's bytes that the best dictionary saves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard as zstd
@@ -64,7 +69,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], level: int = 3) ->
                     if not langs or not _LETTER.search(text):
                         preds.append("und"), scores.append(0.0), margins.append(0.0)
                         continue
-                    raw = text.encode()
+                    raw = folded(text)
                     sizes = sorted((len(coder.compress(raw)), k) for k, coder in enumerate(coders))
                     best, second = sizes[0], sizes[1] if len(sizes) > 1 else (len(raw) + 20, -1)
                     margin = max(0.0, 1 - best[0] / max(second[0], 1))
