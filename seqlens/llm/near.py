@@ -3,7 +3,7 @@
 A document is its doc_id; rows repeated under one id are one document. Texts without words are linked with nothing, as are rows with a null id, which stay (component null). An empty table gives an empty result.
 
 Plan. One pass sketches every text. Equal sets fold into one representative before banding, so copies make no pairs. In each bucket of a band every member is verified against one leader, chosen by hash (a star, not all pairs); links found that way are contracted to components.
-Only where a bucket still holds more than one component are its other members compared across components. Verification is exact, on full sets, as a join of arrays.
+Where a bucket still holds more than one component its documents are searched once more for pairs across components, exactly and rarest shingles first, so a passage that many share makes no pairs. Verification is exact, on full sets, as a join of arrays.
 """
 
 from __future__ import annotations
@@ -82,6 +82,23 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     return stars.select(F.col("b").alias("node"), F.col("a").alias("component")).unionAll(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 
+def alike_candidates(sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """Pairs (a, b) of different components, one of them minor, that can be similar; none that is gets lost.
+
+    sets: node, shingles, component, minor. Two similar sets share one of their (1 - similar%) * size + 1 first shingles in any order common to all (prefix filtering). Rarest first, so what many documents share comes last and meets no one; shingles of one set alone are only counted."""
+    held = written(sets.select(F.monotonically_increasing_id().alias("u"), "node", "component", "minor", "shingles"), "searched")
+    each = held.select("u", F.explode("shingles").alias("s"))
+    often = each.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    shared = each.join(often, "s").groupBy("u").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("shared"))
+    n = F.size("shingles")
+    first = n - F.ceil(n * similar / 100).cast("int") + 1 - (n - F.size("shared"))  # of which the lone shingles take their places
+    heads = held.join(shared, "u").select("node", "component", "minor", n.alias("n"), F.explode(F.slice("shared", 1, F.greatest(first, F.lit(0)))).alias("x")).select("node", "component", "minor", "n", F.col("x.s").alias("s"))
+    heads = written(heads, "heads")
+    left = heads.where("minor").select("s", F.col("node").alias("x"), F.col("component").alias("xc"), F.col("n").alias("xn"))
+    met = left.join(heads, "s").where((F.col("xc") != F.col("component")) & (~F.col("minor") | (F.col("x") < F.col("node"))) & (100 * F.least("n", "xn") >= similar * F.greatest("n", "xn")))
+    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, similar: int = SIMILAR) -> DataFrame:
     """Of each row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -105,14 +122,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, similar: int = SIMILAR) -> Data
     links = written(verified(stars, sets, similar).unionAll(same_id), "links")
     found = written(components(links), "components")
 
-    # buckets that still hold several components: their minorities against everything else in them
+    # documents of buckets that still hold several components: exact search among them
     placed = members.where("held > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counted = placed.groupBy("band", "component").agg(F.count("*").alias("n_in"))
     major = counted.groupBy("band").agg(F.count("*").alias("kinds"), F.max(F.struct("n_in", "component")).alias("most")).where("kinds > 1").select("band", F.col("most.component").alias("major"))
-    unsettled = written(placed.where("node <> leader").join(major, "band"), "unsettled")
-    left = unsettled.where("component <> major").select("band", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
-    pairs = left.join(unsettled, "band").where((F.col("xc") != F.col("component")) & ((F.col("component") == F.col("major")) | (F.col("x") < F.col("node"))) & sized(F.col("xn"), F.col("n")))
-    pairs = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    unsettled = placed.where("node <> leader").join(major, "band").groupBy("node").agg(F.first("component").alias("component"), F.bool_or(F.col("component") != F.col("major")).alias("minor"))
+    pairs = alike_candidates(sets.join(unsettled, "node"), similar).join(stars, ["a", "b"], "left_anti")
     more = written(verified(pairs, sets, similar), "links")
     if not more.isEmpty():
         found = written(components(links.unionAll(more)), "components")
