@@ -1,7 +1,7 @@
 """Document fingerprints by one-permutation MinHash (operator 10). DataFrame operations only.
 
 The words of the lower-cased text form shingles of five (fewer words are one shingle). Each shingle is hashed once; the hash's top bits name one of BINS bins, and a bin keeps its least hash.
-An empty bin borrows from a filled one by optimal densification: bins are tried in an order of its own, fixed by a rule, until a filled one is met. Of each bin the low 8 bits are stored.
+An empty bin borrows from a filled one by optimal densification: it tries the bins that a hash of it and the number of the try name, until a filled one is met. Of each bin the low 8 bits are stored.
 Likeness of two fingerprints is their share of equal bins, corrected for the 1 in 256 that agree by chance, from 0 to 1. A text without words has an empty fingerprint, like another such (1) and unlike all else (0).
 
 The edited text of a document has its last half (floor(n_chars / 2) code points) replaced by the first as many of the next document's, which is the one with the next smaller id, and for the smallest id the largest. Null text is empty.
@@ -20,9 +20,8 @@ from .common import WORD, written
 
 BINS = 128
 SHINGLE = 5
-#: Filled bins up to which an empty bin looks at all of them instead of at its order of tries.
-FEW = 24
-TRIES = 6
+#: Ends of the stages in which an empty bin's tries are looked at; beyond the last (1 in 10**13 for two filled bins) the first filled bin lends.
+TRIES = (8, 32, 128, 512, 2048)
 
 
 def let(value: Column, use) -> Column:
@@ -42,20 +41,7 @@ def shingle_hashes(text: Column, k: int = SHINGLE) -> Column:
     return let(words, rolled)
 
 
-def _rank_rule() -> Column:
-    """rank[b][j]: where bin j stands in empty bin b's order of tries, as an array of arrays of hashes."""
-    bins = F.sequence(F.lit(0), F.lit(BINS - 1))
-    return F.transform(bins, lambda b: F.transform(bins, lambda j: F.xxhash64(b, j)))
-
-
-def densification(spark) -> tuple[Column, Column]:
-    """Literals made by the rule: each bin's hash for every other, and each bin's order of tries."""
-    order = F.transform(_rank_rule(), lambda row: F.transform(F.array_sort(F.transform(row, lambda h, j: F.struct(h.alias("h"), j.alias("j")))), lambda s: s["j"]))
-    ranks, orders = spark.range(1).select(_rank_rule(), order).first()
-    return F.array(*[F.array(*map(F.lit, r)) for r in ranks]), F.array(*[F.array(*map(F.lit, r)) for r in orders])
-
-
-def bins_of(hashes: Column, ranks: Column, orders: Column) -> Column:
+def bins_of(hashes: Column) -> Column:
     """The BINS values (low 8 bits) of a fingerprint; empty for no hashes."""
     shift = 64 - (BINS - 1).bit_length()
     place = lambda h: F.shiftright(h, shift) + BINS // 2  # noqa: E731  0 to BINS - 1, rising with the hash
@@ -70,10 +56,9 @@ def bins_of(hashes: Column, ranks: Column, orders: Column) -> Column:
             filled = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.array_position(p, b).cast("int"))
 
             def borrow(spots: Column) -> Column:
-                few = lambda b: F.array_min(F.transform(p, lambda j, i: F.struct(F.get(F.get(ranks, b), j).alias("h"), (i + 1).alias("i"))))["i"]
-                tried = lambda row: F.filter(row, lambda j: F.get(spots, j) > 0)
-                many = lambda b: let(F.get(orders, b), lambda row: F.get(spots, let(tried(F.slice(row, 1, TRIES)), lambda got: F.coalesce(F.get(got, F.lit(0)), F.get(tried(row), F.lit(0))))))
-                return F.transform(spots, lambda s, b: F.when(s > 0, s).when(F.size(p) <= FEW, few(b)).otherwise(many(b)))
+                tried = lambda b, low, high: F.get(F.filter(F.transform(F.sequence(F.lit(low), F.lit(high)), lambda t: F.get(spots, F.pmod(F.xxhash64(b, t), F.lit(BINS)).cast("int"))), lambda s: s > 0), F.lit(0))
+                stages = list(zip((0, *TRIES[:-1]), TRIES))
+                return F.transform(spots, lambda s, b: F.when(s > 0, s).when(F.size(p) == 1, 1).otherwise(F.coalesce(*[tried(b, low + 1, high) for low, high in stages], F.lit(1))))
 
             return let(filled, borrow)
 
@@ -111,16 +96,14 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Of each row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    spark = docs.sparkSession
     lowest = -(1 << 63)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     order = written(neighbours(docs), "neighbours")
-    ranks, orders = densification(spark)
     placed = docs.join(order, ["id", "h"])
     heads = placed.select(F.col("for_id").alias("id"), F.col("for_h").alias("h"), F.expr("substring(text, 1, cast(floor(for_n / 2) as int))").alias("head")).dropDuplicates(["id", "h"])
     edited = placed.select("id", "h", "n", "text", "next_id", "next_h").join(heads, ["id", "h"])
     edited = edited.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n - floor(n / 2) as int))"), "head"))
-    marked = edited.select("id", "h", "n", "next_id", "next_h", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), bins_of(shingle_hashes(F.col("text")), ranks, orders).alias("bins"), bins_of(shingle_hashes(F.col("edited")), ranks, orders).alias("edited_bins"))
+    marked = edited.select("id", "h", "n", "next_id", "next_h", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), bins_of(shingle_hashes(F.col("text"))).alias("bins"), bins_of(shingle_hashes(F.col("edited"))).alias("edited_bins"))
     found = written(marked, "fingerprints")
     nexts = found.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("bins").alias("next_bins")).dropDuplicates(["next_id", "next_h"])
     return found.join(nexts, ["next_id", "next_h"]).select(F.when(F.col("id") != lowest, F.col("id")).alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256", packed(F.col("bins")).alias("fingerprint"), packed(F.col("edited_bins")).alias("edited_fingerprint"), likeness(F.col("bins"), F.col("edited_bins")).alias("near_edited"), likeness(F.col("bins"), F.col("next_bins")).alias("near_next"))
