@@ -9,6 +9,8 @@ Plan. Texts are read once, for their sizes. Cumulative sums never put a source i
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,14 +52,14 @@ def _cut(ahead: DataFrame, budget: float) -> tuple[float, float]:
     return (row[0], row[1]) if row else (None, 0)
 
 
-def mixed(docs: DataFrame, share: float = 1.0, seed: int = 17, rows_in_bucket: int = 20_000) -> tuple[DataFrame, DataFrame]:
+def mixed(docs: DataFrame, share: float = 1.0, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """(sizes, mix): sizes has doc_id, source, size, source_size, target of each row; mix has a row for each time a document is taken, range-sorted by finish time: finish, doc_id, source, size, pass (0, 1, 2)."""
     spark = docs.sparkSession
     rows = written(sized(docs).withColumn("h", F.xxhash64(F.lit(seed), "doc_id")), "sizes")
     per_source = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # a row for each source
     sizes = {r["source"]: r["size"] for r in per_source}
     goal = targets(sizes, share=share) if sizes else {}
-    buckets = {r["source"]: max(1, -(-r["n"] // rows_in_bucket)) for r in per_source}
+    buckets = {r["source"]: math.isqrt(r["n"]) + 1 for r in per_source}  # as many buckets as rows in each
     plan = spark.createDataFrame([(s, n, float(goal[s]), buckets[s]) for s, n in sizes.items()], "of string, source_size long, target double, buckets int")
     known = rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     # the hash's top 31 bits, spread over the source's buckets in the order of the hash
