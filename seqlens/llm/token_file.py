@@ -34,35 +34,49 @@ _CHECKSUMS = 1 << 7
 #: Where a word has these characters only, its pieces can be told without the library: composed Latin letters, digits and signs.
 _PLAIN = re.compile("[\x21-\x7e\xa1-įı-ɏ]*")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
+#: Bytes of characters from U+0240 on, combining marks among them. Without them A-Z may be lower-cased before the library does it.
+_FAR = re.compile(b"[\xc9-\xff]")
+# The byte alphabet of byte-level models: printable Latin-1 bytes stand for themselves, the others for the characters from U+0100 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 
 
 class WordIds(dict):
-    """Word (bytes) to its ids (bytes), filled by the library as words are met and emptied when it holds REMEMBER of them."""
+    """Word (bytes) to its ids (bytes), filled by the library as words are met, up to REMEMBER of them; further ones are encoded each time."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.pieces = Tokenizer.from_file(path), {}
+        self.model = self.tokenizer.model
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def piece(self, text: str) -> bytes:
+        """Ids of one piece as the splitting pattern gives it, lower-cased: the library's merges alone."""
+        return np.array([t.id for t in self.model.tokenize("".join(map(_BYTES.__getitem__, text.encode())))], "<u4").tobytes()
+
+    def text(self, raw: bytes) -> bytes:
+        """Ids of a whole text (UTF-8)."""
+        if not _FAR.search(raw):
+            raw = raw.lower()
+        return b"".join(map(self.__getitem__, raw.split()))
+
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= REMEMBER:
-            self.clear()
         text = word.decode()
         if len(text) < 100 and _PLAIN.fullmatch(text):
             out = []
             for piece in _PIECE.findall(text.lower()):
                 if (ids := self.pieces.get(piece)) is None:
-                    if len(self.pieces) >= REMEMBER:
-                        self.pieces.clear()
-                    ids = self.pieces[piece] = self.encode(piece)
+                    ids = self.piece(piece)
+                    if len(self.pieces) < REMEMBER:
+                        self.pieces[piece] = ids
                 out.append(ids)
             ids = b"".join(out)
         else:
             ids = self.encode(text)
-        if len(text) < 100:
+        if len(self) < REMEMBER and len(text) < 100:
             self[word] = ids
         return ids
 
@@ -169,7 +183,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, files: int | None = None
                 for part, texts in slices(batch, "text"):
                     ats, sizes = [], []
                     for raw in texts.cast(pa.large_binary()).to_pylist():
-                        ids = b"".join(map(words.__getitem__, raw.split())) + end
+                        ids = words.text(raw) + end
                         writer.add(ids)
                         ats.append(at), sizes.append(len(ids) // 4)
                         at += len(ids) // 4

@@ -1,0 +1,403 @@
+"""Language, token counts, token files, decontamination, mixing, fingerprints, lines, personal data, secrets: against plain versions."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from seqlens.llm import decontaminate, fingerprints, language, line_runs, mixing, personal, secrets, token_counts, token_file
+from seqlens.llm.registry import tokenizer_path
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+# --- language -----------------------------------------------------------------
+
+LANGS = {"aa": ["bala", "keso", "mirun", "tolve", "asha"], "bb": ["qux", "zwip", "yorg", "vhem", "jjak"], "cc": ["ëlo", "ñapu", "çido", "übra", "öst"]}
+
+
+@pytest.fixture(scope="module")
+def spoken(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(LANGS[lang]) + rng.choice(LANGS[lang]) for _ in range(40)), lang, "s", 0) for i in range(240) for lang in [list(LANGS)[i % 3]]]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_language_on_held_out(spoken):
+    rows = language.identify(spoken).join(spoken.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in rows if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows) and held
+    assert sum(r.lang == r.lang_pred for r in held) / len(held) > 0.97
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_language_edges(spoken, edge, empty):
+    found = {r.doc_id: r for r in language.predict(edge, language.learn(spoken)).collect()}
+    assert found[900].lang_pred == found[901].lang_pred == found[902].lang_pred == "und" and found[905].lang_pred in LANGS
+    assert language.identify(empty).count() == 0
+    unlearned = language.identify(spoken.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert all(r.lang_pred == "und" and r.rejected for r in unlearned)
+
+
+# --- token counts ---------------------------------------------------------------
+
+
+def plain_count(word, scores):
+    """Viterbi over one pre-token by itself."""
+    text, low = token_counts.START + word, min(scores.values()) - 5
+    best = [(0.0, 0)]
+    for i in range(1, len(text) + 1):
+        options = [(best[j][0] + scores[text[j:i]], best[j][1] - 1) for j in range(i) if text[j:i] in scores]
+        if text[i - 1] not in scores:
+            n = len(text[i - 1].encode())
+            options.append((best[i - 1][0] + n * low, best[i - 1][1] - n))
+        best.append(max(options))
+    return -best[-1][1]
+
+
+def test_trie_counts_like_viterbi():
+    scores = token_counts.unigram([token_counts.START, "a", "b", "ab", "ba", "abab", token_counts.START + "a", "c", "bc"])
+    rng = random.Random(1)
+    trie = token_counts.CountTrie(scores, nodes=40, words=30)
+    for _ in range(400):
+        word = "".join(rng.choice("abcé") for _ in range(rng.randint(1, 90)))
+        assert trie[word.encode()] == plain_count(word, scores)
+
+
+def test_token_counts(corpus, edge, empty):
+    path = tokenizer_path("piece_bpe_32k.model")
+    scores = token_counts.unigram(token_counts.vocabulary(path))
+    for docs in (corpus.limit(20), edge):
+        texts = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+        got = sorted(((r.doc_id, r.n_words, r.n_tokens) for r in token_counts.token_counts(docs, path).collect()), key=str)
+        words = [WORD.findall(t or "") for _, t in texts]
+        assert [(g[0], g[1]) for g in got] == [(d, len(w)) for (d, _), w in zip(texts, words)]
+        for g, w in zip(got, words):
+            if len(w) < 3000 and all(len(x) < 500 for x in w):
+                assert g[2] == sum(plain_count(x, scores) for x in w)
+    assert token_counts.token_counts(empty, path).count() == 0
+
+
+# --- token files ----------------------------------------------------------------
+
+
+def test_token_file_round_trip(corpus, edge, empty):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    for docs in (corpus, edge):
+        got = token_file.round_trip(docs, tokenizer_path(), files=3).collect()
+        rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "", r.doc_id) for r in docs.collect()), key=lambda r: r[:3])
+        want, start = [], 0
+        for *_, text, doc_id in rows:
+            ids = [*tokenizer.encode(text, add_special_tokens=False).ids, token_file.END]
+            want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+            start += len(ids)
+        assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+    assert token_file.round_trip(empty, tokenizer_path()).count() == 0
+
+
+def test_words_encode_like_texts():
+    from tokenizers import Tokenizer
+
+    tokenizer, words = Tokenizer.from_file(tokenizer_path()), token_file.WordIds(tokenizer_path())
+    rng = random.Random(3)
+    pool = "abzABZ éÉñßÆİıǅΣσς'’.,!?$%#&*-_0123456789²½\t\n  ́­ﬁ中🙂"
+    for _ in range(300):
+        text = "".join(rng.choice(pool) for _ in range(rng.randint(0, 60)))
+        text = rng.choice([text, text + " don't I'll they're O'Neil's 'tis", text.upper()])
+        ids = np.frombuffer(words.text(text.encode()), "<u4").tolist()
+        assert ids == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_frames_are_independent_and_checked(tmp_path, monkeypatch):
+    monkeypatch.setattr(token_file, "FRAME_BYTES", 100)
+    parts = [bytes([i]) * (i * 7 % 130) for i in range(40)]
+    path = tmp_path / "x.zst"
+    with path.open("wb") as f:
+        writer = token_file.FrameWriter(f)
+        for p in parts:
+            writer.add(p)
+        writer.close()
+    raw, at = b"".join(parts), 0
+    import zstandard
+
+    assert zstandard.ZstdDecompressor().stream_reader(path.open("rb"), read_across_frames=True).read() == raw
+    with path.open("rb") as f:
+        reader = token_file.FrameReader(f, path.stat().st_size)
+        for p in parts:
+            assert reader.read(at, len(p)) == p
+            at += len(p)
+    spoilt = bytearray(path.read_bytes())
+    spoilt[10] ^= 1
+    path.write_bytes(spoilt)
+    with path.open("rb") as f, pytest.raises(Exception):
+        token_file.FrameReader(f, path.stat().st_size).read(0, 50)
+
+
+# --- decontamination --------------------------------------------------------------
+
+
+def test_decontamination(spark, corpus, edge, empty):
+    rng = random.Random(8)
+    items = [(i, " ".join(f"b{rng.randrange(500)}" for _ in range(n))) for i, n in enumerate([30, 20, 12, 5, 40])] + [(5, None), (6, " ")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    clean = [" ".join(f"c{rng.randrange(900)}" for _ in range(60)) for _ in range(20)]
+    rows, want = [], set()
+    for i, text in enumerate(clean):
+        item = i % 5
+        words = items[item][1].split()
+        if i < 10:
+            if len(words) > 10 and i >= 5:  # one word in seven substituted
+                words = [w if p % 7 else "other" for p, w in enumerate(words)]
+            text = text + " " + " ".join(words).upper() + " " + text
+            want.add((i, item))
+        elif i < 15:  # a quarter of the item is no leak
+            text = text + " " + " ".join(words[: max(1, len(words) // 4)])
+            if len(words) // 4 < 1:
+                want.add((i, item))
+        rows.append((i, text))
+    rows += [(50, None), (51, ""), (None, items[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate.overlaps(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    assert all(r.word_start == 60 for r in got)
+    assert decontaminate.overlaps(edge, bench).count() == 0 and decontaminate.overlaps(empty, bench).count() == 0
+    assert decontaminate.overlaps(docs, bench.limit(0)).count() == 0
+    kept = decontaminate.decontaminated(docs, bench)
+    assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {d for d, _ in want}
+
+
+# --- mixing -----------------------------------------------------------------------
+
+
+def test_targets():
+    assert mixing.targets({"a": 100, "b": 100, "c": 100}) == {"a": 300 * 5 / 8, "b": 300 * 2 / 8, "c": 300 / 8}
+    found = mixing.targets({"a": 10, "b": 1000, None: 990})
+    assert found["a"] == 30.0 and abs(found["b"] - 1970 * 2 / 3) < 1e-9 and abs(sum(found.values()) - 2000) < 1e-9
+
+
+def plain_mix(rows, seed_hash):
+    """All passes of all documents by virtual finish time, cut at the budget."""
+    sizes = {}
+    for _, source, size, _ in rows:
+        sizes[source] = sizes.get(source, 0) + size
+    goal, queue = mixing.targets(sizes), []
+    for source in sizes:
+        so_far = 0
+        for d, _, size, h in sorted((r for r in rows if r[1] == source), key=lambda r: (r[3], r[0])):
+            so_far += size
+            queue += [((so_far + p * sizes[source]) / goal[source] if goal[source] else 0.0, h, d, p, size) for p in range(3)]
+    taken, used = {}, 0
+    for _, _, d, _, size in sorted(queue):
+        used += size
+        if used > sum(sizes.values()):
+            break
+        taken[d] = taken.get(d, 0) + size
+    return goal, taken
+
+
+def test_mix_like_plain_version(corpus):
+    rows = [(r.doc_id, r.source, r.size, r.h) for r in mixing.sized(corpus).withColumn("h", F.xxhash64(F.lit(17), "doc_id")).collect()]
+    goal, taken = plain_mix(rows, None)
+    got = mixing.taken_words(corpus).collect()
+    assert {r.doc_id: r.taken for r in got} == {d: taken.get(d, 0) for d, *_ in rows}
+    by = {d: s for d, s, *_ in rows}
+    assert all(abs(r.target - goal[by[r.doc_id]]) < 1e-6 for r in got) and all(r.taken <= 3 * r.size for r in got)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.taken_words(corpus).collect()))
+
+
+def test_mix_edges(edge, empty, corpus):
+    got = mixing.taken_words(edge).collect()
+    assert len(got) == edge.count() and all(r.taken <= 3 * r["size"] for r in got)
+    assert {r.doc_id: r["size"] for r in got if r.doc_id in (900, 901, 902, 903)} == {900: 0, 901: 0, 902: 0, 903: 1}
+    assert mixing.taken_words(empty).count() == 0
+    kept = mixing.sampled(corpus.withColumn("size", F.lit("mine")).withColumn("finish", F.lit(1)))
+    assert kept.columns == [*corpus.columns, "size", "finish"]
+    times = {r.doc_id: r["count"] for r in kept.groupBy("doc_id").count().collect()}
+    assert times == {r.doc_id: r.taken // r["size"] for r in mixing.taken_words(corpus).collect() if r.taken}
+
+
+# --- fingerprints -------------------------------------------------------------------
+
+
+def edited_texts(rows):
+    order = sorted(rows, key=lambda r: r[0])
+    out = {}
+    for i, (d, text) in enumerate(order):
+        after = order[i - 1][1]  # the next in descending order; after the last the first
+        half = len(text) // 2
+        out[d] = text[: len(text) - half] + after[:half]
+    return out
+
+
+def jaccard(a, b, k=5):
+    def shingles(t):
+        w = WORD.findall(t.lower())
+        return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_fingerprints(corpus):
+    rows = [(r.doc_id, r.text) for r in corpus.collect()]
+    edited, texts = edited_texts(rows), dict(rows)
+    got = fingerprints.fingerprints(corpus).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.edited_sha256 == hashlib.sha256(edited[r.doc_id].encode()).hexdigest() and r.n_chars == len(texts[r.doc_id])
+        assert len(r.fingerprint) == 2 * fingerprints.BINS and 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+    same = {}
+    for r in got:
+        same.setdefault(texts[r.doc_id], set()).add(r.fingerprint)
+    assert all(len(v) == 1 for v in same.values())
+    errors = [r.near_edited - jaccard(texts[r.doc_id], edited[r.doc_id]) for r in got]
+    assert abs(sum(errors) / len(errors)) < 0.03 and sum(e * e for e in errors) / len(errors) < 0.09**2
+
+
+def test_fingerprint_edges(edge, empty, spark):
+    got = fingerprints.fingerprints(edge).collect()
+    assert len(got) == edge.count()
+    by = {r.doc_id: r for r in got}
+    assert by[900].fingerprint == by[901].fingerprint == by[902].fingerprint == "" and by[902].near_next == 1.0
+    assert by[904].fingerprint == by[903].fingerprint and by[904].near_next == 1.0
+    assert fingerprints.fingerprints(empty).count() == 0
+    one = fingerprints.fingerprints(edge.where("doc_id = 907")).collect()
+    assert len(one) == 1 and one[0].near_next == 1.0
+
+
+# --- line runs ---------------------------------------------------------------------
+
+
+def plain_runs(docs, least):
+    """For each line start the longest run that an earlier start has too; maximal ones of enough words."""
+    seqs = [[(i, x.strip()) for i, x in enumerate((t or "").split("\n")) if x.strip()] for _, t in docs]
+    starts = [(r, p) for r, s in enumerate(seqs) for p in range(len(s))]
+
+    def common(a, b):
+        n = 0
+        while a[1] + n < len(seqs[a[0]]) and b[1] + n < len(seqs[b[0]]) and seqs[a[0]][a[1] + n][1] == seqs[b[0]][b[1] + n][1]:
+            n += 1
+        return n
+
+    length = {s: max((common(s, e) for e in starts[:i]), default=0) for i, s in enumerate(starts)}
+    out = []
+    for r, p in starts:
+        n = length[r, p]
+        if n and length.get((r, p - 1), 0) <= n:
+            words = sum(len(WORD.findall(seqs[r][p + j][1])) for j in range(n))
+            if words >= least:
+                out.append((docs[r][0], seqs[r][p][0], seqs[r][p + n - 1][0], n, words))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("least", [1, 40])
+def test_line_runs(spark, least):
+    rng = random.Random(6)
+    pool = [" ".join(f"l{i}w{j}" for j in range(rng.randint(1, 12))) for i in range(25)]
+    docs = [(i, "\n".join(rng.choice([*pool, "", f"own {i} {j}", "  "]) for j in range(rng.randint(0, 14)))) for i in range(40)]
+    docs += [(40 + i, docs[i][1]) for i in range(5)] + [(50, "a\n" * 9), (51, None), (52, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = line_runs.repeated_runs(df, least).collect()
+    assert sorted((r.doc_id, r.first_line, r.last_line, r.n_lines, r.n_words) for r in got) == plain_runs(docs, least)
+    if least == 1:
+        left = {r.doc_id: r.text for r in line_runs.deduplicated(df, least).collect()}
+        seen, want = set(), {}
+        for d, t in docs:
+            if t is not None:
+                want[d] = [x for x in t.split("\n") if not x.strip() or not (x.strip() in seen or seen.add(x.strip()))]
+        assert {d: t.split("\n") for d, t in left.items() if t and d in want} == {d: w for d, w in want.items() if left[d]}
+
+
+def test_line_edges(edge, empty):
+    assert line_runs.repeated_runs(empty, 1).count() == 0
+    assert {(r.doc_id, r.n_words) for r in line_runs.repeated_runs(edge, 1).collect()} == {(904, 1)}
+    assert line_runs.repeated_runs(edge, 40).count() == 0
+
+
+# --- personal data -------------------------------------------------------------------
+
+BASE = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def plain_base(text):
+    out = []
+    for kind, pattern in BASE.items():
+        for m in pattern.finditer(text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card" and not (13 <= len(digits) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(digits[::-1])) % 10 == 0):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_base_spans_like_patterns():
+    rng = random.Random(9)
+    pool = ["a", "b.", "@", "x@y.z", "1", "23", ".", "-", " ", "+", "+1 ", "(0", ")", "4111 1111 1111 1111", "192.168.0.1", "256.1.1.1", "é", "\n", "00000", "_%", "+49 30 1234567", "a@b@c.d.e"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pool) for _ in range(rng.randint(0, 14)))
+        assert personal.base_spans(text) == plain_base(text), repr(text)
+
+
+def test_long_runs_are_linear():
+    for text in ("a" * 300_000, "1" * 4000 + ".", "1." * 100_000, "a@" * 100_000, "+1" + " " * 100_000, "- " * 100_000):
+        personal.loose_spans(text, personal.base_spans(text))
+
+
+def test_personal_data(spark, edge, empty):
+    rows = [(1, "mail me x@mail.example.com or call +1 (212) 555-0199 now"), (2, "call 212-555-0147 or bob at mail dot com"), (3, "server 10.0.0.1 version 999.1.1.1"), (4, "card 4111 1111 1111 1111 and 4111 1111 1111 1112"), (5, None), (6, "nothing")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in personal.digests(personal.personal_data(docs)).collect()}
+    for d, text in rows:
+        base = plain_base(text or "")
+        assert got[d].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert [got[d][f"n_{k}"] for k in personal.KINDS] == [sum(x[0] == k for x in base) for k in personal.KINDS]
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(filter(None, got[d].spans.split(",")))
+    assert "phone:5:17" in got[2].spans
+    assert len(personal.digests(personal.personal_data(edge)).collect()) == edge.count()
+    assert personal.personal_data(empty).count() == 0
+
+
+def test_reliabilities_find_the_bad_labeler():
+    rng, counts = random.Random(1), {}
+    for _ in range(4000):
+        real = rng.random() < 0.5
+        vote = "".join(("+" if real == (rng.random() < p) else "-") if rng.random() < 0.9 else "0" for p in (0.95, 0.9, 0.85, 0.6))
+        counts[vote] = counts.get(vote, 0) + 1
+    _, share, right = personal.reliabilities(counts)
+    assert abs(share - 0.5) < 0.05 and all(abs(a - b) < 0.06 for a, b in zip(right, (0.95, 0.9, 0.85, 0.6)))
+
+
+# --- secrets -------------------------------------------------------------------------
+
+
+def test_secrets(spark, corpus, edge, empty):
+    rng = random.Random(5)
+    rows = []
+    for i in range(120):
+        key = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        text = [f'some words token = "{key}" after', f"write to person.{i}.name@mail{i % 9}.example.com please", f"number {4000000000000000 + i * 7919} here", f"bare {key} in words"][i % 4]
+        rows.append((i, text, "en", f"s{i % 3}", 0))
+    docs = spark.createDataFrame(rows, corpus.schema).unionByName(corpus)
+    got = {r.doc_id: r for r in secrets.secrets(docs).collect()}
+    assert set(got) == set(range(120))
+    assert all(got[i].is_secret for i in range(0, 120, 4)) and not any(got[i].is_secret for i in range(1, 120, 4))
+    assert sum(got[i].is_secret for i in range(3, 120, 4)) >= 25
+    assert secrets.secrets(empty).count() == 0 and secrets.secrets(edge).count() == 0
+    assert secrets.secrets(docs.drop("source")).count() == 120
+    few = secrets.secrets(docs.where("doc_id = 0")).collect()
+    assert few[0].is_secret and few[0].probability is None
