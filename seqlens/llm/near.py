@@ -3,7 +3,7 @@
 A document is its doc_id; rows repeated under one id are one document. Texts without words are linked with nothing, as are rows with a null id, which stay (component null). An empty table gives an empty result.
 
 Plan. One pass sketches every text. Equal sets fold into one representative before banding, so copies make no pairs. In each bucket of a band every member is verified against one leader, chosen by hash (a star, not all pairs); links found that way are contracted to components.
-Where a bucket still holds more than one component its documents are searched once more for pairs across components, exactly and rarest shingles first, so a passage that many share makes no pairs. Verification is exact, on full sets, as a join of arrays.
+Where a bucket still holds more than one component its members are compared across components, each pair once, and only pairs that bit maps of their sets allow to be similar leave the join. Verification is exact, on full sets, as a join of arrays.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from .common import slices, without_ids, written
 #: 32 bands of 4 coordinates: of two sets that are 0.8 alike, 1 pair in 20 million shares no band.
 BANDS, ROWS = 32, 4
 SIMILAR = 80
+#: Words of 64 bits in a set's bit map, which bounds intersections from above.
+MAP = 16
 
 
 def _sketch(k: int):
@@ -36,7 +38,11 @@ def _sketch(k: int):
                 full = np.diff(off) > 0
                 at = np.concatenate(([0], np.cumsum(full * BANDS))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(bands[full].ravel()))
-                yield pa.record_batch([part.column("doc_id"), pa.array(np.diff(off), pa.int64()), pa.array(keys, pa.binary()), lists], ["doc_id", "n_shingles", "set_key", "bands"])
+                owner = np.repeat(np.arange(len(off) - 1), np.diff(off))
+                bits = np.zeros((len(off) - 1) * MAP, K.U)
+                np.bitwise_or.at(bits, owner * MAP + (flat >> K.U(6)).astype(np.int64) % MAP, K.U(1) << (flat & K.U(63)))
+                maps = pa.ListArray.from_arrays(pa.array(np.arange(len(off), dtype=np.int32) * MAP), pa.array(bits.view(np.int64)))
+                yield pa.record_batch([part.column("doc_id"), pa.array(np.diff(off), pa.int64()), pa.array(keys, pa.binary()), lists, maps], ["doc_id", "n_shingles", "set_key", "bands", "bits"])
 
     return run
 
@@ -82,33 +88,32 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     return stars.select(F.col("b").alias("node"), F.col("a").alias("component")).unionAll(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 
-def alike_candidates(sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """Pairs (a, b) of different components, one of them minor, that can be similar; none that is gets lost.
+def unsettled_pairs(unsettled: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """Pairs (a, b) of different components in a bucket that can be similar, each once; none that is gets lost.
 
-    sets: node, shingles, component, minor. Two similar sets share one of their (1 - similar%) * size + 1 first shingles in any order common to all (prefix filtering). Rarest first, so what many documents share comes last and meets no one; shingles of one set alone are only counted."""
-    held = written(sets.select(F.monotonically_increasing_id().alias("u"), "node", "component", "minor", "shingles"), "searched")
-    each = held.select("u", F.explode("shingles").alias("s"))
-    often = each.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
-    shared = each.join(often, "s").groupBy("u").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("shared"))
-    n = F.size("shingles")
-    first = n - F.ceil(n * similar / 100).cast("int") + 1 - (n - F.size("shared"))  # of which the lone shingles take their places
-    heads = held.join(shared, "u").select("node", "component", "minor", n.alias("n"), F.explode(F.slice("shared", 1, F.greatest(first, F.lit(0)))).alias("x")).select("node", "component", "minor", "n", F.col("x.s").alias("s"))
-    heads = written(heads, "heads")
-    left = heads.where("minor").select("s", F.col("node").alias("x"), F.col("component").alias("xc"), F.col("n").alias("xn"))
-    met = left.join(heads, "s").where((F.col("xc") != F.col("component")) & (~F.col("minor") | (F.col("x") < F.col("node"))) & (100 * F.least("n", "xn") >= similar * F.greatest("n", "xn")))
-    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    unsettled: band, node, component, major (the bucket's largest component), n, bands, bits. A pair is looked at in the first of its common bands. No intersection is larger than (|A| + |B| - differing bits of their maps) / 2, which the join itself checks."""
+    theirs = unsettled.select("band", "node", "component", "major", "n", "bands", *[F.col("bits")[j].alias(f"b{j}") for j in range(MAP)])
+    mine = unsettled.where("component <> major").select("band", F.col("node").alias("x"), F.col("component").alias("xc"), F.col("n").alias("xn"), F.col("bands").alias("xbands"), *[F.col("bits")[j].alias(f"x{j}") for j in range(MAP)])
+    differing = sum((F.bit_count(F.col(f"b{j}").bitwiseXOR(F.col(f"x{j}"))) for j in range(1, MAP)), F.bit_count(F.col("b0").bitwiseXOR(F.col("x0"))))
+    total = F.col("n") + F.col("xn")
+    most = F.shiftright(total - differing, 1)
+    apart = (F.col("xc") != F.col("component")) & ((F.col("component") == F.col("major")) | (F.col("x") < F.col("node")))
+    first = F.array_position(F.zip_with("xbands", "bands", lambda a, b: a == b), F.lit(True)) == F.array_position("bands", F.col("band"))
+    met = mine.join(theirs, "band").where(apart & (100 * F.least("n", "xn") >= similar * F.greatest("n", "xn")) & (100 * most >= similar * (total - most)) & first)
+    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similar: int = SIMILAR) -> DataFrame:
     """Of each row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(docs.mapInArrow(_sketch(k), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "sketches")
+    rows = written(docs.mapInArrow(_sketch(k), "doc_id long, n_shingles long, set_key binary, bands array<long>, bits array<long>"), "sketches")
     live = rows.where("n_shingles > 0 and doc_id is not null")
-    firsts = live.groupBy("set_key").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands"), "doc_id").alias("one"))
+    firsts = live.groupBy("set_key").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands", "bits"), "doc_id").alias("one"))
+    firsts = written(firsts.select(F.col("one.doc_id").alias("node"), F.col("one.n_shingles").alias("n"), "one.bands", "one.bits"), "firsts")
     reps = live.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     named = written(rows.select("doc_id", "n_shingles", "set_key").join(reps, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep")), "named")
 
-    banded = firsts.select(F.col("one.doc_id").alias("node"), F.col("one.n_shingles").alias("n"), F.explode("one.bands").alias("band"))
+    banded = firsts.select("node", "n", F.explode("bands").alias("band"))
     leads = banded.groupBy("band").agg(F.count("*").alias("held"), F.min(F.struct(F.xxhash64("node", "band").alias("h"), "node", "n")).alias("lead")).where("held > 1")
     members = written(banded.join(leads, "band").select("band", "node", "n", "held", F.col("lead.node").alias("leader"), F.col("lead.n").alias("leader_n")), "members")
 
@@ -122,12 +127,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, similar: int = SIMILAR) -> Data
     links = written(verified(stars, sets, similar).unionAll(same_id), "links")
     found = written(components(links), "components")
 
-    # documents of buckets that still hold several components: exact search among them
+    # buckets that still hold several components: pairs across them, but for those with the leader, which are verified
     placed = members.where("held > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counted = placed.groupBy("band", "component").agg(F.count("*").alias("n_in"))
     major = counted.groupBy("band").agg(F.count("*").alias("kinds"), F.max(F.struct("n_in", "component")).alias("most")).where("kinds > 1").select("band", F.col("most.component").alias("major"))
-    unsettled = placed.where("node <> leader").join(major, "band").groupBy("node").agg(F.first("component").alias("component"), F.bool_or(F.col("component") != F.col("major")).alias("minor"))
-    pairs = alike_candidates(sets.join(unsettled, "node"), similar).join(stars, ["a", "b"], "left_anti")
+    unsettled = placed.where("node <> leader").select("band", "node", "n", "component").join(major, "band").join(firsts.select("node", "bands", "bits"), "node")
+    pairs = written(unsettled_pairs(unsettled, similar), "pairs")
     more = written(verified(pairs, sets, similar), "links")
     if not more.isEmpty():
         found = written(components(links.unionAll(more)), "components")
