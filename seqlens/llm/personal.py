@@ -200,5 +200,6 @@ def digests(found: DataFrame) -> DataFrame:
     names = F.array(*map(F.lit, KINDS))
     text = lambda x: F.concat(F.element_at(names, x["kind"] + 1), F.lit(":"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string"))
     base = F.filter("found", lambda x: x["base"])
-    count = [F.size(F.filter("found", lambda x, i=i: x["base"] & (x["kind"] == i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    of_kind = lambda i: F.filter("found", lambda x: x["base"] & (x["kind"] == i))
+    count = [F.size(of_kind(i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select("doc_id", *count, F.sha2(F.array_join(F.transform(base, text), ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.transform("found", text), ",").alias("spans"))
