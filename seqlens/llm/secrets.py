@@ -30,7 +30,8 @@ ALPHABET = string.ascii_lowercase + string.digits
 NAMES = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api_key", "access_key", "auth", "bearer", "credential", "private_key")
 _PREFIX = r"^(AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|xox[abprs]-|sk_live_|sk-|AIza|eyJ)"
 _MAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+$"
-FEATURES = ("length", "transitions", "coverage", "digits", "hex", "upper", "distinct", "separators", "path_class", "named", "assigned", "before_length", "before_known", "after_known", "quoted")
+#: What the forest sees. The name that a candidate is assigned to (`named`, `assigned`) is for rule_labels: a forest that saw what its labels came from would learn nothing else.
+FEATURES = ("length", "transitions", "coverage", "digits", "hex", "upper", "distinct", "separators", "path_class", "before_length", "before_known", "after_known")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -59,7 +60,7 @@ def corpus_statistics(docs: DataFrame, words: int = DICTIONARY) -> tuple[list[st
 
 
 def features(found: DataFrame, top: list[str], table: list[float]) -> DataFrame:
-    """found with the columns of FEATURES."""
+    """found with the columns of FEATURES, and named and assigned."""
     low = F.lower("candidate")
     logs = F.array(*map(F.lit, table))
     steps = F.sequence(F.lit(1), F.length("candidate") - 1)
@@ -86,7 +87,6 @@ def features(found: DataFrame, top: list[str], table: list[float]) -> DataFrame:
         "before_length": F.coalesce(F.length("before"), F.lit(0)).cast("double"),
         "before_known": F.array_contains(known, bare(F.col("before"))).cast("double"),
         "after_known": F.array_contains(known, bare(F.col("after"))).cast("double"),
-        "quoted": as_int(F.col("quoted")),
     })
 
 
