@@ -1,8 +1,8 @@
 """Line dedup by a suffix array over line IDs (operator 8). DataFrame operations only.
 
 Documents are sequences of line IDs (blank lines left out, others trimmed of white space). Distributed prefix doubling ranks their suffixes: level k ranks suffixes by their first 2**k lines, a pair of level k-1 ranks sorted anew; suffixes of equal rank are an interval whose longest common prefix is 2**k at least.
-A suffix that shares its rank with no other leaves the doubling, so levels shrink to what repeats and end at the longest repeat. Going down the levels again, each suffix takes a further 2**k lines as long as an earlier suffix has the same lines, which gives the longest prefix it shares with an earlier one.
-Those prefixes that aren't part of one begun a line before are the maximal later copies; runs of at least MIN_WORDS words are deleted, the first copy stays.
+A suffix that shares its rank with no other leaves the doubling, so levels shrink to what repeats and end at the longest repeat. Going down the levels again, each suffix takes a further 2**k lines where an earlier suffix has the same lines, which gives the longest prefix it shares with an earlier one.
+Those prefixes that aren't part of one begun a line before are the maximal later copies; runs of at least MIN_WORDS words are deleted, blank lines inside them too, the first copy stays.
 
 Documents are ordered by id (null first), then as they stand in the table; each row is a document of its own, so of equal rows the later lose their lines. Null, empty and blank texts have no lines and lose none. An empty table gives an empty result.
 """
@@ -49,18 +49,27 @@ def doubling(all_lines: DataFrame, most: int = 40) -> list[DataFrame]:
 
 
 def shared_with_earlier(levels: list[DataFrame]) -> DataFrame:
-    """row, doc_id, pos, length, first (doc_id, row, pos): the longest prefix of each suffix that an earlier one has, if any, and the earliest that has it."""
+    """row, doc_id, pos, length, first (doc_id, row, pos): the longest prefix of each suffix that an earlier one has, if any, and the earliest that has it.
+
+    A node is a prefix (the ranks of its parts) and has all suffixes that begin with it; each suffix asks at one node, the longest prefix found so far, at first the empty one. At level k the nodes that are asked at are split by the next 2**k lines.
+    A suffix that isn't the first of its part goes on asking there, with that part's suffixes as members; one that is the first, or is alone, asks on where it is. Nodes that none asks at go."""
     me = F.struct("doc_id", "row", "pos")
-    held = levels[0].select("row", "doc_id", "pos", F.lit(0).alias("length"), F.array().cast("array<bigint>").alias("name"), F.lit(None).cast("struct<doc_id: bigint, row: bigint, pos: int>").alias("first"))
+    occurrence = "struct<doc_id: bigint, row: bigint, pos: int>"
+    held = levels[0].select("row", "doc_id", "pos", F.lit(0).alias("length"), F.array().cast("array<bigint>").alias("node"), F.lit(True).alias("asks"), F.lit(None).cast(occurrence).alias("first"))
     for k in range(len(levels) - 1, -1, -1):
         step = levels[k].select("row", F.col("pos").alias("at"), "rank")
-        longer = held.withColumn("at", F.col("pos") + F.col("length")).join(step, ["row", "at"]).withColumn("longer", F.concat("name", F.array(F.lit(k).cast("bigint"), "rank")))
-        longer = longer.select("row", "doc_id", "pos", "longer")
-        firsts = longer.groupBy("longer").agg(F.min(me).alias("found"), F.count("*").alias("n")).where("n > 1").select("longer", "found")
-        accepted = longer.join(firsts, "longer").where(F.col("found") < me).select("row", "pos", "longer", "found")
-        held = held.join(accepted, ["row", "pos"], "left").select("row", "doc_id", "pos", F.when(F.col("longer").isNotNull(), F.col("length") + (1 << k)).otherwise(F.col("length")).alias("length"), F.coalesce("longer", "name").alias("name"), F.coalesce("found", "first").alias("first"))
+        part = held.withColumn("at", F.col("pos") + F.col("length")).join(step, ["row", "at"]).withColumn("part", F.concat("node", F.array(F.lit(k).cast("bigint"), "rank")))
+        part = part.select("row", "doc_id", "pos", "length", "node", "part", "asks")
+        firsts = part.groupBy("part").agg(F.min(me).alias("found"), F.max(F.when(F.col("asks"), me)).alias("last_asking")).where(F.col("last_asking") > F.col("found")).select("part", "found")
+        moved = written(part.join(firsts, "part").withColumn("goes", F.col("asks") & (F.col("found") < me)), "parts")
+        below = moved.select("row", "doc_id", "pos", (F.col("length") + (1 << k)).alias("length"), F.col("part").alias("node"), F.col("goes").alias("asks"), F.when(F.col("goes"), F.col("found")).alias("first"))
+        gone = moved.where("goes").select("row", "pos", "length", F.lit(True).alias("gone"))
+        stay = held.join(gone, ["row", "pos", "length"], "left").withColumn("asks", F.col("asks") & F.col("gone").isNull())
+        stay = written(stay.select("row", "doc_id", "pos", "length", "node", "asks", "first"), "staying")
+        asked = stay.where("asks and length > 0").select("node").distinct()
+        held = stay.where("length = 0").unionByName(stay.where("length > 0").join(asked, "node", "left_semi").select(stay.columns)).unionByName(below)
         held = written(held, "prefixes")
-    return held.where("length > 0").drop("name")
+    return held.where("asks and length > 0").select("row", "doc_id", "pos", "length", "first")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
