@@ -54,22 +54,32 @@ def shared_with_earlier(levels: list[DataFrame]) -> DataFrame:
     A node is a prefix (the ranks of its parts) and has all suffixes that begin with it; each suffix asks at one node, the longest prefix found so far, at first the empty one. At level k the nodes that are asked at are split by the next 2**k lines.
     A suffix that isn't the first of its part goes on asking there, with that part's suffixes as members; one that is the first, or is alone, asks on where it is. Nodes that none asks at go."""
     me = F.struct("doc_id", "row", "pos")
-    occurrence = "struct<doc_id: bigint, row: bigint, pos: int>"
-    held = levels[0].select("row", "doc_id", "pos", F.lit(0).alias("length"), F.array().cast("array<bigint>").alias("node"), F.lit(True).alias("asks"), F.lit(None).cast(occurrence).alias("first"))
+    held = left = None  # suffixes at nodes that are asked at, and those that have left the empty prefix, where all begin
     for k in range(len(levels) - 1, -1, -1):
-        step = levels[k].select("row", F.col("pos").alias("at"), "rank")
-        part = held.withColumn("at", F.col("pos") + F.col("length")).join(step, ["row", "at"]).withColumn("part", F.concat("node", F.array(F.lit(k).cast("bigint"), "rank")))
-        part = part.select("row", "doc_id", "pos", "length", "node", "part", "asks")
+        code = F.array(F.lit(k).cast("bigint"), F.col("rank"))
+        # at the empty prefix every suffix of the level is a member
+        part = levels[k].select("row", "doc_id", "pos", F.lit(0).alias("length"), code.alias("part"))
+        if left is None:
+            part = part.withColumn("asks", F.lit(True))
+        else:
+            part = part.join(left.withColumn("gone", F.lit(True)), ["row", "pos"], "left").select("row", "doc_id", "pos", "length", "part", F.col("gone").isNull().alias("asks"))
+            step = levels[k].select("row", F.col("pos").alias("at"), "rank")
+            deep = held.withColumn("at", F.col("pos") + F.col("length")).join(step, ["row", "at"])
+            part = part.unionByName(deep.select("row", "doc_id", "pos", "length", F.concat("node", code).alias("part"), "asks"))
         firsts = part.groupBy("part").agg(F.min(me).alias("found"), F.max(F.when(F.col("asks"), me)).alias("last_asking")).where(F.col("last_asking") > F.col("found")).select("part", "found")
         moved = written(part.join(firsts, "part").withColumn("goes", F.col("asks") & (F.col("found") < me)), "parts")
         below = moved.select("row", "doc_id", "pos", (F.col("length") + (1 << k)).alias("length"), F.col("part").alias("node"), F.col("goes").alias("asks"), F.when(F.col("goes"), F.col("found")).alias("first"))
-        gone = moved.where("goes").select("row", "pos", "length", F.lit(True).alias("gone"))
-        stay = held.join(gone, ["row", "pos", "length"], "left").withColumn("asks", F.col("asks") & F.col("gone").isNull())
+        going = moved.where("goes").select("row", "pos", "length")
+        leaving = going.where("length = 0").select("row", "pos")
+        if left is None:
+            held, left = below, leaving
+            continue
+        stay = held.join(going.withColumn("gone", F.lit(True)), ["row", "pos", "length"], "left").withColumn("asks", F.col("asks") & F.col("gone").isNull())
         stay = written(stay.select("row", "doc_id", "pos", "length", "node", "asks", "first"), "staying")
-        asked = stay.where("asks and length > 0").select("node").distinct()
-        held = stay.where("length = 0").unionByName(stay.where("length > 0").join(asked, "node", "left_semi").select(stay.columns)).unionByName(below)
-        held = written(held, "prefixes")
-    return held.where("asks and length > 0").select("row", "doc_id", "pos", "length", "first")
+        asked = stay.where("asks").select("node").distinct()
+        held = written(stay.join(asked, "node", "left_semi").select(stay.columns).unionByName(below), "prefixes")
+        left = written(left.unionByName(leaving), "left")
+    return held.where("asks").select("row", "doc_id", "pos", "length", "first")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
