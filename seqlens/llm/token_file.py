@@ -26,7 +26,7 @@ from .common import shared_folder, slices, written
 
 END = 1
 FRAME_BYTES = 1 << 18
-REMEMBER = 400_000
+REMEMBER = 200_000
 # Fixed values of the public seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _CHECKSUMS = 1 << 7
