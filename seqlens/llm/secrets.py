@@ -18,7 +18,6 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import WORD, written
 from .fingerprints import let
@@ -113,8 +112,9 @@ def rule_labels(found: DataFrame) -> DataFrame:
 
 def fit(labelled: DataFrame, most: int = TRAIN):
     """A fitted forest, or None without findings of both labels."""
-    order = Window.partitionBy("label").orderBy(F.xxhash64("candidate", "doc_id", "nth"), "candidate")
-    sample = written(labelled.select("label", "candidate", "doc_id", "nth", *FEATURES).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most), "labelled")
+    rows = labelled.select("label", "candidate", "doc_id", "nth", *FEATURES).withColumn("h", F.xxhash64("candidate", "doc_id", "nth"))
+    first = lambda label: rows.where(F.col("label") == label).orderBy("h", "candidate").limit(most)
+    sample = written(first(0.0).unionByName(first(1.0)), "labelled")
     if sample.select("label").distinct().count() < 2:
         return None
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=20, maxDepth=6, seed=17)
