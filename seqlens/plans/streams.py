@@ -24,7 +24,11 @@ def camera_frames(spark: SparkSession, d: str) -> DataFrame:
 def streamed(spark: SparkSession, frames: DataFrame, make, n_files: int = 3) -> DataFrame:
     """Replay frames, written in order of time as n_files files, through a streaming operator to its end; the rows it appended."""
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    frames.repartitionByRange(n_files, "ts").sortWithinPartitions("ts").write.parquet(f"{base}/in")
+    # one file after another: a stream takes files by the time they were written
+    cuts = frames.select(F.percentile_approx(F.unix_micros("ts"), [i / n_files for i in range(1, n_files)], 10_000)).first()[0] or []
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        inside = (F.lit(True) if low is None else F.unix_micros("ts") >= low) & (F.lit(True) if high is None else F.unix_micros("ts") < high)
+        frames.where(inside).repartition(1).write.mode("append").parquet(f"{base}/in")
     source = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     sink = make(source).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
     sink.awaitTermination()

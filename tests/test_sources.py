@@ -12,7 +12,7 @@ from seqlens.sources import files
 from seqlens.streaming import cameras
 
 
-def put(path, text=""):
+def put(path, text="image"):
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_text(text)
 

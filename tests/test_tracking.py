@@ -123,7 +123,7 @@ def test_boundary_gap_repeats(spark):
 
 
 def test_first_crossing_earliest_then_smallest(spark):
-    rows = [(1, t, p, p - 1, l) for t, ls in {0: [0, 0, 0, 1, 1], 1: [0, 0, 1, 1, 1], 2: [0, 0, 1, 1, 1], 3: [1, 1, 1, 1, 0]}.items() for p, l in enumerate(ls, 1)]
+    rows = [(1, t, p, p - 1, float(v)) for t, ls in {0: [0, 0, 0, 1, 1], 1: [0, 0, 1, 1, 1], 2: [0, 0, 1, 1, 1], 3: [1, 1, 1, 1, 0]}.items() for p, v in enumerate(ls, 1)]
     prefixes = spark.createDataFrame(rows, "sequence_id long, tube_id int, prefix int, frame_idx int, logit double")
     crossed, triggers = tubes.first_crossing(prefixes, 2, F.col("logit") >= 1)
     assert {r.tube_id: (r.crossing_frame, r.prefix_length) for r in crossed.collect()} == {0: (3, 4), 1: (2, 3), 2: (2, 3)}
