@@ -1,7 +1,7 @@
 """Benchmark decontamination by spaced seeds (operator 5).
 
-A seed hashes the words of a window at the places a fixed mask selects and ignores the rest, so a substituted word spoils only some seeds. Test and training seeds are joined; around each hit the whole item is laid against the text and its equal words are counted.
-An item is found if, on one diagonal, the text covers at least half of the item, and at least 8 words and 60% of what it covers are equal. Items of fewer words than the longest mask are found by equality of all their words.
+A seed hashes the words of a window at the places a fixed mask selects and ignores the rest, so a substituted word spoils only some seeds. Test and training seeds are joined; around each hit the item is laid against the text.
+An item is found if, on one diagonal, the text covers at least half of the item, and at least 8 words and 60% of what it covers are equal. A part of an item is found too: from its hits a piece is extended on its diagonal while at least 60% of its words are equal and no 5 in a row differ; the equal words of pieces of 5 or more on neighbouring diagonals (10 words apart at most, as words put in or left out shift them) add up, each word of item and text once, and 13 of them are enough, or 8 that are 60% of the item. Items of fewer words than the longest mask are found by equality of all their words.
 Null or wordless texts and items find nothing; rows repeated under one id are one document; rows with a null id find nothing and stay. An empty table gives an empty result.
 
 Plan. The seeds of the benchmark fold into a bit map of fixed size (two probes each), whatever the size of the benchmark; only that is sent to tasks. Texts are hashed in place; where the bit map answers, the words around leave the task and meet the seeds in a join, which is exact.
@@ -24,6 +24,8 @@ MASKS = ("11111111", "1101100111", "1010111011")
 SPAN = max(map(len, MASKS))
 BITS = 25
 MIN_EQUAL, MIN_SHARE, MIN_COVER = 8, 0.6, 0.5
+#: Of parts of an item: equal words that are enough, equal words of a piece, and words that differ in a row where a piece ends.
+MIN_OVERLAP, MIN_PIECE, MOST_APART = 13, 5, 4
 
 
 def _seeds(hashes: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -114,8 +116,67 @@ def _hits(bits: np.ndarray, around: int, sizes: set[int]):
     return run
 
 
+def _pieces(equal: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of a diagonal (first place, end) in which at least MIN_SHARE are equal from the first on, and no more than MOST_APART in a row differ."""
+    at, out, i = np.flatnonzero(equal), [], 0
+    if len(at) == len(equal):
+        return [(0, len(equal))] if len(equal) >= MIN_PIECE else []
+    step = np.diff(at)
+    while i < len(at):
+        j = i
+        while j + 1 < len(at) and step[j] <= MOST_APART + 1 and j + 2 - i >= MIN_SHARE * (at[j + 1] + 1 - at[i]):
+            j += 1
+        if j + 1 - i >= MIN_PIECE:
+            out.append((int(at[i]), int(at[j]) + 1))
+        i = j + 1
+    return out
+
+
+def _place(item: np.ndarray, words: np.ndarray, starts: np.ndarray) -> tuple[int, int, int] | None:
+    """The best place of an item in a text on these diagonals and their neighbours: equal words, words covered, minus the start."""
+    size, best, chain = len(item), None, []
+
+    def ended() -> tuple[int, int, int] | None:
+        ours, theirs = np.zeros(size, bool), set()
+        covered = np.zeros(size, bool)
+        for start, a, b, equal in chain:
+            ours[a:b] |= equal
+            covered[a:b] = True
+            theirs.update((np.flatnonzero(equal) + a + start).tolist())
+        n = min(int(ours.sum()), len(theirs))
+        if n >= MIN_OVERLAP or n >= max(MIN_EQUAL, MIN_SHARE * size):
+            return n, int(covered.sum()), -min((a, start) for start, a, _, _ in chain)[1]
+        return None
+
+    for start in np.sort(starts).tolist():
+        if chain and start - chain[-1][0] > SPAN:
+            best, chain = max(filter(None, (best, ended())), default=None), []
+        head, tail = max(0, -start), min(size, len(words) - start)
+        if tail <= head:
+            continue
+        equal = item[head:tail] == words[head + start : tail + start]
+        n = int(equal.sum())
+        if n >= min(MIN_EQUAL, size) and n >= MIN_SHARE * (tail - head) and tail - head >= MIN_COVER * size:
+            best = max(filter(None, (best, (n, tail - head, -start))))
+        if n >= MIN_PIECE:
+            chain += [(start, head + a, head + b, equal[a:b]) for a, b in _pieces(equal)]
+    return max(filter(None, (best, ended() if chain else None)), default=None)
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        ids, items, lows = (batch.column(c).to_pylist() for c in ("doc_id", "item_id", "low"))
+        for r, (doc, item_id, low) in enumerate(zip(ids, items, lows)):
+            item, words, starts = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("item", "words", "starts"))
+            if place := _place(item, words, starts):
+                found.append((doc, item_id, place[0], place[1], place[2] - low, len(item)))
+        if found:
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()))], ["doc_id", "item_id", "n_equal", "n_covered", "minus_start", "item_words"])
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Where items stand in texts: doc_id, item_id, word_start (of the item, in words; negative if its head is cut off), n_equal, n_covered, item_words. The best place for each document and item."""
+    """Where items stand in texts: doc_id, item_id, word_start (of the item, in words; negative if its head is cut off; with pieces on several diagonals, by the first of them), n_equal, n_covered, item_words. The best place for each document and item."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seeds = written(items.mapInArrow(_item_seeds, "item_id long, item_at int, seed long, item_words int"), "seeds")
@@ -134,13 +195,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     hits = written(docs.mapInArrow(run, "doc_id long, low long, words array<long>, ats array<int>, seeds array<long>").withColumn("stretch", F.monotonically_increasing_id()), "hits")
     each = hits.select("stretch", F.explode(F.arrays_zip("ats", "seeds")).alias("x")).select("stretch", F.col("x.ats").alias("at"), F.col("x.seeds").alias("seed"))
-    diagonals = each.join(seeds, "seed").select("stretch", "item_id", (F.col("at") - F.col("item_at")).alias("start")).distinct()
+    diagonals = each.join(seeds, "seed").groupBy("stretch", "item_id").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("starts"))
     laid = diagonals.join(hits.select("stretch", "doc_id", "low", "words"), "stretch").join(items.mapInArrow(_item_words, "item_id long, item array<long>"), "item_id")
-    head, tail = F.greatest(F.lit(0), -F.col("start")), F.least(F.size("item"), F.size("words") - F.col("start"))
-    laid = laid.withColumn("n_covered", F.greatest(F.lit(0), tail - head)).where("n_covered > 0").withColumn("theirs", F.slice("item", head + 1, F.col("n_covered"))).withColumn("ours", F.slice("words", F.col("start") + head + 1, F.col("n_covered")))
-    laid = laid.withColumn("n_equal", F.aggregate(F.zip_with("theirs", "ours", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)).withColumn("item_words", F.size("item"))
-    enough = (F.col("n_equal") >= F.least(F.lit(MIN_EQUAL), F.col("item_words"))) & (F.col("n_equal") >= MIN_SHARE * F.col("n_covered")) & (F.col("n_covered") >= MIN_COVER * F.col("item_words"))
-    best = laid.where(enough).groupBy("doc_id", "item_id").agg(F.max(F.struct("n_equal", "n_covered", (-(F.col("low") + F.col("start"))).alias("minus_start"), "item_words")).alias("best"))
+    places = laid.select("doc_id", "item_id", "low", "words", "item", "starts").mapInArrow(_places, "doc_id long, item_id long, n_equal int, n_covered int, minus_start long, item_words int")
+    best = places.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_equal", "n_covered", "minus_start", "item_words")).alias("best"))
     return best.select("doc_id", "item_id", (-F.col("best.minus_start")).alias("word_start"), "best.n_equal", "best.n_covered", "best.item_words")
 
 

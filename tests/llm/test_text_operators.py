@@ -172,6 +172,25 @@ def test_decontamination(spark, corpus, edge, empty):
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {d for d, _ in want}
 
 
+def test_parts_of_items_are_found(spark):
+    rng = random.Random(18)
+    item, other = ([f"{c}{rng.randrange(10**6)}" for _ in range(n)] for c, n in (("e", 59), ("f", 38)))
+    fill = [f"t{i}" for i in range(200)]
+    texts = {
+        0: fill[:100] + item[12:42] + fill[100:],  # 30 of 59 words
+        1: fill[:100] + other[:19] + ["put-in"] + other[19:] + fill[100:],
+        2: fill[:100] + other[:19] + other[20:] + fill[100:],
+        3: fill[:100] + item[12:20] + fill[100:],  # 8 words are too few
+        4: fill[:100] + item[10:20] + fill[100:150] + item[40:50] + fill[150:],  # on diagonals far apart
+        5: fill[:100] + other[:12] + ["put-in", "too"] + other[12:24] + fill[100:],
+    }
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(other))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.word_start, r.n_equal) for r in decontaminate.overlaps(docs, bench).collect()}
+    assert got == {(0, 0): (88, 30), (1, 1): (100, 38), (2, 1): (100, 37), (5, 1): (100, 24)}
+    assert {r.doc_id for r in decontaminate.decontaminated(docs, bench).collect()} == {3, 4}
+
+
 # --- mixing -----------------------------------------------------------------------
 
 
