@@ -2,7 +2,7 @@
 
 Documents are sequences of line IDs (blank lines left out, others trimmed of white space). Distributed prefix doubling ranks their suffixes: level k ranks suffixes by their first 2**k lines, a pair of level k-1 ranks sorted anew; suffixes of equal rank are an interval whose longest common prefix is 2**k at least.
 A suffix that shares its rank with no other leaves the doubling, so levels shrink to what repeats and end at the longest repeat. Going down the levels again, each suffix takes a further 2**k lines where an earlier suffix has the same lines, which gives the longest prefix it shares with an earlier one.
-Those prefixes that aren't part of one begun a line before are the maximal later copies; runs of at least MIN_WORDS words are deleted, blank lines inside them too, the first copy stays.
+Those prefixes that aren't part of one begun a line before are the maximal later copies; runs of at least MIN_WORDS words (1: every line that an earlier one equals) are deleted, blank lines inside them too, the first copy stays.
 
 Documents are ordered by id (null first), then as they stand in the table; each row is a document of its own, so of equal rows the later lose their lines. Null, empty and blank texts have no lines and lose none. An empty table gives an empty result.
 """
@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from .common import WORD, written
 
-MIN_WORDS = 40
+MIN_WORDS = 1
 
 
 def lines(docs: DataFrame) -> DataFrame:

@@ -338,6 +338,13 @@ def test_line_edges(edge, empty):
     assert line_runs.repeated_runs(edge, 40).count() == 0
 
 
+def test_short_repeated_lines_go(spark):
+    line = "all rights are held by those who wrote this"
+    df = spark.createDataFrame([(i, f"text {i} alone\n{line}\nend {i}\n}}") for i in range(4)], "doc_id long, text string")
+    got = {(r.doc_id, r.first_line, r.n_words) for r in line_runs.repeated_runs(df).collect()}
+    assert got == {(i, at, n) for i in (1, 2, 3) for at, n in ((1, 9), (3, 1))}
+
+
 # --- personal data -------------------------------------------------------------------
 
 BASE = {
