@@ -4,7 +4,7 @@ A file is a run of independent zstandard frames, each with a checksum of its con
 A document's ids are little-endian unsigned 32-bit integers, the end id last. Beside each file stands an index (Parquet) of its documents: where each begins and its length, in ids. So a reader decompresses only the frames that hold what it asks for.
 Documents stand in ascending doc_id order, within and across files; null ids come first, rows repeated under one id stand together (by text). Null text is empty: the end id alone. An empty table gives no documents.
 
-The tokenizer works on the words of a text: in its normaliser and its splitting pattern nothing reaches across ASCII white space, so a text's ids are those of its words in turn. Each word that a task meets is encoded once, by the tokenizers library, and remembered up to a bound.
+The tokenizer works on the words of a text: in its normaliser and its splitting pattern nothing reaches across ASCII white space, so a text's ids are those of its words in turn. Each word that a task meets is encoded once, by the tokenizers library, and remembered up to a bound. Words that hold the content of one of the tokenizer's added tokens, in any case, go to the library as they are, each time.
 Files go to a folder under the shared folder through pyarrow's file systems. A file is written under the name of its attempt and then renamed, and its contents depend on the range of ids alone, so an attempt that runs again, or twice, leaves the same file.
 """
 
@@ -49,6 +49,7 @@ class WordIds(dict):
 
         self.tokenizer, self.pieces = Tokenizer.from_file(path), {}
         self.model = self.tokenizer.model
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -59,9 +60,12 @@ class WordIds(dict):
 
     def text(self, raw: bytes) -> bytes:
         """Ids of a whole text (UTF-8)."""
-        if not _FAR.search(raw):
-            raw = raw.lower()
-        return b"".join(map(self.__getitem__, raw.split()))
+        low = raw.lower()
+        if held := [t for t in self.added if t in low]:
+            if any(t.split() != [t] for t in held):
+                return self.encode(raw.decode())
+            return b"".join(self.encode(w.decode()) if any(t in w.lower() for t in held) else self[w] for w in raw.split())
+        return b"".join(map(self.__getitem__, (raw if _FAR.search(raw) else low).split()))
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()

@@ -114,6 +114,20 @@ def test_words_encode_like_texts():
         assert ids == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_added_tokens_encode_like_the_library():
+    from tokenizers import Tokenizer
+
+    tokenizer, words = Tokenizer.from_file(tokenizer_path()), token_file.WordIds(tokenizer_path())
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    assert added
+    rng = random.Random(4)
+    for t in added:
+        long = "x" * 100 + t.upper()
+        for text in [t, f"a {t} b", f"A{t}'s É{t}!", t.upper(), long, long + "ß", f"Word {t.upper()} {t}{t} Ünd"] + ["".join(rng.choice([t, t.title(), " ", "a", "É", "<|", "'s", "\n"]) for _ in range(12)) for _ in range(30)]:
+            ids = np.frombuffer(words.text(text.encode()), "<u4").tolist()
+            assert ids == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_frames_are_independent_and_checked(tmp_path, monkeypatch):
     monkeypatch.setattr(token_file, "FRAME_BYTES", 100)
     parts = [bytes([i]) * (i * 7 % 130) for i in range(40)]
