@@ -14,9 +14,12 @@ from ..functions.geometry import area_ratio
 from . import metrics, smoothing
 from .tracking import Linker, frames_of
 
-#: The published grids of the tracker: small, and whole (28,800 settings).
+#: The published grids of the tracker: base (150 settings), and whole (28,800). EACH has the base's with misses and post-filters, so every setting of the base too.
+WHOLE = {"confidence": [0.1, 0.2, 0.25, 0.3, 0.4, 0.5], "max_area": [None, 0.05, 0.1, 0.15], "iou": [0.1, 0.2, 0.3, 0.4, 0.5], "max_misses": [0, 1, 2], "min_consecutive": [1, 2, 3, 4, 5], "min_mean_confidence": [None, 0.3, 0.4, 0.5], "min_area_change": [None, 1.0, 1.1, 1.2]}
+BASE = WHOLE | {"max_area": [None], "max_misses": [0], "min_mean_confidence": [None], "min_area_change": [None]}
+EACH = BASE | {"max_misses": [0, 1], "min_mean_confidence": [None, 0.4], "min_area_change": [None, 1.1]}
+#: What tracker_sweep takes if no grid is given; not a published one.
 SMALL = {"confidence": [0.3], "max_area": [None], "iou": [0.1, 0.2], "max_misses": [0, 1], "min_consecutive": [1, 2, 3, 4, 5], "min_mean_confidence": [None, 0.4], "min_area_change": [None, 1.1]}
-WHOLE = {"confidence": [0.1, 0.2, 0.3, 0.4, 0.5, 0.6], "max_area": [None, 0.02, 0.05, 0.1], "iou": [0.05, 0.1, 0.2, 0.3, 0.4], "max_misses": [0, 1, 2], "min_consecutive": [1, 2, 3, 4, 5], "min_mean_confidence": [None, 0.3, 0.4, 0.5], "min_area_change": [None, 1.05, 1.1, 1.2]}
 MATCHING = ["confidence", "max_area", "iou", "max_misses"]
 AFTER = ["min_consecutive", "min_mean_confidence", "min_area_change"]
 

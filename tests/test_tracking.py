@@ -158,3 +158,10 @@ def test_sweep_equals_single_runs(spark):
         alarm = tracking.alarms(tracking.track(spark.createDataFrame(long_form(kept), FRAMES), r.iou, r.max_misses, r.min_consecutive, r.min_mean_confidence, r.min_area_change), truth)
         assert alarm.where("is_positive and is_positive_gt").count() == r.tp
         assert alarm.where("is_positive and not is_positive_gt").count() == r.fp
+
+
+def test_grids_have_the_published_sizes():
+    size = lambda grid: __import__("math").prod(map(len, grid.values()))
+    assert size(sweep.BASE) == 150 and size(sweep.WHOLE) == 28_800
+    assert all(set(sweep.BASE[k]) <= set(sweep.EACH[k]) <= set(sweep.WHOLE[k]) for k in sweep.WHOLE)
+    assert sweep.WHOLE["max_area"] == [None, 0.05, 0.1, 0.15] and sweep.WHOLE["min_area_change"] == [None, 1.0, 1.1, 1.2]
