@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,10 +63,19 @@ def plain_count(word, scores):
 def test_trie_counts_like_viterbi():
     scores = token_counts.unigram([token_counts.START, "a", "b", "ab", "ba", "abab", token_counts.START + "a", "c", "bc"])
     rng = random.Random(1)
-    trie = token_counts.CountTrie(scores, nodes=40, words=30)
-    for _ in range(400):
-        word = "".join(rng.choice("abcé") for _ in range(rng.randint(1, 90)))
-        assert trie[word.encode()] == plain_count(word, scores)
+    pieces = token_counts.Pieces(scores)
+    words = sorted({"".join(rng.choice("abcé") for _ in range(rng.choice((1, 2, 3, 6, 90)))) for _ in range(900)}, key=lambda w: rng.random())
+    words += [words[0] * 40 + x for x in ("", "a", "ab", "é🙂", "é🙂" * 200)]  # a few long ones go on from a common prefix
+    for some in (words, words[:3], words[-5:], []):
+        got = pieces.count(pa.array(some, pa.large_string()))
+        assert got.tolist() == [plain_count(w, scores) for w in some]
+
+
+def test_words_are_split_like_the_pattern():
+    pieces = token_counts.Pieces(token_counts.unigram([token_counts.START, "a"]))
+    texts = ["", " ", " a\tb\n", "a\x0b\x0ca\ra", "a\x1fb\u00a0c\u2003d", "\n\na  a"]
+    n_words, _ = token_counts.counts(pa.array(texts, pa.large_string()).slice(1), pieces)
+    assert n_words.tolist() == [len(WORD.findall(t)) for t in texts[1:]]
 
 
 def test_token_counts(corpus, edge, empty):
