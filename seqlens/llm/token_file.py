@@ -2,14 +2,16 @@
 
 A file is a run of independent zstandard frames, each with a checksum of its content, and ends with the seek table of the public seekable format: a skippable frame that lists every frame's compressed size, size and checksum.
 A document's ids are little-endian unsigned 32-bit integers, the end id last. Beside each file stands an index (Parquet) of its documents: where each begins and its length, in ids. So a reader decompresses only the frames that hold what it asks for.
-Documents stand in ascending doc_id order, within and across files; null ids come first, rows repeated under one id stand together (by text). Null text is empty: the end id alone. An empty table gives no documents.
+Documents stand in ascending doc_id order, within and across files; null ids come first, rows repeated under one id stand together, by a hash of the text and then as they stand in the table. Null text is empty: the end id alone. An empty table gives no documents.
 
-The tokenizer works on the words of a text: in its normaliser and its splitting pattern nothing reaches across ASCII white space, so a text's ids are those of its words in turn. Each word that a task meets is encoded once, by the tokenizers library, and remembered up to a bound. Words that hold the content of one of the tokenizer's added tokens, in any case, go to the library as they are, each time.
-Files go to a folder under the shared folder through pyarrow's file systems. A file is written under the name of its attempt and then renamed, and its contents depend on the range of ids alone, so an attempt that runs again, or twice, leaves the same file.
+The tokenizers library encodes. If nothing in the tokenizer's file reaches across ASCII white space (its parts are compared with those of BY_WORD when it is loaded), a text's ids are those of its words in turn, so each distinct word of a slice of texts is encoded once and remembered up to a bound; otherwise whole texts are encoded. Under the same condition, words of composed Latin letters, digits and signs are cut into pieces as that file's pattern does, and only new pieces meet the library's merges; all other words go to the library as they are.
+Plan. Texts are encoded where they are read and the ids written; only ids are shuffled into ranges of documents.
+Files go to a folder under the shared folder through pyarrow's file systems. A file is written under the name of its attempt and then renamed, and its contents depend on the range of documents alone, so an attempt that runs again, or twice, leaves the same file.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -18,81 +20,156 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import shared_folder, slices, written
+from .kernels import offsets_and_bytes
 
 END = 1
 FRAME_BYTES = 1 << 18
-REMEMBER = 200_000
+#: Bytes of text whose words are looked up together, words (and pieces) that a worker remembers, and words that go to the library as one text.
+SLICE, REMEMBER, TOGETHER = 1 << 23, 300_000, 2000
 # Fixed values of the public seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _CHECKSUMS = 1 << 7
 
-#: Where a word has these characters only, its pieces can be told without the library: composed Latin letters, digits and signs.
-_PLAIN = re.compile("[\x21-\x7e\xa1-įı-ɏ]*")
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
-#: Bytes of characters from U+0240 on, combining marks among them. Without them A-Z may be lower-cased before the library does it.
-_FAR = re.compile(b"[\xc9-\xff]")
+# Normalisers and pre-tokenizers of a tokenizer file that keep ASCII white space apart and drop it.
+BY_WORD = {
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Stands between words that are encoded as one text.
+MARK = "\x1e"
+#: Characters that the rules of BY_WORD leave alone but for their case, and the pieces that its pattern finds in them, each word ending in a line feed.
+_OTHER = re.compile("[^\x21-\x7e\xa1-įı-ɏ]")
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+|\n")
 # The byte alphabet of byte-level models: printable Latin-1 bytes stand for themselves, the others for the characters from U+0100 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTES = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
+_BYTES = str.maketrans({b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))})
 
 
-class WordIds(dict):
-    """Word (bytes) to its ids (bytes), filled by the library as words are met, up to REMEMBER of them; further ones are encoded each time."""
+def _parts(part: dict | None, name: str) -> list[dict]:
+    return [] if part is None else part[name] if part["type"] == "Sequence" else [part]
+
+
+class Encoder:
+    """Texts to ids by the library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.pieces = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        plain = all(p in BY_WORD[n] for n, one in (("normalizers", "normalizer"), ("pretokenizers", "pre_tokenizer")) for p in _parts(rules[one], n))
+        dropped = any(p["type"] == "Split" and p["behavior"] == "Removed" for p in _parts(rules["pre_tokenizer"], "pretokenizers"))
+        whole = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and t["content"].split() == [t["content"]] for t in rules["added_tokens"])
+        mark = self.ids([MARK])[0]
+        self.by_word, self.mark = plain and dropped and whole and rules["post_processor"] is None and len(mark) == 1, mark[0] if len(mark) else 0
+        self.added = [t["content"] for t in rules["added_tokens"]]
+        self.known: dict[str, int] = {}  # word to its place in the remembered ids
+        self.kept, self.kept_at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.pieces: dict[str, bytes] = {}
         self.model = self.tokenizer.model
-        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, flat, and each word's offsets."""
+        joined = "\n".join(words)
+        if any(t in joined for t in self.added) or _OTHER.search(joined.replace("\n", "")):
+            other = np.array([bool(_OTHER.search(w)) or any(t in w for t in self.added) for w in words], bool)
+            some, far = self.plain([w for w, o in zip(words, other) if not o]), self.far([w for w, o in zip(words, other) if o])
+            sizes, begin = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+            for mask, (flat, off), shift in ((~other, some, 0), (other, far, len(some[0]))):
+                sizes[mask], begin[mask] = np.diff(off), off[:-1] + shift
+            return _gathered(np.concatenate((some[0], far[0])), begin, sizes)
+        return self.plain(words)
+
+    def plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words without other characters or added tokens: by pieces."""
+        found = pa.array(_PIECE.findall("\n".join([*words, ""]).lower()), pa.string()).dictionary_encode()
+        raws = [self.piece(p) for p in found.dictionary.to_pylist()]
+        size = np.array([len(r) // 4 for r in raws], np.int64)
+        at = found.indices.to_numpy()
+        flat, upto = _gathered(np.frombuffer(b"".join(raws), "<u4"), np.cumsum(size) - size, size, at)
+        ends = np.flatnonzero(at == at[-1]) if len(words) else np.zeros(0, np.int64)  # the last is a line feed
+        return flat, np.concatenate(([0], upto[ends + 1]))
 
     def piece(self, text: str) -> bytes:
-        """Ids of one piece as the splitting pattern gives it, lower-cased: the library's merges alone."""
-        return np.array([t.id for t in self.model.tokenize("".join(map(_BYTES.__getitem__, text.encode())))], "<u4").tobytes()
-
-    def text(self, raw: bytes) -> bytes:
-        """Ids of a whole text (UTF-8)."""
-        low = raw.lower()
-        if held := [t for t in self.added if t in low]:
-            if any(t.split() != [t] for t in held):
-                return self.encode(raw.decode())
-            return b"".join(self.encode(w.decode()) if any(t in w.lower() for t in held) else self[w] for w in raw.split())
-        return b"".join(map(self.__getitem__, (raw if _FAR.search(raw) else low).split()))
-
-    def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        if len(text) < 100 and _PLAIN.fullmatch(text):
-            out = []
-            for piece in _PIECE.findall(text.lower()):
-                if (ids := self.pieces.get(piece)) is None:
-                    ids = self.piece(piece)
-                    if len(self.pieces) < REMEMBER:
-                        self.pieces[piece] = ids
-                out.append(ids)
-            ids = b"".join(out)
-        else:
-            ids = self.encode(text)
-        if len(self) < REMEMBER and len(text) < 100:
-            self[word] = ids
-        return ids
-
-
-_word_ids: dict[str, WordIds] = {}
-
-
-def encoder(path: str) -> WordIds:
+        if (raw := self.pieces.get(text)) is None:
+            known = text if text.isascii() else text.encode().decode("latin-1").translate(_BYTES)
+            ids = [] if text == "\n" else [t.id for t in self.model.tokenize(known)]
+            raw = struct.pack(f"<{len(ids)}I", *ids)
+            if len(self.pieces) < REMEMBER and len(text) < 100:
+                self.pieces[text] = raw
+        return raw
+
+    def far(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any words: they go to the library together, with a mark between them whose id no other word has."""
+        flat, sizes = [], []
+        for i in range(0, len(words), TOGETHER):
+            some = words[i : i + TOGETHER]
+            joined = np.array(self.ids([f" {MARK} ".join(some)])[0], np.uint32)
+            cuts = np.flatnonzero(joined == self.mark)
+            if len(cuts) == len(some) - 1 and not any(MARK in w for w in some):
+                flat.append(np.delete(joined, cuts))
+                sizes.append(np.diff(np.concatenate(([-1], cuts, [len(joined)]))) - 1)
+            else:  # a word holds the mark: one by one
+                each = self.ids(some)
+                flat.append(np.array([t for ids in each for t in ids], np.uint32))
+                sizes.append(np.array([len(ids) for ids in each], np.int64))
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        return join(flat, np.uint32), np.concatenate(([0], np.cumsum(join(sizes, np.int64))))
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts (large_string, no nulls), flat, and each text's offsets."""
+        if not self.by_word:
+            each = self.ids(texts.to_pylist())
+            return np.array([t for ids in each for t in ids], np.uint32), np.concatenate(([0], np.cumsum([len(ids) for ids in each], dtype=np.int64)))
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        n = len(coded.dictionary)
+        off, data = offsets_and_bytes(coded.dictionary)
+        distinct = np.insert(data, off[1:], ord("\n")).tobytes().decode().split("\n")[:-1]
+        place = np.fromiter((self.known.get(w, -1) for w in distinct), np.int64, n)
+        missing = np.flatnonzero(place < 0)
+        fresh, fresh_at = self.words([distinct[i] for i in missing])
+        # remembered and fresh ids side by side
+        flat = np.concatenate((self.kept, fresh))
+        begin = np.concatenate((self.kept_at[:-1], len(self.kept) + fresh_at[:-1]))
+        size = np.concatenate((np.diff(self.kept_at), np.diff(fresh_at)))
+        place[missing] = len(self.known) + np.arange(len(missing))
+        more = [i for i in range(len(missing)) if len(distinct[missing[i]]) < 100][: max(0, REMEMBER - len(self.known))]
+        if more:
+            self.known.update(zip((distinct[missing[i]] for i in more), range(len(self.known), len(self.known) + len(more))))
+            added, upto = _gathered(fresh, fresh_at[more], np.diff(fresh_at)[more])
+            self.kept, self.kept_at = np.concatenate((self.kept, added)), np.concatenate((self.kept_at, len(self.kept) + upto[1:]))
+        ids, upto = _gathered(flat, begin, size, place[coded.indices.to_numpy()])
+        return ids, upto[split.offsets.to_numpy() - split.offsets[0].as_py()] if len(split) else np.zeros(1, np.int64)
+
+
+def _gathered(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of flat one after another, flat, and their offsets: run i has size[i] from begin[i] on; at: which runs, all by default."""
+    begin, size = (begin, size) if at is None else (begin[at], size[at])
+    upto = np.concatenate(([0], np.cumsum(size)))
+    return flat[np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])], upto
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
     """One for each worker process and file."""
-    if path not in _word_ids:
-        _word_ids[path] = WordIds(path)
-    return _word_ids[path]
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 class FrameWriter:
@@ -169,39 +246,53 @@ def _place(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """Of each row of docs (doc_id, text): doc_id, h (a hash of the text), ids (binary, the end id last)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library = encoder(tokenizer)
+        for batch in batches:
+            for part, texts in slices(batch, "text", SLICE):
+                ids, off = library.texts(texts)
+                raw = np.insert(ids, off[1:], END).astype("<u4")
+                off = 4 * (off + np.arange(len(off)))
+                column = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+                yield pa.record_batch([part.column("doc_id"), part.column("h"), column], ["doc_id", "h", "ids"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    return rows.mapInArrow(run, "doc_id long, h long, ids binary")
+
+
 def write(docs: DataFrame, tokenizer: str, folder: str, files: int | None = None) -> DataFrame:
     """Encode docs (doc_id, text) into files under folder. Returns the index: file, nth (in the file), doc_id, at and n_tokens (in ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, task = encoder(tokenizer), TaskContext.get()
+        task = TaskContext.get()
         system, path = _place(folder)
         name = f"part-{task.partitionId():06d}.zst"
         mine = f"{path}/.{name}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
         system.create_dir(path, recursive=True)
-        end, at, nth, index = np.array([END], "<u4").tobytes(), 0, 0, []
+        at, nth, index = 0, 0, []
         with system.open_output_stream(mine) as stream:
             writer = FrameWriter(stream)
             for batch in batches:
-                for part, texts in slices(batch, "text"):
-                    ats, sizes = [], []
-                    for raw in texts.cast(pa.large_binary()).to_pylist():
-                        ids = words.text(raw) + end
-                        writer.add(ids)
-                        ats.append(at), sizes.append(len(ids) // 4)
-                        at += len(ids) // 4
-                    n = len(ats)
-                    index.append(pa.record_batch([pa.array([name] * n, pa.string()), pa.array(range(nth, nth + n), pa.int64()), part.column("doc_id"), pa.array(ats, pa.int64()), pa.array(sizes, pa.int64())], ["file", "nth", "doc_id", "at", "n_tokens"]))
-                    nth += n
+                rows = batch.column("ids").to_pylist()
+                n, sizes = len(rows), np.array([len(raw) // 4 for raw in rows], np.int64)
+                for raw in rows:
+                    writer.add(raw)
+                upto = at + np.cumsum(sizes)
+                index.append(pa.record_batch([pa.array([name] * n, pa.string()), pa.array(range(nth, nth + n), pa.int64()), batch.column("doc_id"), pa.array(upto - sizes, pa.int64()), pa.array(sizes, pa.int64())], ["file", "nth", "doc_id", "at", "n_tokens"]))
+                at, nth = int(upto[-1]) if n else at, nth + n
             writer.close()
         system.move(mine, f"{path}/{name}")
         yield from index
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = docs.repartitionByRange(*([files] if files else []), F.col("doc_id").asc_nulls_first(), "text") if files else docs.repartitionByRange(F.col("doc_id").asc_nulls_first())
-    index = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(run, "file string, nth long, doc_id long, at long, n_tokens long")
-    return written(index, "token-index")
+    rows = written(encoded(docs, tokenizer).withColumn("row", F.monotonically_increasing_id()), "token-ids")
+    order = [F.col("doc_id").asc_nulls_first(), "h", "row"]
+    dealt = rows.repartitionByRange(*([files] if files else []), *order).sortWithinPartitions(*order)
+    return written(dealt.select("doc_id", "ids").mapInArrow(run, "file string, nth long, doc_id long, at long, n_tokens long"), "token-index")
 
 
 def read(index: DataFrame, folder: str) -> DataFrame:

@@ -111,30 +111,72 @@ def test_token_file_round_trip(corpus, edge, empty):
     assert token_file.round_trip(empty, tokenizer_path()).count() == 0
 
 
+def ids_of(encoder, *texts):
+    ids, off = encoder.texts(pa.array(texts, pa.large_string()))
+    assert len(off) == len(texts) + 1 and off[-1] == len(ids)
+    return ids.tolist()
+
+
+def test_many_words_and_the_mark(monkeypatch):
+    """Words are remembered up to a bound, and one that holds the mark itself is encoded by itself."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_file, "REMEMBER", 50), monkeypatch.setattr(token_file, "TOGETHER", 7)
+    tokenizer, words = Tokenizer.from_file(tokenizer_path()), token_file.Encoder(tokenizer_path())
+    assert words.by_word
+    rng = random.Random(8)
+    for _ in range(20):
+        texts = [" ".join(rng.choice(["x", f"w{rng.randint(0, 300)}", "\x1e", "a\x1eb", "\x1e\x1e", "é\x1e"]) for _ in range(rng.randint(0, 30))) for _ in range(9)]
+        ids, off = words.texts(pa.array(texts, pa.large_string()))
+        for i, text in enumerate(texts):
+            assert ids[off[i] : off[i + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    assert len(words.known) == 50
+
+
+def test_every_plain_character_is_cut_like_the_library():
+    from tokenizers import Tokenizer
+
+    tokenizer, words = Tokenizer.from_file(tokenizer_path()), token_file.Encoder(tokenizer_path())
+    chars = [chr(c) for c in range(0x21, 0x250) if not chr(c).isspace()]
+    for other in ["", "a", "1", ".", "'", "S", "é"]:
+        text = " ".join(x for c in chars for x in (c + other, other + c, c + c + other + c))
+        assert ids_of(words, text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_another_tokenizer_encodes_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    tokenizer, words = Tokenizer.from_file(path), token_file.Encoder(path)
+    assert not words.by_word
+    texts = ["Two  words\n\n", "", " and <|endoftext|> é"]
+    assert ids_of(words, *texts) == [i for t in texts for i in tokenizer.encode(t, add_special_tokens=False).ids]
+
+
 def test_words_encode_like_texts():
     from tokenizers import Tokenizer
 
-    tokenizer, words = Tokenizer.from_file(tokenizer_path()), token_file.WordIds(tokenizer_path())
+    tokenizer, words = Tokenizer.from_file(tokenizer_path()), token_file.Encoder(tokenizer_path())
     rng = random.Random(3)
     pool = "abzABZ éÉñßÆİıǅΣσς'’.,!?$%#&*-_0123456789²½\t\n  ́­ﬁ中🙂"
     for _ in range(300):
         text = "".join(rng.choice(pool) for _ in range(rng.randint(0, 60)))
         text = rng.choice([text, text + " don't I'll they're O'Neil's 'tis", text.upper()])
-        ids = np.frombuffer(words.text(text.encode()), "<u4").tolist()
+        ids = ids_of(words, text)
         assert ids == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_added_tokens_encode_like_the_library():
     from tokenizers import Tokenizer
 
-    tokenizer, words = Tokenizer.from_file(tokenizer_path()), token_file.WordIds(tokenizer_path())
+    tokenizer, words = Tokenizer.from_file(tokenizer_path()), token_file.Encoder(tokenizer_path())
     added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     assert added
     rng = random.Random(4)
     for t in added:
         long = "x" * 100 + t.upper()
         for text in [t, f"a {t} b", f"A{t}'s É{t}!", t.upper(), long, long + "ß", f"Word {t.upper()} {t}{t} Ünd"] + ["".join(rng.choice([t, t.title(), " ", "a", "É", "<|", "'s", "\n"]) for _ in range(12)) for _ in range(30)]:
-            ids = np.frombuffer(words.text(text.encode()), "<u4").tolist()
+            ids = ids_of(words, text)
             assert ids == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
