@@ -307,6 +307,22 @@ def test_mix_edges(edge, empty, corpus):
     assert times == {r.doc_id: r.taken // r["size"] for r in mixing.taken_words(corpus).collect() if r.taken}
 
 
+def test_mix_of_rows_that_repeat_an_id(spark):
+    """Ids with several texts, equal rows, and null ids that hold a third of all: each row counts for itself."""
+    rows = [(i % 20, f"w{i} " * (1 + i % 7), "a" if i % 20 < 15 else "b") for i in range(60)]
+    rows += [(None, f"null {i}", "a") for i in range(40)] + [(77, "always the same text", "c")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got, kept = mixing.taken_words(docs).collect(), mixing.sampled(docs).collect()
+    assert len(got) == len(rows) and all(r.taken % r["size"] == 0 and r.taken <= 3 * r["size"] for r in got)
+    assert sum(r.taken for r in got) == sum(len(WORD.findall(r.text)) for r in kept)
+    for source, target in mixing.targets({s: sum(len(WORD.findall(t)) for _, t, x in rows if x == s) for s in "abc"}).items():
+        assert abs(sum(len(WORD.findall(r.text)) for r in kept if r.source == source) - target) <= 14
+    assert {tuple(r) for r in kept} <= set(rows)
+    again = mixing.taken_words(docs.repartition(5, "text")).collect()
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r["size"], r.taken)
+    assert sorted(map(key, got)) == sorted(map(key, again))
+
+
 # --- fingerprints -------------------------------------------------------------------
 
 
