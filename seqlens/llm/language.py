@@ -6,6 +6,7 @@ Text is lower-cased and all but letters become spaces before it is learned from
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -32,21 +33,27 @@ def held_out(doc_id) -> F.Column:
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
-    """A dictionary for each language, from a bounded sample of labelled rows: of the sample_docs rows first by a hash of the id, whole texts up to sample_bytes, those of at most a twentieth of that first.
+    """A dictionary for each language, from a bounded sample of labelled rows: of the sample_docs rows first by a hash of the id, whole texts up to sample_bytes, those of at most a twentieth of that first. An id counts once in a language, with the least of its texts.
 
     Only ids and languages are ranked; the texts of the chosen few are read afterwards."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample_docs)
-    chosen = chosen.select(F.col("doc_id").alias("chosen_id"), "nth")
-    rows = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id"))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("doc_id").alias("ids")).collect()  # a row for each language
+    often = {r["lang"]: r["n"] for r in counts}
+    # only ids that the hash puts early are ranked: more than twice as many as are wanted, however many there are
+    parts = docs.sparkSession.createDataFrame([(r["lang"], math.ceil(r["ids"] / (3 * sample_docs + 100))) for r in counts], "of string, parts long")
+    early = labelled.select("doc_id", "lang").join(F.broadcast(parts), F.col("lang") == F.col("of"))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    early = early.where(place < F.expr("9223372036854775807 div parts")).select("doc_id", "lang").distinct()
+    order = Window.partitionBy("lang").orderBy(place, "doc_id")
+    chosen = early.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample_docs).select(F.col("doc_id").alias("chosen_id"), F.col("lang").alias("chosen_lang"), "nth")
+    rows = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), (F.col("doc_id") == F.col("chosen_id")) & (F.col("lang") == F.col("chosen_lang")))
+    rows = rows.groupBy("lang", "nth").agg(F.min("text").alias("text"))
     rows = rows.withColumn("n", F.octet_length("text")).withColumn("long", F.col("n") > sample_bytes // 20)
     filling = Window.partitionBy("lang").orderBy("long", "nth", "text")
     rows = rows.withColumn("held", F.sum("n").over(filling.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("held") <= sample_bytes) | (F.col("held") == F.col("n")))
     found: dict[str, list[bytes]] = {}
     for lang, _, _, text in sorted(rows.select("lang", "long", "nth", "text").collect()):
         found.setdefault(lang, []).append(folded(text))
-    often = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
     return {lang: b"\n".join(found[lang]) for lang in sorted(found, key=lambda x: (-often[x], x))}
 
 
