@@ -18,13 +18,24 @@ from .common import WORD, written
 MIN_WORDS = 1
 
 
+def _trimmed(line: F.Column) -> F.Column:
+    """line without white space at its end and spaces at its start; a last character above the space needs no pattern."""
+    return F.trim(F.when(F.substring(line, -1, 1) > " ", line).otherwise(F.regexp_replace(line, "\\s+$", "")))
+
+
+def _words(line: F.Column) -> F.Column:
+    """Words of a line that isn't blank and is trimmed: single spaces are counted as bytes, other white space by the pattern."""
+    odd = line.contains("  ") | line.contains("\t") | line.contains("\r") | line.contains("\x0b") | line.contains("\x0c")
+    return F.when(odd, F.regexp_count(line, F.lit(WORD))).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """row, doc_id, pos (among lines that aren't blank), line_no (from 0), h1, h2 (its ID), n_words."""
-    split = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line_no"), F.trim(F.regexp_replace(x, "\\s+$", "")).alias("line")))
+    split = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line_no"), _trimmed(x).alias("line")))
     some = F.filter(split, lambda x: x["line"] != "")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     each = rows.select("row", "doc_id", F.posexplode(some).alias("pos", "x")).select("row", "doc_id", "pos", "x.*")
-    return each.select("row", "doc_id", "pos", "line_no", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), F.regexp_count("line", F.lit(WORD)).alias("n_words"))
+    return each.select("row", "doc_id", "pos", "line_no", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), _words(F.col("line")).alias("n_words"))
 
 
 def _ranked(groups: DataFrame, keys: list[str], name: str = "rank") -> DataFrame:

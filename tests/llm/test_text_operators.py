@@ -44,6 +44,12 @@ def test_language_edges(spoken, edge, empty):
     assert all(r.lang_pred == "und" and r.rejected for r in unlearned)
 
 
+def test_repeated_ids_are_learned_once(spoken):
+    more = spoken.where("doc_id = 0").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("n").unionByName(spoken)
+    assert language.learn(more).keys() == language.learn(spoken).keys()
+    assert all(sorted(language.learn(more)[k].split(b"\n")) == sorted(v.split(b"\n")) for k, v in language.learn(spoken).items())
+
+
 # --- token counts ---------------------------------------------------------------
 
 
@@ -420,6 +426,15 @@ def test_line_edges(edge, empty):
     assert line_runs.repeated_runs(edge, 40).count() == 0
 
 
+def test_lines_are_trimmed_and_counted_like_patterns(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab é\u3000 \t\r\x0b\x0c\n\x01  ") for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    want = [(d, no, x, len(WORD.findall(x))) for d, text in enumerate(texts) for no, line in enumerate(text.split("\n")) if (x := re.sub(r"[ \t\x0b\x0c\r]+$", "", line).strip(" "))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hashed = spark.createDataFrame(want, "doc_id long, line_no int, line string, n_words int").select("doc_id", "line_no", F.xxhash64("line").alias("h1"), "n_words")
+    assert sorted(map(tuple, line_runs.lines(docs).select("doc_id", "line_no", "h1", "n_words").collect())) == sorted(map(tuple, hashed.collect()))
+
+
 def test_short_repeated_lines_go(spark):
     line = "all rights are held by those who wrote this"
     df = spark.createDataFrame([(i, f"text {i} alone\n{line}\nend {i}\n}}") for i in range(4)], "doc_id long, text string")
