@@ -14,6 +14,7 @@ from ..functions.scalar import calibrated
 from . import shape, smoothing, tracking, tubes
 from .joins import attach_truth
 from .metrics import sequence_metrics
+from .tracking import by_sequence
 from .tube_scores import FEATURES
 
 
@@ -71,7 +72,7 @@ class PythonModel:
             return pd.DataFrame({"sequence_id": [rows["sequence_id"].iloc[0]], "is_positive": [positive], "trigger_frame_index": pd.array([trigger], "Int32"), "details": [details]})
 
         kind = frames.schema["sequence_id"].dataType.simpleString()
-        return frames.groupBy("sequence_id").applyInPandas(kernel, f"sequence_id {kind}, is_positive boolean, trigger_frame_index int, details string")
+        return by_sequence(frames).groupBy("sequence_id").applyInPandas(kernel, f"sequence_id {kind}, is_positive boolean, trigger_frame_index int, details string")
 
 
 class Registry:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import area_ratio
 from . import metrics, smoothing
-from .tracking import Linker, frames_of
+from .tracking import Linker, by_sequence, frames_of
 
 #: The published grids of the tracker: base (150 settings), and whole (28,800). EACH has the base's with misses and post-filters, so every setting of the base too.
 WHOLE = {"confidence": [0.1, 0.2, 0.25, 0.3, 0.4, 0.5], "max_area": [None, 0.05, 0.1, 0.15], "iou": [0.1, 0.2, 0.3, 0.4, 0.5], "max_misses": [0, 1, 2], "min_consecutive": [1, 2, 3, 4, 5], "min_mean_confidence": [None, 0.3, 0.4, 0.5], "min_area_change": [None, 1.0, 1.1, 1.2]}
@@ -37,17 +37,19 @@ def matched_tracks(frames: DataFrame, grid: dict) -> DataFrame:
 
     def kernel(rows: pd.DataFrame) -> pd.DataFrame:
         key, out = rows["sequence_id"].iloc[0], []
-        conf = {(int(r.frame_idx), int(r.det_idx)): r.confidence for r in rows[rows["det_idx"].notna()].itertuples()}
-        frames = list(frames_of(rows))
+        some = rows[rows["det_idx"].notna()]
+        conf = dict(zip(zip(some["frame_idx"].tolist(), some["det_idx"].tolist()), some["confidence"].tolist()))
+        frames, kept = list(frames_of(rows)), {}
         for s, (least, most, iou, misses) in settings:
+            if (least, most) not in kept:
+                kept[least, most] = [(at, [(b, conf[at, j]) for j, b in zip(dets, boxes) if conf[at, j] >= least and (most is None or b[2] * b[3] <= most)]) for at, dets, boxes in frames]
             linker, tracks = Linker(iou, misses), {}
-            for at, dets, boxes in frames:
-                keep = [j for j, b in zip(dets, boxes) if conf[at, j] >= least and (most is None or b[2] * b[3] <= most)]
-                box_of = dict(zip(dets, boxes))
-                for t, j, streak, _ in linker.step([box_of[j] for j in keep])["hits"]:
-                    x = tracks.setdefault(t, {"conf": [], "first": box_of[keep[j]], "reached": [None] * longest})
-                    x["conf"].append(conf[at, keep[j]])
-                    x["last"] = box_of[keep[j]]
+            for at, seen in kept[least, most]:
+                for t, j, streak, _ in linker.step([b for b, _ in seen])["hits"]:
+                    box, sure = seen[j]
+                    x = tracks.setdefault(t, {"conf": [], "first": box, "reached": [None] * longest})
+                    x["conf"].append(sure)
+                    x["last"] = box
                     if streak <= longest and x["reached"][streak - 1] is None:
                         x["reached"][streak - 1] = at
             out += [(key, s, t, sum(x["conf"]) / len(x["conf"]), x["first"][2] * x["first"][3], x["last"][2] * x["last"][3], x["reached"]) for t, x in tracks.items()]
@@ -55,7 +57,7 @@ def matched_tracks(frames: DataFrame, grid: dict) -> DataFrame:
 
     keep = frames.select("sequence_id", "frame_idx", "det_idx", "cx", "cy", "w", "h", "confidence")
     kind = keep.schema["sequence_id"].dataType.simpleString()
-    tracks = keep.groupBy("sequence_id").applyInPandas(kernel, f"sequence_id {kind}, setting int, track_id int, mean_confidence double, first_area double, last_area double, reached array<int>")
+    tracks = by_sequence(keep).groupBy("sequence_id").applyInPandas(kernel, f"sequence_id {kind}, setting int, track_id int, mean_confidence double, first_area double, last_area double, reached array<int>")
     named = keep.sparkSession.createDataFrame([(s, *p) for s, p in settings], "setting int, confidence double, max_area double, iou double, max_misses int")
     return tracks.join(F.broadcast(named), "setting").withColumn("area_ratio", area_ratio("first_area", "last_area")).drop("first_area", "last_area")
 

@@ -6,6 +6,7 @@ A camera sequence is the unit of work: sequences are short (frames of one alarm)
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -77,9 +78,16 @@ TRACE = "sequence_id long, frame_idx int, n_detections int, matches array<struct
 def frames_of(rows: pd.DataFrame) -> Iterator[tuple[int, list[int], list[tuple]]]:
     """Of a sequence in long form (a frame without detections has one row with a null det_idx): frame_idx, det_idx and boxes of each frame in order."""
     rows = rows.sort_values(["frame_idx", "det_idx"], kind="stable")
-    for at, frame in rows.groupby("frame_idx", sort=True):
-        seen = frame[frame["det_idx"].notna()]
-        yield int(at), seen["det_idx"].astype(int).tolist(), list(zip(seen["cx"], seen["cy"], seen["w"], seen["h"]))
+    at, seen, dets = rows["frame_idx"].tolist(), rows["det_idx"].notna().tolist(), rows["det_idx"].tolist()
+    boxes = list(zip(*(rows[c].tolist() for c in ("cx", "cy", "w", "h"))))
+    for frame, group in groupby(range(len(at)), key=at.__getitem__):
+        here = [i for i in group if seen[i]]
+        yield int(frame), [int(dets[i]) for i in here], [boxes[i] for i in here]
+
+
+def by_sequence(rows: DataFrame) -> DataFrame:
+    """rows dealt by sequence over twice the shuffle partitions. Kernels cost time by row, not by byte: partitions of a given number aren't merged for being small, as those of an aggregate are, and with another number than an aggregate's the step isn't taken for a needless one."""
+    return rows.repartition(2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sequence_id")
 
 
 def _typed(schema: str, sequence_type: str) -> str:
@@ -96,7 +104,7 @@ def link(frames: DataFrame, min_iou: float, max_misses: int) -> DataFrame:
         return pd.DataFrame(out, columns=["sequence_id", "track_id", "frame_idx", "det_idx", "streak", "iou"])
 
     keep = frames.select("sequence_id", "frame_idx", "det_idx", "cx", "cy", "w", "h")
-    return keep.groupBy("sequence_id").applyInPandas(kernel, _typed(HITS, keep.schema["sequence_id"].dataType.simpleString()))
+    return by_sequence(keep).groupBy("sequence_id").applyInPandas(kernel, _typed(HITS, keep.schema["sequence_id"].dataType.simpleString()))
 
 
 def trace(frames: DataFrame, min_iou: float, max_misses: int) -> DataFrame:
@@ -111,7 +119,7 @@ def trace(frames: DataFrame, min_iou: float, max_misses: int) -> DataFrame:
         return pd.DataFrame(out, columns=["sequence_id", "frame_idx", "n_detections", "matches", "new_ids", "missed_ids", "pruned_ids"])
 
     keep = frames.select("sequence_id", "frame_idx", "det_idx", "cx", "cy", "w", "h")
-    return keep.groupBy("sequence_id").applyInPandas(kernel, _typed(TRACE, keep.schema["sequence_id"].dataType.simpleString()))
+    return by_sequence(keep).groupBy("sequence_id").applyInPandas(kernel, _typed(TRACE, keep.schema["sequence_id"].dataType.simpleString()))
 
 
 def confirmations(hits: DataFrame, min_consecutive: int) -> DataFrame:

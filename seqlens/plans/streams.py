@@ -87,9 +87,15 @@ def l1_evaluate_models(spark, d):
 
 @query("SELECT sequence_id, frame_idx, round(sum(confidence * w * h), 6) AS score FROM v_det GROUP BY 1, 2")
 def l3_score_frames(spark, d):
-    rows = A.detections(spark, d).groupBy("sequence_id", "frame_idx").agg(F.collect_list(F.col("confidence") * F.col("w") * F.col("h")).alias("parts"))
+    rows = A.detections(spark, d).groupBy("sequence_id", "frame_idx").agg(F.array_sort(F.collect_list(F.struct("det_idx", (F.col("confidence") * F.col("w") * F.col("h")).alias("part")))).getField("part").alias("parts"))
+
+    def in_order(parts) -> float:
+        total = 0.0
+        for x in parts:  # one after another by det_idx: the sum's last digit depends on the order
+            total += float(x)
+        return total
 
     def load():
-        return lambda batch: pd.DataFrame({"sequence_id": batch["sequence_id"], "frame_idx": batch["frame_idx"], "score": [float(sum(x)) for x in batch["parts"]]})
+        return lambda batch: pd.DataFrame({"sequence_id": batch["sequence_id"], "frame_idx": batch["frame_idx"], "score": [in_order(x) for x in batch["parts"]]})
 
     return rounded(models.score_frames(rows, load, "sequence_id long, frame_idx int, score double"))
