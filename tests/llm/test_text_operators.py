@@ -494,6 +494,18 @@ def test_personal_data(spark, edge, empty):
     assert personal.personal_data(empty).count() == 0
 
 
+def test_bare_numbers_that_fail_the_check_are_left_alone(spark):
+    rng, rows = random.Random(3), []
+    numbers = ["4" + "".join(rng.choice("0123456789") for _ in range(15)) for _ in range(900)]
+    good, bad = [n for n in numbers if personal.luhn(n)], [n for n in numbers if not personal.luhn(n)]
+    rows = [(i, f"my card {n} is here") for i, n in enumerate(good)] + [(1000 + i, f"the center of {n} the hill") for i, n in enumerate(bad)]
+    rows += [(5000 + i, f"email bob{i} at mail{i} dot com or ann{i}@mail.example.com") for i in range(60)]
+    got = {r.doc_id: r for r in personal.digests(personal.personal_data(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert all(got[d].spans == "card:8:24" for d in range(len(good)))
+    assert not any(got[1000 + i].spans for i in range(len(bad)))
+    assert all(len(got[5000 + i].spans.split(",")) == 2 for i in range(60))
+
+
 def test_reliabilities_find_the_bad_labeler():
     rng, counts = random.Random(1), {}
     for _ in range(4000):
