@@ -31,7 +31,7 @@ from .kernels import offsets_and_bytes
 END = 1
 FRAME_BYTES = 1 << 18
 #: Bytes of text whose words are looked up together, words (and pieces) that a worker remembers, and words that go to the library as one text.
-SLICE, REMEMBER, TOGETHER = 1 << 23, 300_000, 2000
+SLICE, REMEMBER, TOGETHER = 1 << 22, 150_000, 2000
 # Fixed values of the public seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _CHECKSUMS = 1 << 7
@@ -247,7 +247,7 @@ def _place(uri: str):
 
 
 def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Of each row of docs (doc_id, text): doc_id, h (a hash of the text), ids (binary, the end id last)."""
+    """Of each row of docs (doc_id, text): doc_id, h (a hash of the text), ids (binary, the end id last) and width, the bytes of an id in it: 2 where all ids of a slice fit, else 4."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = encoder(tokenizer)
@@ -255,12 +255,13 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
             for part, texts in slices(batch, "text", SLICE):
                 ids, off = library.texts(texts)
                 raw = np.insert(ids, off[1:], END).astype("<u4")
-                off = 4 * (off + np.arange(len(off)))
-                column = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
-                yield pa.record_batch([part.column("doc_id"), part.column("h"), column], ["doc_id", "h", "ids"])
+                width = 2 if raw.max() < 1 << 16 else 4
+                off = width * (off + np.arange(len(off)))
+                column = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(raw.astype(f"<u{width}"))]).cast(pa.binary())
+                yield pa.record_batch([part.column("doc_id"), part.column("h"), column, pa.array([width] * len(texts), pa.int32())], ["doc_id", "h", "ids", "width"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    return rows.mapInArrow(run, "doc_id long, h long, ids binary")
+    return rows.mapInArrow(run, "doc_id long, h long, ids binary, width int")
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str, files: int | None = None) -> DataFrame:
@@ -278,10 +279,12 @@ def write(docs: DataFrame, tokenizer: str, folder: str, files: int | None = None
         with system.open_output_stream(mine) as stream:
             writer = FrameWriter(stream)
             for batch in batches:
-                rows = batch.column("ids").to_pylist()
-                n, sizes = len(rows), np.array([len(raw) // 4 for raw in rows], np.int64)
-                for raw in rows:
-                    writer.add(raw)
+                rows, widths = batch.column("ids"), batch.column("width").to_pylist()
+                n, sizes = len(rows), np.zeros(len(rows), np.int64)
+                for i, (raw, width) in enumerate(zip(rows, widths)):
+                    ids = np.frombuffer(raw.as_buffer(), f"<u{width}").astype("<u4")
+                    sizes[i] = len(ids)
+                    writer.add(ids.tobytes())
                 upto = at + np.cumsum(sizes)
                 index.append(pa.record_batch([pa.array([name] * n, pa.string()), pa.array(range(nth, nth + n), pa.int64()), batch.column("doc_id"), pa.array(upto - sizes, pa.int64()), pa.array(sizes, pa.int64())], ["file", "nth", "doc_id", "at", "n_tokens"]))
                 at, nth = int(upto[-1]) if n else at, nth + n
@@ -292,7 +295,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, files: int | None = None
     rows = written(encoded(docs, tokenizer).withColumn("row", F.monotonically_increasing_id()), "token-ids")
     order = [F.col("doc_id").asc_nulls_first(), "h", "row"]
     dealt = rows.repartitionByRange(*([files] if files else []), *order).sortWithinPartitions(*order)
-    return written(dealt.select("doc_id", "ids").mapInArrow(run, "file string, nth long, doc_id long, at long, n_tokens long"), "token-index")
+    return written(dealt.select("doc_id", "ids", "width").mapInArrow(run, "file string, nth long, doc_id long, at long, n_tokens long"), "token-index")
 
 
 def read(index: DataFrame, folder: str) -> DataFrame:
