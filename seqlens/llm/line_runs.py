@@ -43,16 +43,28 @@ def _ranked(groups: DataFrame, keys: list[str], name: str = "rank") -> DataFrame
     return written(groups.select(*keys).orderBy(*keys).withColumn(name, F.monotonically_increasing_id()), "ranks")
 
 
+def numbered(all_lines: DataFrame) -> DataFrame:
+    """Of each row with lines, start: its lines are numbered start + pos, in the order of documents and with a free number after each document, so that no run reaches into the next one.
+
+    Numbers are counted in each range of documents; a range has room for 2**40 lines."""
+    order = [F.col("doc_id").asc_nulls_first(), F.col("row")]
+    dealt = all_lines.groupBy("row").agg(F.max("doc_id").alias("doc_id"), (F.count("*") + 1).alias("size")).orderBy(*order)
+    dealt = written(dealt.withColumn("range", F.spark_partition_id().cast("bigint")), "ranges")
+    earlier = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.select("row", (F.shiftleft("range", 40) + F.coalesce(F.sum("size").over(earlier), F.lit(0))).alias("start"))
+
+
 def doubling(all_lines: DataFrame, most: int = 40) -> list[DataFrame]:
-    """Of each level k the suffixes whose first 2**k lines repeat: row, doc_id, pos, rank."""
+    """Of each level k the suffixes whose first 2**k lines repeat: at (number of their first line), rank; of level 0 also row, doc_id, pos, line_no."""
     again = all_lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
-    level = written(all_lines.join(_ranked(again, ["h1", "h2"]), ["h1", "h2"]).select("row", "doc_id", "pos", "rank"), "level")
+    repeating = all_lines.join(_ranked(again, ["h1", "h2"]), ["h1", "h2"]).join(numbered(all_lines), "row")
+    level = written(repeating.select((F.col("start") + F.col("pos")).alias("at"), "rank", "row", "doc_id", "pos", "line_no"), "level")
     levels = [level]
     for k in range(most):
-        ahead = level.select("row", (F.col("pos") - (1 << k)).alias("pos"), F.col("rank").alias("then"))
-        pairs = level.join(ahead, ["row", "pos"])
+        ahead = level.select((F.col("at") - (1 << k)).alias("at"), F.col("rank").alias("then"))
+        pairs = level.select("at", "rank").join(ahead, "at")
         again = pairs.groupBy("rank", "then").agg(F.count("*").alias("n")).where("n > 1")
-        level = written(pairs.join(_ranked(again, ["rank", "then"], "longer"), ["rank", "then"]).select("row", "doc_id", "pos", F.col("longer").alias("rank")), "level")
+        level = written(pairs.join(_ranked(again, ["rank", "then"], "longer"), ["rank", "then"]).select("at", F.col("longer").alias("rank")), "level")
         if level.isEmpty():
             return levels
         levels.append(level)
@@ -60,45 +72,45 @@ def doubling(all_lines: DataFrame, most: int = 40) -> list[DataFrame]:
 
 
 def shared_with_earlier(levels: list[DataFrame]) -> DataFrame:
-    """row, doc_id, pos, length, first (doc_id, row, pos): the longest prefix of each suffix that an earlier one has, if any, and the earliest that has it.
+    """at, length, first: the longest prefix of each suffix that an earlier one has, if any, and the earliest that has it.
 
-    A node is a prefix (the ranks of its parts) and has all suffixes that begin with it; each suffix asks at one node, the longest prefix found so far, at first the empty one. At level k the nodes that are asked at are split by the next 2**k lines.
+    A node is a prefix, named by the earliest suffix that begins with it and its length, and has all suffixes that do; each suffix asks at one node, the longest prefix found so far, at first the empty one. At level k the nodes that are asked at are split by the next 2**k lines.
     A suffix that isn't the first of its part goes on asking there, with that part's suffixes as members; one that is the first, or is alone, asks on where it is. Nodes that none asks at go."""
-    me = F.struct("doc_id", "row", "pos")
     held = left = None  # suffixes at nodes that are asked at, and those that have left the empty prefix, where all begin
+    node = ["first", "length"]
     for k in range(len(levels) - 1, -1, -1):
-        code = F.array(F.lit(k).cast("bigint"), F.col("rank"))
         # at the empty prefix every suffix of the level is a member
-        part = levels[k].select("row", "doc_id", "pos", F.lit(0).alias("length"), code.alias("part"))
+        part = levels[k].select("at", F.lit(-1).cast("bigint").alias("first"), F.lit(0).alias("length"), "rank")
         if left is None:
             part = part.withColumn("asks", F.lit(True))
         else:
-            part = part.join(left.withColumn("gone", F.lit(True)), ["row", "pos"], "left").select("row", "doc_id", "pos", "length", "part", F.col("gone").isNull().alias("asks"))
-            step = levels[k].select("row", F.col("pos").alias("at"), "rank")
-            deep = held.withColumn("at", F.col("pos") + F.col("length")).join(step, ["row", "at"])
-            part = part.unionByName(deep.select("row", "doc_id", "pos", "length", F.concat("node", code).alias("part"), "asks"))
-        firsts = part.groupBy("part").agg(F.min(me).alias("found"), F.max(F.when(F.col("asks"), me)).alias("last_asking")).where(F.col("last_asking") > F.col("found")).select("part", "found")
-        moved = written(part.join(firsts, "part").withColumn("goes", F.col("asks") & (F.col("found") < me)), "parts")
-        below = moved.select("row", "doc_id", "pos", (F.col("length") + (1 << k)).alias("length"), F.col("part").alias("node"), F.col("goes").alias("asks"), F.when(F.col("goes"), F.col("found")).alias("first"))
-        going = moved.where("goes").select("row", "pos", "length")
-        leaving = going.where("length = 0").select("row", "pos")
+            part = part.join(left.withColumn("gone", F.lit(True)), "at", "left").select("at", *node, "rank", F.col("gone").isNull().alias("asks"))
+            step = levels[k].select(F.col("at").alias("ahead"), "rank")
+            deep = held.withColumn("ahead", F.col("at") + F.col("length")).join(step, "ahead", "left")
+            part = part.unionByName(deep.select("at", *node, "rank", "asks"))
+        firsts = part.where("rank is not null").groupBy(*node, "rank").agg(F.min("at").alias("found"), F.max(F.when(F.col("asks"), F.col("at"))).alias("last_asking"))
+        firsts = firsts.where(F.col("last_asking") > F.col("found")).select(*node, "rank", "found")
+        moved = part.join(firsts, [*node, "rank"], "left").where("length > 0 or found is not null")
+        moved = written(moved.select("at", *node, "asks", "found", (F.col("asks") & F.coalesce(F.col("found") < F.col("at"), F.lit(False))).alias("goes")), "parts")
+        below = moved.where("found is not null").select("at", F.col("found").alias("first"), (F.col("length") + (1 << k)).alias("length"), F.col("goes").alias("asks"))
+        leaving = moved.where("goes and length = 0").select("at")
         if left is None:
             held, left = below, leaving
             continue
-        stay = held.join(going.withColumn("gone", F.lit(True)), ["row", "pos", "length"], "left").withColumn("asks", F.col("asks") & F.col("gone").isNull())
-        stay = written(stay.select("row", "doc_id", "pos", "length", "node", "asks", "first"), "staying")
-        asked = stay.where("asks").select("node").distinct()
-        held = written(stay.join(asked, "node", "left_semi").select(stay.columns).unionByName(below), "prefixes")
-        left = written(left.unionByName(leaving), "left")
-    return held.where("asks").select("row", "doc_id", "pos", "length", "first")
+        stay = moved.where("length > 0").select("at", *node, (F.col("asks") & ~F.col("goes")).alias("asks"))
+        held = written(stay.join(stay.where("asks").select(*node).distinct(), node, "left_semi").unionByName(below), "prefixes")
+        left = left.unionByName(leaving)
+    return held.where("asks").select("at", "length", "first")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Later copies to delete: row, doc_id, first_line, last_line (from 0, blank lines counted), n_lines, n_words, kept_doc_id, kept_line."""
     all_lines = written(lines(docs), "lines")
-    found = shared_with_earlier(doubling(all_lines))
-    before = found.select("row", (F.col("pos") + 1).alias("pos"), F.col("length").alias("before"))
-    maximal = found.join(before, ["row", "pos"], "left").where("before is null or before <= length").drop("before")
+    levels = doubling(all_lines)
+    found = shared_with_earlier(levels)
+    before = found.select((F.col("at") + 1).alias("at"), F.col("length").alias("before"))
+    maximal = found.join(before, "at", "left").where("before is null or before <= length").drop("before")
+    maximal = maximal.join(levels[0].select("at", "row", "doc_id", "pos"), "at")
     # words up to each line of the rows that have runs
     in_doc = Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     some = all_lines.join(maximal.select("row").distinct(), "row", "left_semi").withColumn("upto", F.sum("n_words").over(in_doc))
@@ -106,9 +118,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     end = some.select("row", F.col("pos").alias("last_pos"), F.col("line_no").alias("last_line"), F.col("upto").alias("words_upto"))
     runs = maximal.withColumn("last_pos", F.col("pos") + F.col("length") - 1).join(begin, ["row", "pos"]).join(end, ["row", "last_pos"])
     runs = runs.withColumn("n_words", F.col("words_upto") - F.col("words_before")).where(F.col("n_words") >= min_words)
-    kept = all_lines.select(F.col("row").alias("kept_row"), F.col("pos").alias("kept_pos"), F.col("line_no").alias("kept_line"))
-    runs = runs.withColumn("kept_row", F.col("first.row")).withColumn("kept_pos", F.col("first.pos")).join(kept, ["kept_row", "kept_pos"])
-    return runs.select("row", "doc_id", "first_line", "last_line", F.col("length").alias("n_lines"), "n_words", F.col("first.doc_id").alias("kept_doc_id"), "kept_line")
+    kept = levels[0].select(F.col("at").alias("first"), F.col("doc_id").alias("kept_doc_id"), F.col("line_no").alias("kept_line"))
+    return runs.join(kept, "first").select("row", "doc_id", "first_line", "last_line", F.col("length").alias("n_lines"), "n_words", "kept_doc_id", "kept_line")
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
