@@ -51,7 +51,7 @@ def evaluate_boxes(predicted: DataFrame, truth: DataFrame, min_iou: float, key:
     none = F.array().cast("array<struct<pred_idx: int, gt_idx: int, iou: double>>")
 
     def take(held: Column, pred: Column) -> Column:
-        free = F.filter(F.coalesce("gts", F.array().cast("array<struct<gt_idx: int, cx: double, cy: double, w: double, h: double>>")), lambda g: ~F.exists(held, lambda q: q["gt_idx"] == g["gt_idx"]))
+        free = F.filter(F.coalesce("gts", F.array().cast("array<struct<gt_idx: int, cx: double, cy: double, w: double, h: double>>")), lambda g: ~F.exists(held, lambda q: q["gt_idx"].eqNullSafe(g["gt_idx"])))
         scored = F.filter(F.transform(free, lambda g: F.struct(geometry.iou(parts(pred), parts(g)).alias("iou"), (-g["gt_idx"]).alias("minus_gt"))), lambda s: s["iou"] >= min_iou)
         best = F.array_max(scored)
         row = F.struct(pred["pred_idx"].cast("int").alias("pred_idx"), (-best["minus_gt"]).cast("int").alias("gt_idx"), best["iou"].cast("double").alias("iou"))

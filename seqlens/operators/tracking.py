@@ -72,7 +72,7 @@ class Linker:
 
 
 HITS = "sequence_id long, track_id int, frame_idx int, det_idx int, streak int, iou double"
-TRACE = "sequence_id long, frame_idx int, n_detections int, matches array<struct<track_id: int, det_idx: int, iou: double>>, new_ids array<int>, missed_ids array<int>, pruned_ids array<int>"
+TRACE = "sequence_id long, frame_idx int, n_detections int, matches array<struct<track_id: int, det_idx: int, iou: double>>, new_ids array<int>, missed_ids array<int>, confirmed_ids array<int>, pruned_ids array<int>"
 
 
 def frames_of(rows: pd.DataFrame) -> Iterator[tuple[int, list[int], list[tuple]]]:
@@ -107,16 +107,19 @@ def link(frames: DataFrame, min_iou: float, max_misses: int) -> DataFrame:
     return by_sequence(keep).groupBy("sequence_id").applyInPandas(kernel, _typed(HITS, keep.schema["sequence_id"].dataType.simpleString()))
 
 
-def trace(frames: DataFrame, min_iou: float, max_misses: int) -> DataFrame:
-    """What happened in each frame: matches, and ids born, missed and pruned. Confirmed ids come from `confirmations`."""
+def trace(frames: DataFrame, min_iou: float, max_misses: int, min_consecutive: int = 1) -> DataFrame:
+    """What happened in each frame: matches, and ids born, missed, confirmed (min_consecutive hits in a row for the first time) and pruned."""
 
     def kernel(rows: pd.DataFrame) -> pd.DataFrame:
         linker, out, key = Linker(min_iou, max_misses), [], rows["sequence_id"].iloc[0]
+        known: set[int] = set()
         for at, dets, boxes in frames_of(rows):
             step = linker.step(boxes)
             matches = [{"track_id": t, "det_idx": dets[j], "iou": v} for t, j, _, v in step["hits"] if v is not None]
-            out.append((key, at, len(boxes), matches, step["born"], step["missed"], step["pruned"]))
-        return pd.DataFrame(out, columns=["sequence_id", "frame_idx", "n_detections", "matches", "new_ids", "missed_ids", "pruned_ids"])
+            sure = [t for t, _, streak, _ in step["hits"] if streak >= min_consecutive and t not in known]
+            known.update(sure)
+            out.append((key, at, len(boxes), matches, step["born"], step["missed"], sure, step["pruned"]))
+        return pd.DataFrame(out, columns=["sequence_id", "frame_idx", "n_detections", "matches", "new_ids", "missed_ids", "confirmed_ids", "pruned_ids"])
 
     keep = frames.select("sequence_id", "frame_idx", "det_idx", "cx", "cy", "w", "h")
     return by_sequence(keep).groupBy("sequence_id").applyInPandas(kernel, _typed(TRACE, keep.schema["sequence_id"].dataType.simpleString()))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ranking, review
 from . import adapters as A
-from .boxes import judged_boxes
+from .boxes import JUDGED, judged_boxes
 from .registry import query, rounded
 
 BAD = "list_filter(tags, lambda t: NOT (t IN ('label:add-smoke', 'label:remove-gt', 'label:fix-bbox', 'label:ok', 'status:unclear', 'system:vocab-seed') OR starts_with(t, 'reviewer:')))"
@@ -28,12 +28,12 @@ def g25_progress(spark, d):
     return review.progress(A.tags(spark, d), ["dataset"])
 
 
-@query()
+@query(f"SELECT stem, round(max(confidence), 6) AS max_confidence, count(*) AS n_fp FROM ({JUDGED}) WHERE verdict = 'fp' AND confidence >= 0.5e0 GROUP BY 1")
 def j3_fp_queue(spark, d):
     return rounded(ranking.fp_queue(judged_boxes(spark, d), 0.5))
 
 
-@query()
+@query(f"SELECT stem, round(max(area), 6) AS max_area, count(*) AS n_fn FROM ({JUDGED}) WHERE verdict = 'fn' GROUP BY 1")
 def j4_fn_queue(spark, d):
     return rounded(ranking.fn_queue(judged_boxes(spark, d)))
 

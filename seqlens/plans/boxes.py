@@ -8,19 +8,9 @@ from ..functions import geometry, scalar
 from ..operators import filters, joins
 from ..sources import files
 from . import adapters as A
+from .greedy_sql import greedy_sql, iou_sql, judged_sql
 from .registry import query, rounded
 
-IOU = "(CASE WHEN {u} > 0 THEN {i} / {u} ELSE 0e0 END)"
-
-
-def iou_sql(a: str, b: str) -> str:
-    """IoU of the boxes of two aliases in SQL."""
-    across = f"greatest(0e0, least({a}.cx + {a}.w / 2, {b}.cx + {b}.w / 2) - greatest({a}.cx - {a}.w / 2, {b}.cx - {b}.w / 2))"
-    down = f"greatest(0e0, least({a}.cy + {a}.h / 2, {b}.cy + {b}.h / 2) - greatest({a}.cy - {a}.h / 2, {b}.cy - {b}.h / 2))"
-    both = f"({across} * {down})"
-    return IOU.format(i=both, u=f"({a}.w * {a}.h + {b}.w * {b}.h - {both})")
-
-
 @query("""SELECT event_id, class_id, round(cx, 6) AS cx, round(cy, 6) AS cy, round(w, 6) AS w, round(h, 6) AS h, round(confidence, 6) AS confidence FROM (
 SELECT event_id, TRY_CAST(p[1] AS INT) AS class_id, TRY_CAST(p[2] AS DOUBLE) AS cx, TRY_CAST(p[3] AS DOUBLE) AS cy, TRY_CAST(p[4] AS DOUBLE) AS w, TRY_CAST(p[5] AS DOUBLE) AS h, CASE WHEN len(p) = 6 THEN TRY_CAST(p[6] AS DOUBLE) ELSE 1e0 END AS confidence, p
 FROM (SELECT event_id, string_split(line, ' ') AS p FROM v_line)) WHERE len(p) IN (5, 6) AND regexp_matches(p[1], '^[0-9]+$') AND cx IS NOT NULL AND cy IS NOT NULL AND w IS NOT NULL AND h IS NOT NULL AND confidence IS NOT NULL""")
@@ -173,21 +163,28 @@ def d3_consecutive_pairs(spark, d):
     return rounded(joins.consecutive_pairs(filters.filter_detections(A.detections(spark, d), 0.3), 0.1))
 
 
-@query()
+MATCHES = f"SELECT sequence_id, frame_idx, unnest(CASE WHEN true THEN {greedy_sql('pairs')} END) AS m FROM (SELECT sequence_id, frame_idx, list({{'minus': -iou, 'i': prev_idx, 'j': det_idx}}) AS pairs FROM ({PAIRS}) WHERE iou >= 0.1e0 GROUP BY 1, 2)"
+
+
+@query(f"SELECT sequence_id, frame_idx, m.i AS prev_idx, m.j AS det_idx, round(-m.minus, 6) AS iou FROM ({MATCHES})")
 def d4_greedy_matches(spark, d):
     pairs = joins.consecutive_pairs(filters.filter_detections(A.detections(spark, d), 0.3), 0.1)
     return rounded(joins.greedy_matches(pairs, ["sequence_id", "frame_idx"]))
 
 
 def judged_boxes(spark, d):
-    """Boxes of error events stand for truth, moved a little; all other confident ones for predictions."""
+    """Boxes with an even index stand for truth, moved a little; all confident ones for predictions."""
     boxes = A.detections(spark, d).withColumn("stem", F.concat_ws("_", "sequence_id", "frame_idx"))
     gt = boxes.where("det_idx % 2 = 0").select("stem", F.col("det_idx").alias("gt_idx"), (F.col("cx") + 0.01).alias("cx"), "cy", "w", "h")
     pred = boxes.where("confidence >= 0.2").select("stem", F.col("det_idx").alias("pred_idx"), "cx", "cy", "w", "h", "confidence")
     return joins.evaluate_boxes(pred, gt, 0.3)
 
 
-@query()
+STEMS = "(SELECT *, concat_ws('_', sequence_id, frame_idx) AS stem FROM v_det)"
+JUDGED = judged_sql(f"SELECT stem, det_idx AS pred_idx, cx, cy, w, h, confidence FROM {STEMS} WHERE confidence >= 0.2e0", f"SELECT stem, det_idx AS gt_idx, cx + 0.01e0 AS cx, cy, w, h FROM {STEMS} WHERE det_idx % 2 = 0", "0.3e0")
+
+
+@query(f"SELECT stem, pred_idx, gt_idx, round(confidence, 6) AS confidence, round(area, 6) AS area, round(iou, 6) AS iou, verdict FROM ({JUDGED})")
 def d5_evaluate_boxes(spark, d):
     return rounded(judged_boxes(spark, d))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import change, filters, shape, smoothing, tracking, tubes
 from . import adapters as A
 from .boxes import iou_sql
+from .greedy_sql import hits_sql, steps_sql
 from .registry import query, rounded
 
 
@@ -48,7 +49,13 @@ def tracked(spark, d):
     return tracking.track(A.frames(spark, d, 0.3), 0.1, 1, 2, 0.4, 0.9)
 
 
-@query()
+HITS = hits_sql("0.3e0", "0.1e0", 1)
+TRACKED = f"""SELECT sequence_id, track_id, n_hits, mean_confidence, first_frame, last_frame, CASE WHEN first_area > 0 THEN last_area / first_area ELSE 0e0 END AS area_ratio, reached FROM (
+SELECT sequence_id, track_id, count(*) AS n_hits, avg(confidence) AS mean_confidence, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame, arg_min(area, frame_idx) AS first_area, arg_max(area, frame_idx) AS last_area, min(frame_idx) FILTER (streak >= 2) AS reached FROM ({HITS}) GROUP BY 1, 2)"""
+
+
+@query(f"""SELECT sequence_id, track_id, n_hits, round(mean_confidence, 6) AS mean_confidence, first_frame, last_frame, round(area_ratio, 6) AS area_ratio, coalesce(reached IS NOT NULL AND mean_confidence >= 0.4e0 AND area_ratio >= 0.9e0, false) AS confirmed,
+CASE WHEN mean_confidence >= 0.4e0 AND area_ratio >= 0.9e0 THEN reached END AS confirmed_at FROM ({TRACKED})""")
 def e5_tracker(spark, d):
     return rounded(tracked(spark, d).drop("filters"))
 
@@ -87,13 +94,26 @@ def e8_post_filters(spark, d):
     return tracking.post_filter(rows, 0.6, 0.9).select("sequence_id", "track_id", "confirmed", "confirmed_at", F.size("filters").alias("n_filters"))
 
 
-@query()
+STEPS = steps_sql("0.3e0", "0.1e0", 1)
+MATCHED = "list_filter(hits, lambda t: t.iou IS NOT NULL)"
+
+
+@query(f"""SELECT s.sequence_id, s.frame_idx, CAST(len(hits) AS INT) AS n_detections, array_to_string(list_transform({MATCHED}, lambda t: t.id || ':' || t.det), ',') AS matches, round(coalesce(list_sum(list_transform({MATCHED}, lambda t: t.iou)), 0e0), 6) AS sum_iou,
+array_to_string(fresh, ',') AS new_ids, array_to_string(missed, ',') AS missed_ids, array_to_string(list_transform(list_filter(hits, lambda t: list_contains(coalesce(ids, []), t.id)), lambda t: t.id), ',') AS confirmed_ids, array_to_string(pruned, ',') AS pruned_ids
+FROM ({STEPS}) s LEFT JOIN (SELECT sequence_id, reached AS frame_idx, list(track_id) AS ids FROM ({TRACKED}) WHERE reached IS NOT NULL GROUP BY 1, 2) c ON c.sequence_id = s.sequence_id AND c.frame_idx = s.frame_idx""")
 def e9_tracker_trace(spark, d):
-    rows = tracking.trace(A.frames(spark, d, 0.3), 0.1, 1)
-    return rows.select("sequence_id", "frame_idx", "n_detections", F.to_json("matches").alias("matches"), *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("new_ids", "missed_ids", "pruned_ids")])
+    rows = tracking.trace(A.frames(spark, d, 0.3), 0.1, 1, 2)
+    matches = F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["track_id"], m["det_idx"])), ",").alias("matches")
+    overlap = F.aggregate("matches", F.lit(0.0), lambda a, m: a + m["iou"]).alias("sum_iou")
+    ids = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("new_ids", "missed_ids", "confirmed_ids", "pruned_ids")]
+    return rounded(rows.select("sequence_id", "frame_idx", "n_detections", matches, overlap, *ids))
 
 
-@query()
+TUBE_HITS = hits_sql("0.3e0", "0.2e0", 2)
+
+
+@query(f"""SELECT c.sequence_id, c.track_id AS tube_id, CAST(c.frame_idx AS INT) AS frame_idx, t.det_idx, t.det_idx IS NULL AS is_gap, round(t.confidence, 6) AS confidence
+FROM (SELECT sequence_id, track_id, unnest(range(min(frame_idx), max(frame_idx) + 1)) AS frame_idx FROM ({TUBE_HITS}) GROUP BY 1, 2) c LEFT JOIN ({TUBE_HITS}) t ON t.sequence_id = c.sequence_id AND t.track_id = c.track_id AND t.frame_idx = c.frame_idx""")
 def e10_build_tubes(spark, d):
     return rounded(tubes.build(A.frames(spark, d, 0.3)).select("sequence_id", "tube_id", "frame_idx", "det_idx", "is_gap", "confidence"))
 
