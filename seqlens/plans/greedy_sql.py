@@ -36,11 +36,15 @@ def judged_sql(predictions: str, truth: str, min_iou: str) -> str:
     UNION ALL SELECT t.stem, NULL, t.gt_idx, NULL, t.w * t.h, NULL, 'fn' FROM t LEFT JOIN hits ON hits.stem = t.stem AND hits.gt_idx = t.gt_idx WHERE hits.stem IS NULL"""
 
 
-def steps_sql(min_confidence: str, min_iou: str, max_misses: int) -> str:
-    """The tracker, a row for each frame of a sequence: hits, missed, fresh (ids born) and pruned, as lists."""
+def confident(least: str) -> str:
+    return f"(SELECT * FROM v_det WHERE confidence >= {least})"
+
+
+def steps_sql(boxes: str, min_iou: str, max_misses: str, slots: str = "v_slot") -> str:
+    """The tracker, a row for each frame of a sequence: hits, missed, fresh (ids born) and pruned, as lists. slots: the frames of each sequence."""
     return f"""WITH RECURSIVE f AS (SELECT s.sequence_id, s.frame_idx, row_number() OVER (PARTITION BY s.sequence_id ORDER BY s.frame_idx) AS n,
         coalesce(list({{'det': d.det_idx, 'cx': d.cx, 'cy': d.cy, 'w': d.w, 'h': d.h}} ORDER BY d.det_idx) FILTER (d.det_idx IS NOT NULL), []) AS dets
-        FROM v_slot s LEFT JOIN (SELECT * FROM v_det WHERE confidence >= {min_confidence}) d ON d.sequence_id = s.sequence_id AND d.frame_idx = s.frame_idx GROUP BY 1, 2),
+        FROM {slots} s LEFT JOIN {boxes} d ON d.sequence_id = s.sequence_id AND d.frame_idx = s.frame_idx GROUP BY 1, 2),
     g AS (SELECT DISTINCT sequence_id, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS frame_idx, CAST(0 AS BIGINT) AS born, CAST(0 AS BIGINT) AS before, CAST([] AS {TRACK}[]) AS now FROM f
     UNION ALL SELECT sequence_id, n, frame_idx, born + len(fresh), born, CAST(list_concat(
             list_transform(met, lambda x: CASE WHEN x.m.i IS NOT NULL
@@ -51,12 +55,46 @@ def steps_sql(min_confidence: str, min_iou: str, max_misses: int) -> str:
                 list_filter(dets, lambda d, j: len(list_filter(found, lambda m: m.j = j)) = 0) AS fresh
             FROM (SELECT *, {greedy_sql('pairs')} AS found
                 FROM (SELECT *, list_filter(flatten(list_transform(live, lambda t, i: list_transform(dets, lambda d, j: {{'minus': -{iou_sql('t', 'd')}, 'i': i, 'j': j}}))), lambda p: p.minus <= -{min_iou}) AS pairs
-                    FROM (SELECT f.sequence_id, f.n, f.frame_idx, f.dets, g.born, list_filter(g.now, lambda t: t.misses <= {max_misses}) AS live FROM g JOIN f ON f.sequence_id = g.sequence_id AND f.n = g.n + 1)))))
+                    FROM (SELECT f.sequence_id, f.n, f.frame_idx, f.dets, g.born, list_filter(g.now, lambda t: t.misses <= {max_misses.replace('sequence_id', 'f.sequence_id')}) AS live FROM g JOIN f ON f.sequence_id = g.sequence_id AND f.n = g.n + 1)))))
     SELECT sequence_id, frame_idx, list_filter(now, lambda t: t.det IS NOT NULL) AS hits, list_transform(list_filter(now, lambda t: t.det IS NULL), lambda t: t.id) AS missed,
         list_transform(list_filter(now, lambda t: t.id >= before), lambda t: t.id) AS fresh, list_transform(list_filter(now, lambda t: t.misses > {max_misses}), lambda t: t.id) AS pruned FROM g WHERE n > 0"""
 
 
-def hits_sql(min_confidence: str, min_iou: str, max_misses: int) -> str:
+def hits_sql(boxes: str, min_iou: str, max_misses: str, slots: str = "v_slot") -> str:
     """Hits of all tracks with the confidence and area of their boxes."""
     return f"""SELECT x.sequence_id, x.h.id AS track_id, x.frame_idx, x.h.det AS det_idx, x.h.streak AS streak, x.h.iou AS iou, d.confidence, d.cx, d.w * d.h AS area
-    FROM (SELECT sequence_id, frame_idx, unnest(hits) AS h FROM ({steps_sql(min_confidence, min_iou, max_misses)})) x JOIN v_det d ON d.sequence_id = x.sequence_id AND d.frame_idx = x.frame_idx AND d.det_idx = x.h.det"""
+    FROM (SELECT sequence_id, frame_idx, unnest(hits) AS h FROM ({steps_sql(boxes, min_iou, max_misses, slots)})) x JOIN {boxes} d ON d.sequence_id = x.sequence_id AND d.frame_idx = x.frame_idx AND d.det_idx = x.h.det"""
+
+
+RATES = """round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall,
+round(coalesce(2e0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round(coalesce(fp / nullif(fp + tn, 0), 0), 6) AS fpr"""
+
+
+def counted_sql(alarms: str, settings: str, by: list[str]) -> str:
+    """Metrics under each setting from the alarms (sequence_id, by, first)."""
+    same = " AND ".join(f"f.{c} IS NOT DISTINCT FROM s.{c}" for c in by)
+    names = ", ".join(by)
+    return f"""SELECT {names}, tp, fp, fn, tn, {RATES}, round(mean_ttd, 6) AS mean_ttd, median_ttd FROM (SELECT {', '.join(f's.{c}' for c in by)}, count(*) FILTER (f.first IS NOT NULL AND g.is_positive_gt) AS tp,
+    count(*) FILTER (f.first IS NOT NULL AND NOT g.is_positive_gt) AS fp, count(*) FILTER (f.first IS NULL AND g.is_positive_gt) AS fn, count(*) FILTER (f.first IS NULL AND NOT g.is_positive_gt) AS tn,
+    avg(f.first) FILTER (g.is_positive_gt) AS mean_ttd, median(f.first) FILTER (g.is_positive_gt) AS median_ttd
+    FROM v_gt g CROSS JOIN ({settings}) s LEFT JOIN ({alarms}) f ON f.sequence_id = g.sequence_id AND {same} GROUP BY ALL)"""
+
+
+def _listed(values: list) -> str:
+    return "[" + ", ".join("CAST(NULL AS DOUBLE)" if v is None else f"{v}e0" if isinstance(v, float) else f"CAST({v} AS INT)" for v in values) + "]"
+
+
+def sweep_sql(grid: dict) -> str:
+    """The tracker sweep over a grid without an area limit. A sequence under a matching setting is a sequence of its own."""
+    each = lambda *names: "SELECT " + ", ".join(f"{n}" for n in names) + " FROM " + ", ".join(f"(SELECT unnest({_listed(grid[n])}) AS {n})" for n in names)
+    key = "{'seq': x.sequence_id, 'confidence': s.confidence, 'iou': s.iou, 'misses': s.max_misses} AS sequence_id"
+    matching = each("confidence", "iou", "max_misses")
+    slots = f"(SELECT {key}, x.frame_idx FROM v_slot x CROSS JOIN ({matching}) s)"
+    boxes = f"(SELECT {key}, x.frame_idx, x.det_idx, x.cx, x.cy, x.w, x.h, x.confidence FROM v_det x JOIN ({matching}) s ON x.confidence >= s.confidence)"
+    tracks = f"""SELECT sequence_id.seq AS sequence_id, sequence_id.confidence AS confidence, sequence_id.iou AS iou, sequence_id.misses AS max_misses, mean_confidence, CASE WHEN a > 0 THEN b / a ELSE 0e0 END AS area_ratio, min_consecutive, reached
+    FROM (SELECT sequence_id, track_id, avg(confidence) OVER t AS mean_confidence, first_value(area) OVER t AS a, last_value(area) OVER t AS b, streak AS min_consecutive, frame_idx AS reached
+        FROM ({hits_sql(boxes, 'sequence_id.iou', 'sequence_id.misses', slots)}) WINDOW t AS (PARTITION BY sequence_id, track_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+    alarms = f"""SELECT t.sequence_id, t.confidence, t.iou, t.max_misses, t.min_consecutive, s.min_mean_confidence, s.min_area_change, min(t.reached) AS first FROM ({tracks}) t CROSS JOIN ({each('min_mean_confidence', 'min_area_change')}) s
+    WHERE (s.min_mean_confidence IS NULL OR t.mean_confidence >= s.min_mean_confidence) AND (s.min_area_change IS NULL OR t.area_ratio >= s.min_area_change) GROUP BY ALL"""
+    by = ["confidence", "iou", "max_misses", "min_consecutive", "min_mean_confidence", "min_area_change"]
+    return f"SELECT *, CAST(NULL AS DOUBLE) AS max_area FROM ({counted_sql(alarms, each(*by), by)})"

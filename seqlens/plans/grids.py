@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..operators import change, sweep
 from . import adapters as A
+from .greedy_sql import counted_sql, sweep_sql
 from .registry import query, rounded
-from .sequences import SMOOTH
+from .sequences import SMOOTH, smooth_sql
 
 
-@query()
+@query(sweep_sql(sweep.EACH))
 def i1_tracker_sweep(spark, d):
     return rounded(sweep.tracker_sweep(A.frames(spark, d), A.truth(spark, d), sweep.EACH))
 
@@ -29,11 +30,19 @@ def i3_smoothing_sweep(spark, d):
     return rounded(sweep.smoothing_sweep(A.detections(spark, d), A.truth(spark, d), [4], [1.0, 1.5, 2.0, 2.5]))
 
 
-@query()
+WINDOWS, LIMITS = [2, 3, 4, 5, 6, 7, 8, 9, 10], [0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5, 0.8, 1.0, 1.5, 2.0]
+THRESHOLDS = f"(SELECT unnest([{', '.join(f'{x}e0' for x in LIMITS)}]) AS threshold)"
+EVERY = " UNION ALL ".join(f"SELECT CAST({n} AS INT) AS window, * FROM ({smooth_sql(n)})" for n in WINDOWS)
+
+
+@query(counted_sql(f"SELECT sequence_id, threshold, a.window, min(frame_idx) AS first FROM ({EVERY}) a CROSS JOIN {THRESHOLDS} WHERE smoothed > threshold GROUP BY ALL", f'SELECT * FROM {THRESHOLDS} CROSS JOIN (SELECT CAST(unnest({WINDOWS}) AS INT) AS "window")', ["threshold", '"window"']))
 def i3_smoothing_grid(spark, d):
-    return rounded(sweep.smoothing_sweep(A.detections(spark, d), A.truth(spark, d), [2, 3, 4, 5, 6, 7, 8, 9, 10], [0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5, 0.8, 1.0, 1.5, 2.0]))
+    return rounded(sweep.smoothing_sweep(A.detections(spark, d), A.truth(spark, d), WINDOWS, LIMITS))
 
 
-@query()
+RULES = {"confidence": [0.3], "iou": [0.1], "max_misses": [0, 1], "min_consecutive": [2], "min_mean_confidence": [None, 0.4], "min_area_change": [None, 1.1]}
+
+
+@query(f"SELECT *, coalesce(nullif(concat_ws('+', CASE WHEN max_misses > 0 THEN 'gap' END, CASE WHEN min_mean_confidence IS NOT NULL THEN 'confidence' END, CASE WHEN min_area_change IS NOT NULL THEN 'area' END), ''), 'none') AS rules FROM ({sweep_sql(RULES)})")
 def i4_ablation(spark, d):
     return rounded(sweep.ablation(A.frames(spark, d), A.truth(spark, d), min_consecutive=2))

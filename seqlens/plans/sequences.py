@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import change, filters, shape, smoothing, tracking, tubes
 from . import adapters as A
 from .boxes import iou_sql
-from .greedy_sql import hits_sql, steps_sql
+from .greedy_sql import confident, hits_sql, steps_sql
 from .registry import query, rounded
 
 
@@ -49,7 +49,7 @@ def tracked(spark, d):
     return tracking.track(A.frames(spark, d, 0.3), 0.1, 1, 2, 0.4, 0.9)
 
 
-HITS = hits_sql("0.3e0", "0.1e0", 1)
+HITS = hits_sql(confident("0.3e0"), "0.1e0", "1")
 TRACKED = f"""SELECT sequence_id, track_id, n_hits, mean_confidence, first_frame, last_frame, CASE WHEN first_area > 0 THEN last_area / first_area ELSE 0e0 END AS area_ratio, reached FROM (
 SELECT sequence_id, track_id, count(*) AS n_hits, avg(confidence) AS mean_confidence, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame, arg_min(area, frame_idx) AS first_area, arg_max(area, frame_idx) AS last_area, min(frame_idx) FILTER (streak >= 2) AS reached FROM ({HITS}) GROUP BY 1, 2)"""
 
@@ -94,7 +94,7 @@ def e8_post_filters(spark, d):
     return tracking.post_filter(rows, 0.6, 0.9).select("sequence_id", "track_id", "confirmed", "confirmed_at", F.size("filters").alias("n_filters"))
 
 
-STEPS = steps_sql("0.3e0", "0.1e0", 1)
+STEPS = steps_sql(confident("0.3e0"), "0.1e0", "1")
 MATCHED = "list_filter(hits, lambda t: t.iou IS NOT NULL)"
 
 
@@ -109,7 +109,7 @@ def e9_tracker_trace(spark, d):
     return rounded(rows.select("sequence_id", "frame_idx", "n_detections", matches, overlap, *ids))
 
 
-TUBE_HITS = hits_sql("0.3e0", "0.2e0", 2)
+TUBE_HITS = hits_sql(confident("0.3e0"), "0.2e0", "2")
 
 
 @query(f"""SELECT c.sequence_id, c.track_id AS tube_id, CAST(c.frame_idx AS INT) AS frame_idx, t.det_idx, t.det_idx IS NULL AS is_gap, round(t.confidence, 6) AS confidence
@@ -131,7 +131,15 @@ def e12_longest_tube(spark, d):
     return tubes.longest(A.tubes(spark, d)).select("sequence_id", "tube_id", "start_frame", "end_frame", "n_observed")
 
 
-@query()
+SEEN = f"""SELECT sequence_id, track_id, frame_idx, cx, lead(frame_idx) OVER t AS next_idx, lead(cx) OVER t AS next_cx FROM ({TUBE_HITS}) WINDOW t AS (PARTITION BY sequence_id, track_id ORDER BY frame_idx)"""
+# a gap's boxes lie evenly between those before and behind, so they add up to their number times the mean of both
+SPANS = f"""SELECT sequence_id, track_id, max(frame_idx) - min(frame_idx) + 1 AS length, count(*) AS n_observed, sum(cx) + coalesce(sum((next_idx - frame_idx - 1) * (cx + next_cx) / 2e0), 0e0) AS sum_cx FROM ({SEEN}) GROUP BY 1, 2"""
+
+
+@query(f"""SELECT sequence_id, n_frames, n_detections, n_tubes, tube_id, length, n_observed, reason, CASE WHEN reason IS NULL THEN length END AS n_entries, round(CASE WHEN reason IS NULL THEN sum_cx END, 6) AS sum_cx FROM (
+SELECT f.*, n_tubes, CAST(t.track_id AS INT) AS tube_id, CAST(t.length AS INT) AS length, CAST(t.n_observed AS INT) AS n_observed, sum_cx, CASE WHEN n_detections < 2 THEN 'no_detections' WHEN n_tubes IS NULL THEN 'no_tubes' WHEN length < 4 THEN 'too_short' WHEN n_observed < 2 THEN 'too_few_observed' END AS reason
+FROM (SELECT s.sequence_id, count(DISTINCT s.frame_idx) AS n_frames, count(d.det_idx) AS n_detections FROM v_slot s LEFT JOIN {confident('0.3e0')} d ON d.sequence_id = s.sequence_id AND d.frame_idx = s.frame_idx GROUP BY 1) f
+LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY sequence_id) AS n_tubes FROM ({SPANS}) QUALIFY row_number() OVER (PARTITION BY sequence_id ORDER BY length DESC, n_observed DESC, track_id) = 1) t ON t.sequence_id = f.sequence_id)""")
 def e13_tube_dataset(spark, d):
     entries, judged = tubes.tube_dataset(A.frames(spark, d, 0.3))
     kept = entries.groupBy("sequence_id").agg(F.count("*").alias("n_entries"), F.sum("cx").alias("sum_cx"))
@@ -215,7 +223,11 @@ def f5_change_tracking(spark, d):
     return tracking.alarms(tracks, counted).select("sequence_id", "n_before", "n_after", "n_tracks", "is_positive", "trigger_frame_index")
 
 
-SMOOTH = f"""SELECT sequence_id, frame_idx, max(s) AS smoothed FROM (SELECT a.sequence_id, a.frame_idx, a.det_idx, sum(b.confidence) / 5e0 AS s FROM v_det a JOIN v_det b ON a.sequence_id = b.sequence_id AND b.frame_idx BETWEEN a.frame_idx - 3 AND a.frame_idx AND {iou_sql('a', 'b')} > 0 GROUP BY 1, 2, 3) GROUP BY 1, 2"""
+def smooth_sql(window: int) -> str:
+    return f"""SELECT sequence_id, frame_idx, max(s) AS smoothed FROM (SELECT a.sequence_id, a.frame_idx, a.det_idx, sum(b.confidence) / {window + 1}e0 AS s FROM v_det a JOIN v_det b ON a.sequence_id = b.sequence_id AND b.frame_idx BETWEEN a.frame_idx - {window - 1} AND a.frame_idx AND {iou_sql('a', 'b')} > 0 GROUP BY 1, 2, 3) GROUP BY 1, 2"""
+
+
+SMOOTH = smooth_sql(4)
 
 
 @query(f"SELECT sequence_id, frame_idx, round(smoothed, 6) AS smoothed FROM ({SMOOTH})")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import models
 from ..streaming import cameras
 from . import adapters as A
+from .greedy_sql import confident, hits_sql
 from .registry import query, rounded
 
 
@@ -44,7 +45,10 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-@query()
+CAMERA_HITS = hits_sql(confident('0.3e0'), '0.1e0', '1', '(SELECT DISTINCT sequence_id, frame_idx FROM v_det)')
+
+
+@query(f"SELECT sequence_id AS camera, track_id, sequence_id || '_' || lpad(CAST(min(frame_idx) AS VARCHAR), 3, '0') AS frame_id FROM ({CAMERA_HITS}) WHERE streak >= 2 GROUP BY 1, 2")
 def h1_stream_tracker(spark, d):
     found = streamed(spark, camera_frames(spark, d), lambda s: cameras.track_stream(s, 0.1, 1, 2, 0.3, idle="40 days", idle_ms=40 * 86_400_000))
     return found.select("camera", "track_id", "frame_id")
@@ -65,7 +69,7 @@ def h3_session_window(spark, d):
     return found.select("camera", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "n_frames")
 
 
-@query()
+@query("SELECT sequence_id AS camera, count(DISTINCT frame_idx) AS n_frames FROM v_det GROUP BY 1")
 def h4_late_and_repeated(spark, d):
     rows = camera_frames(spark, d)
     twice = rows.unionByName(rows.where(F.hash("frame_id") % 3 == 0))
