@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, language, line_runs, mixing, near, personal, secrets, token_counts, token_file
+from . import decontaminate, fingerprints, language, line_runs, mixing, near, personal, secrets, spelling, token_counts, token_file, twins, url_filter, vector_codes
 from .common import table
 
 
@@ -54,6 +54,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(spelling.counted(spelling.occurrences(table(spark, sf_dir, "documents"))))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -61,10 +73,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_near_dedup, op4_token_file, op5_decontamination, op6_secrets, op7_language, op8_line_runs, op9_personal_data, op10_fingerprints, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_near_dedup, op4_token_file, op5_decontamination, op6_secrets, op7_language, op8_line_runs, op9_personal_data, op10_fingerprints, op11_vector_codes, op12_spelling, op13_url_filter, pipeline)}
 
 
 def oracle_sql() -> dict:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    found = {"op11_vector_codes": twins.vector_codes(), "op12_spelling": twins.spelling()}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
