@@ -5,13 +5,13 @@ Words are the distinct results of `occurrences` (maximal runs of letters, A-Z lo
 Near words are found by variable-length grams:
 - The dictionary holds all grams of QMIN code points, and of a gram that occurs more than a limit the next longer ones, up to QMAX: frequent grams are worth splitting, the others are cut off. The limit is a share (1 / SPLIT) of all places, so the dictionary stays small at every size.
 - A word is decomposed into the longest dictionary gram at each place, those inside another left out.
-- An edit at a place of the word can change the grams over it; those left of it only where some dictionary gram goes on from the characters before it, those right of it only where one ends in the characters after it. The most grams that any one edit can change is the word's bound.
-- A near word keeps all other grams, shifted by the difference of lengths at most. So of the word's gram lists (words by gram, place and length) it is in at least one of the bound + 1 shortest: these are merged, and what they hold is verified.
+- An edit at a place of the word can change the grams over it; those left of it only where some dictionary gram goes on from the characters before it, those right of it only where one ends in the characters after it. The most grams that any one edit can change is the word's bound; t, the grams beyond the bound, are certainly kept.
+- What an edit changes is a run of neighbouring grams. So a near word has, for some a, the same first a grams at the same places and the same last t - a grams at the same places from its end. The lists of these t grams are merged into one: a word asks t + 1 such merged lists (t up to MERGED) of words at most one code point longer or shorter, and what they hold is verified, by the parity of letters first, which is quick, then by the distance.
 - Where the bound covers all grams of both words, lists say nothing; such words are joined by what is left when a code point is deleted, which one edit never changes, and verified in the same way.
 
 Null texts have no words, a null id counts as an empty one in the hash of `occurrences`, repeated rows count each. Words of any length are handled. An empty table gives an empty result.
 
-Plan. Words are counted before and after one shuffle; grams are decomposed in tasks with the dictionary (bounded by SPLIT, not by the data) at hand; lists are joined, which adaptive execution splits where they are skewed, and only verified pairs are shuffled on. Roots double their way up; a step multiplies n by FACTOR, so few rounds are needed.
+Plan. Words are counted before and after one shuffle; grams are decomposed in tasks with the dictionary (bounded by SPLIT, not by the data) at hand; lists are joined, which adaptive execution splits where one is hot, and only verified pairs are shuffled on. Roots double their way up; a step multiplies n by FACTOR, so few rounds are needed.
 """
 
 from __future__ import annotations
@@ -29,9 +29,11 @@ RUN = "[A-Za-zÀ-ÿ]+"
 SHORTEST, MIN_COUNT, FACTOR = 7, 2, 10
 #: One in so many runs has a code point deleted (the query's planted slips).
 SLIP = 31
-QMIN, QMAX = 2, 4
+QMIN, QMAX = 2, 3
 #: A gram at more than 1 / SPLIT of all places is split into longer ones: at most SPLIT grams of each length are.
-SPLIT = 1_000
+SPLIT = 4_000
+#: At most so many lists are merged into one; fewer only makes it longer.
+MERGED = 4
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -70,7 +72,7 @@ class Grams:
     """Decomposes words by a dictionary."""
 
     def __init__(self, known: dict[str, int]):
-        self.known = known
+        self.known, self.longest = known, max(map(len, known), default=QMIN)
         self.heads = {g[:i] for g in known for i in range(1, len(g))}
         self.tails = {g[i:] for g in known for i in range(1, len(g))}
 
@@ -78,7 +80,7 @@ class Grams:
         """First and last place of each gram, in order: the longest at each place that no earlier one holds."""
         found, reach = [], -1
         for p in range(len(word) - QMIN + 1):
-            q = next((q for q in range(min(QMAX, len(word) - p), QMIN, -1) if word[p : p + q] in self.known), QMIN)
+            q = next((q for q in range(min(self.longest, len(word) - p), QMIN, -1) if word[p : p + q] in self.known), QMIN)
             if p + q - 1 > reach:
                 reach = p + q - 1
                 found.append((p, reach))
@@ -86,16 +88,16 @@ class Grams:
 
     def bound(self, word: str, grams: list[tuple[int, int]]) -> int:
         """The most grams that one edit can change."""
-        n, most = len(word), 0
-        lefts = [next((j for j in range(max(0, i - QMAX + 1), i) if word[j:i] in self.heads), i) for i in range(n + 1)]
-        rights = [next((e for e in range(min(n, i + QMAX - 1), i, -1) if word[i:e] in self.tails), i) for i in range(n + 1)]
+        n, most, reach = len(word), 0, self.longest
+        lefts = [next((j for j in range(max(0, i - reach + 1), i) if word[j:i] in self.heads), i) for i in range(n + 1)]
+        rights = [next((e for e in range(min(n, i + reach - 1), i, -1) if word[i:e] in self.tails), i) for i in range(n + 1)]
         first = 0
         for i in range(n + 1):  # the edit replaces or deletes place i, or inserts before it
-            while first < len(grams) and grams[first][1] < i - QMAX:
+            while first < len(grams) and grams[first][1] < i - reach:
                 first += 1
             changed = slipped = 0
             for p, q in grams[first:]:
-                if p > i + QMAX:
+                if p > i + reach:
                     break
                 left = q < i and p >= lefts[i]
                 changed += left or (p <= i <= q) or (p > i and q < rights[min(n, i + 1)])
@@ -104,39 +106,55 @@ class Grams:
         return most
 
 
+def parity(word: str) -> int:
+    """A bit for each of 63 classes of letters: whether the word has an odd number of them. One edit changes two bits at most."""
+    bits = 0
+    for letter in word:
+        bits ^= 1 << ord(letter) % 63
+    return bits
+
+
+def merged_lists(word: str, grams: list[tuple[int, int]], t: int) -> list[str]:
+    """Names of the lists that hold all words with the same first a and last t - a grams, for a from 0 to t."""
+    first = [f"{p}{word[p : q + 1]}" for p, q in grams[:t]]
+    last = [f"{len(word) - p}{word[p : q + 1]}" for p, q in grams[-t:]]
+    return [f"{t}:{','.join(first[:a])}:{','.join(last[a:])}" for a in range(t + 1)]
+
+
 def _decomposed(known: dict[str, int]):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(known)
         for batch in batches:
-            lists, asked, loose = [], [], []
+            lists, asked, letters = [], [], []
             for word in batch.column("word").to_pylist():
                 found = grams.of(word)
-                bound = grams.bound(word, found)
-                named = [{"gram": word[p : q + 1], "at": p} for p, q in found]
-                lists.append(named)
-                loose.append(bound >= len(found))
-                asked.append([] if loose[-1] else sorted(named, key=lambda g: (known.get(g["gram"], 0), g["at"]))[: bound + 1])
-            kind = pa.list_(pa.struct([("gram", pa.string()), ("at", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(lists, kind), pa.array(asked, kind), pa.array(loose, pa.bool_())], ["word", "n", "lists", "asked", "loose"])
+                kept = min(MERGED, len(found) - grams.bound(word, found))
+                letters.append(parity(word))
+                lists.append([name for t in range(1, min(MERGED, len(found)) + 1) for name in merged_lists(word, found, t)])
+                asked.append(merged_lists(word, found, kept) if kept > 0 else [])
+            kind = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(letters, pa.int64()), pa.array(lists, kind), pa.array(asked, kind)], DEALT_NAMES)
 
     return task
 
 
+DEALT = "word string, n long, letters long, lists array<string>, asked array<string>"
+DEALT_NAMES = ["word", "n", "letters", "lists", "asked"]
+
+
 def _near(one: Column, two: Column) -> Column:
     return (F.levenshtein(one, two, 1) == 1) & (one != two)
 
 
 def near_pairs(words: DataFrame, known: dict[str, int]) -> DataFrame:
     """Each pair of near words once: a, b (a before b), n_a, n_b. words: (word, n), words distinct."""
-    each = "array<struct<gram: string, at: int>>"
-    dealt = written(words.mapInArrow(_decomposed(known), f"word string, n long, lists {each}, asked {each}, loose boolean"), "decomposed")
-    lists = dealt.select("word", "n", F.explode("lists").alias("g")).select(F.col("word").alias("two"), F.col("n").alias("n_two"), "g.gram", "g.at", F.length("word").alias("size"))
-    # a gram left of the edit keeps its place, one right of it moves with the length
-    shift = F.array(*[F.struct(F.lit(at).alias("at"), F.lit(size).alias("size")) for at, size in ((0, 0), (0, 1), (1, 1), (0, -1), (-1, -1))])
-    asked = dealt.select("word", "n", F.explode("asked").alias("g")).select(F.col("word").alias("one"), F.col("n").alias("n_one"), "g", F.explode(shift).alias("by"))
-    asked = asked.select("one", "n_one", "g.gram", (F.col("g.at") + F.col("by.at")).alias("at"), (F.length("one") + F.col("by.size")).alias("size"))
-    merged = asked.join(lists, ["gram", "at", "size"]).where(_near(F.col("one"), F.col("two")))
-    loose = dealt.where("loose").select("word", "n")
+    dealt = written(words.mapInArrow(_decomposed(known), DEALT), "decomposed")
+    lists = dealt.select(F.col("word").alias("two"), F.col("n").alias("n_two"), F.col("letters").alias("letters_two"), F.explode("lists").alias("list"), F.length("word").alias("size"))
+    asked = dealt.select(F.col("word").alias("one"), F.col("n").alias("n_one"), F.col("letters").alias("letters_one"), F.explode("asked").alias("list"))
+    asked = asked.withColumn("size", F.explode(F.array(*[F.length("one") + by for by in (-1, 0, 1)])))
+    alike = F.bit_count(F.col("letters_one").bitwiseXOR(F.col("letters_two"))) <= 2
+    merged = asked.join(lists, ["list", "size"]).where(alike & _near(F.col("one"), F.col("two")))
+    loose = dealt.where(F.size("asked") == 0).select("word", "n")
     cut = F.transform(F.sequence(F.lit(0), F.length("word")), lambda i: F.concat(F.substr("word", F.lit(1), i), F.substr("word", i + 2)))
     lacking = written(loose.select("word", "n", F.explode(F.array_distinct(cut)).alias("left_over")), "lacking")
     met = lacking.select(F.col("word").alias("one"), F.col("n").alias("n_one"), "left_over").join(lacking.select(F.col("word").alias("two"), F.col("n").alias("n_two"), "left_over"), "left_over").where((F.col("one") < F.col("two")) & _near(F.col("one"), F.col("two")))
