@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import f1, percent, rate, ttd
+from . import ranks
 
 
 def counts(truth, predicted) -> list[Column]:
@@ -65,9 +66,8 @@ def classifier_metrics(scored: DataFrame, by: list[str], threshold: float = 0.5)
 def curve(scored: DataFrame, by: list[str], score: str = "prob", truth: str = "truth") -> DataFrame:
     """One row for each distinct score of a group, from the highest: tp and fp at or above it, pos and neg of the group, pos_here and neg_here at it."""
     at = scored.groupBy(*by, F.col(score).alias("score")).agg(F.count_if(F.col(truth) == 1).alias("pos_here"), F.count_if(F.col(truth) == 0).alias("neg_here"))
-    down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    return at.withColumns({"tp": F.sum("pos_here").over(down), "fp": F.sum("neg_here").over(down), "pos": F.sum("pos_here").over(whole), "neg": F.sum("neg_here").over(whole)})
+    found = ranks.running(at, by, "score", {"tp": F.col("pos_here"), "fp": F.col("neg_here")}, descending=True)
+    return found.withColumnsRenamed({"tp_all": "pos", "fp_all": "neg"})
 
 
 def average_precision(points: DataFrame, by: list[str]) -> DataFrame:
@@ -99,11 +99,10 @@ def fp_at_recall(scored: DataFrame, by: list[str], targets: list[float], score:
 
 def threshold_for_recall(scored: DataFrame, by: list[str], target: float, score: str = "score", truth: str = "truth") -> DataFrame:
     """The positive score at place floor(n * (1 - target)) from the lowest. A group without positives is an error, raised where `checked` is used."""
-    pos = scored.where(F.col(truth) == 1).groupBy(*by, F.col(score).alias("threshold")).agg(F.count("*").alias("here"))
-    up = Window.partitionBy(*by).orderBy("threshold").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = pos.withColumn("upto", F.sum("here").over(up)).withColumn("n", F.sum("here").over(Window.partitionBy(*by)))
-    place = F.floor(F.col("n").cast("double") * F.lit(1.0 - target))
-    return ranked.where((F.col("upto") > place) & (F.col("upto") - F.col("here") <= place)).select(*by, "threshold")
+    if not 0 < target <= 1:
+        raise ValueError(f"a target recall lies above 0 and up to 1, not at {target}")
+    place = lambda n: F.floor(n.cast("double") * F.lit(1.0 - target))
+    return ranks.values_at(scored.where(F.col(truth) == 1), by, score, {"threshold": place}).select(*by, "threshold").where("threshold is not null")
 
 
 def checked(thresholds: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
@@ -129,9 +128,8 @@ def threshold_sweep(scored: DataFrame, by: list[str], baked: float, min_precisio
     candidates = observed.unionByName(groups.select(*by, offsets)).distinct()
     at = scored.groupBy(*by, F.col(score).alias("at")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) == 0).alias("n"))
     both = at.withColumn("asks", F.lit(0)).unionByName(candidates.withColumns({"p": F.lit(0).cast("long"), "n": F.lit(0).cast("long"), "asks": F.lit(1)}))
-    down = Window.partitionBy(*by).orderBy(F.desc("at"), "asks").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    swept = both.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down), "pos": F.sum("p").over(whole), "neg": F.sum("n").over(whole)}).where("asks = 1")
+    swept = ranks.running(both, by, "at", {"tp": F.col("p"), "fp": F.col("n")}, descending=True, then=("asks",))
+    swept = swept.where("asks = 1").withColumnsRenamed({"tp_all": "pos", "fp_all": "neg"})
     swept = with_rates(swept.withColumn("fn", F.col("pos") - F.col("tp")).withColumn("tn", F.col("neg") - F.col("fp")))
     passed = swept.where((F.col("precision") >= min_precision) & (F.col("recall") >= min_recall))
     return passed.select(*by, F.col("at").alias("threshold"), "tp", "fp", "fn", "tn", "precision", "recall", "f1", (F.abs(F.col("at") - baked) < 1e-3).alias("is_baked"))
@@ -149,8 +147,9 @@ def latency_summary(runs: DataFrame, total: str, parts: list[str], warmup: int,
 
 def stage_summary(each: DataFrame) -> DataFrame:
     """p50, p95, mean, min and max of rows (stage, ms)."""
-    found = each.groupBy("stage").agg(F.percentile("ms", F.array(F.lit(0.5), F.lit(0.95))).alias("p"), F.avg("ms").alias("mean"), F.min("ms").alias("min"), F.max("ms").alias("max"), F.count("ms").alias("n"))
-    return found.select("stage", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), "mean", "min", "max", "n")
+    found = each.groupBy("stage").agg(F.avg("ms").alias("mean"), F.min("ms").alias("min"), F.max("ms").alias("max"), F.count("ms").alias("n"))
+    places = ranks.percentiles(each, ["stage"], "ms", {"p50": 0.5, "p95": 0.95}).drop("n").withColumnRenamed("stage", "of")
+    return found.join(places, F.col("stage").eqNullSafe(F.col("of")), "left").select("stage", "p50", "p95", "mean", "min", "max", "n")
 
 
 def training_curves(log: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import calibrated
+from . import ranks
 from .metrics import counts, metrics_at, threshold_for_recall, with_rates
 
 NONE = float("-inf")
@@ -81,11 +82,9 @@ def tube_selection(tubes: DataFrame, sequences: DataFrame, n: int | None, thresh
 
 
 def confidence_floor(detections: DataFrame, confidence: str = "confidence") -> DataFrame:
-    """n, min, p01 (place n // 100) and median (place n // 2) of the sorted confidences. Equal values are counted first, so the window sees distinct values."""
-    values = detections.where(F.col(confidence).isNotNull()).groupBy(F.col(confidence).alias("v")).agg(F.count("*").alias("here"))
-    ranked = values.withColumn("upto", F.sum("here").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("here").over(Window.partitionBy()))
-    at = lambda place: F.max(F.when((F.col("upto") > place) & (F.col("upto") - F.col("here") <= place), F.col("v")))
-    return ranked.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n_detections"), F.min("v").alias("min"), at(F.floor(F.col("n") / 100)).alias("p01"), at(F.floor(F.col("n") / 2)).alias("median"))
+    """n, min, p01 (place n // 100) and median (place n // 2) of the sorted confidences."""
+    found = ranks.values_at(detections, [], confidence, {"min": lambda n: F.lit(0), "p01": lambda n: F.floor(n / 100), "median": lambda n: F.floor(n / 2)})
+    return found.select(F.col("n").alias("n_detections"), "min", "p01", "median")
 
 
 def calibrator_features(tubes: DataFrame, sequences: DataFrame) -> DataFrame:
