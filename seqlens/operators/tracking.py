@@ -1,6 +1,6 @@
 """Tracking detections over frames, confirmation and post-filters.
 
-A camera sequence is the unit of work: sequences are short (frames of one alarm), so linking them runs in a small grouped kernel that returns keys only; everything computed from a track is native.
+A camera sequence is the unit of work. Rows are dealt by sequence and sorted inside partitions, and one kernel passes over them frame by frame: it holds the open tracks of one sequence and one frame's boxes, however long the sequence is. Hits leave it with the columns of their detection, so nothing is joined back; everything computed from a track is native.
 """
 
 from __future__ import annotations
@@ -9,8 +9,10 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import geometry
@@ -71,8 +73,7 @@ class Linker:
         return {"hits": hits, "born": born, "missed": missed, "pruned": pruned}
 
 
-HITS = "sequence_id long, track_id int, frame_idx int, det_idx int, streak int, iou double"
-TRACE = "sequence_id long, frame_idx int, n_detections int, matches array<struct<track_id: int, det_idx: int, iou: double>>, new_ids array<int>, missed_ids array<int>, confirmed_ids array<int>, pruned_ids array<int>"
+TRACE = "n_detections int, matches array<struct<track_id: int, det_idx: int, iou: double>>, new_ids array<int>, missed_ids array<int>, confirmed_ids array<int>, pruned_ids array<int>"
 
 
 def frames_of(rows: pd.DataFrame) -> Iterator[tuple[int, list[int], list[tuple]]]:
@@ -85,44 +86,103 @@ def frames_of(rows: pd.DataFrame) -> Iterator[tuple[int, list[int], list[tuple]]
         yield int(frame), [int(dets[i]) for i in here], [boxes[i] for i in here]
 
 
-def by_sequence(rows: DataFrame) -> DataFrame:
-    """rows dealt by sequence over twice the shuffle partitions. Kernels cost time by row, not by byte: partitions of a given number aren't merged for being small, as those of an aggregate are, and with another number than an aggregate's the step isn't taken for a needless one."""
-    return rows.repartition(2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sequence_id")
-
-
-def _typed(schema: str, sequence_type: str) -> str:
-    return schema.replace("sequence_id long", f"sequence_id {sequence_type}")
+def by_sequence(rows: DataFrame, partitions: int | None = None) -> DataFrame:
+    """rows dealt by sequence over so many partitions, twice the shuffle partitions by default (the setting that is raised with the data).
+
+    Kernels cost time by row, not by byte: partitions of a given number aren't merged for being small, as those of an aggregate are, and with another number than an aggregate's the step isn't taken for a needless one."""
+    return rows.repartition(partitions or 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sequence_id")
+
+
+def whole_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[tuple]]]:
+    """Of batches sorted by sequence_id, frame_idx and det_idx (the first columns): parts that end with a frame, and of each of their frames (sequence_id, frame_idx, places of its detections)."""
+
+    def framed(part: pa.Table) -> tuple[pa.Table, list[tuple]]:
+        keys = zip(part.column(0).to_pylist(), part.column(1).to_pylist())
+        seen = part.column(2).is_valid().to_pylist()
+        return part, [(*key, [i for i, _ in group if seen[i]]) for key, group in groupby(enumerate(keys), key=lambda x: x[1])]
+
+    rest = None
+    for batch in batches:
+        part = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        if not part.num_rows:
+            continue
+        key = lambda i: (part.column(0)[i].as_py(), part.column(1)[i].as_py())  # noqa: B023, E731
+        last, cut = key(part.num_rows - 1), part.num_rows - 1
+        while cut and key(cut - 1) == last:
+            cut -= 1
+        rest = part.slice(cut)
+        if cut:
+            yield framed(part.slice(0, cut))
+    if rest is not None:
+        yield framed(rest)
+
+
+def _sorted(frames: DataFrame, columns: list[str]) -> DataFrame:
+    keys = ["sequence_id", "frame_idx", "det_idx"]
+    kept = frames.select(*keys, "cx", "cy", "w", "h", *[c for c in columns if c in frames.columns])
+    return by_sequence(kept).sortWithinPartitions(*keys)
+
+
+def linked(frames: DataFrame, min_iou: float, max_misses: int, gaps: bool = False, columns: tuple[str, ...] = ("class_id", "confidence")) -> DataFrame:
+    """Hits of all tracks in one pass: sequence_id, track_id, frame_idx, det_idx, the box and `columns` of the detection, streak (hits in a row so far), iou (null at birth). frames: long form with empty frames kept.
+
+    With gaps, a row without a detection for each frame between two hits of a track."""
+    rows = _sorted(frames, list(columns))
+    carried = rows.columns[3:]
+    schema = T.StructType([rows.schema["sequence_id"], T.StructField("track_id", T.IntegerType()), rows.schema["frame_idx"], rows.schema["det_idx"], *[rows.schema[c] for c in carried], T.StructField("streak", T.IntegerType()), T.StructField("iou", T.DoubleType())])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, linker, last = None, Linker(min_iou, max_misses), {}
+        for part, frames in whole_frames(batches):
+            boxes = list(zip(*(part.column(c).to_pylist() for c in ("cx", "cy", "w", "h"))))
+            out = []
+            for key, at, here in frames:
+                if key != now:
+                    now, linker, last = key, Linker(min_iou, max_misses), {}
+                step = linker.step([boxes[i] for i in here])
+                for track, j, streak, iou in step["hits"]:
+                    if gaps:
+                        out += [(key, track, between, None, None, None) for between in range(last.get(track, at) + 1, at)]
+                        last[track] = at
+                    out.append((key, track, at, here[j], streak, iou))
+                for track in step["pruned"]:
+                    last.pop(track, None)
+            keys, tracks, ats, places, streaks, ious = zip(*out) if out else [()] * 6
+            taken = part.take(pa.array(places, pa.int64())).select(["det_idx", *carried])
+            kinds = part.schema
+            arrays = [pa.array(keys, kinds.field("sequence_id").type), pa.array(tracks, pa.int32()), pa.array(ats, kinds.field("frame_idx").type), *[c.combine_chunks() for c in taken.columns], pa.array(streaks, pa.int32()), pa.array(ious, pa.float64())]
+            yield pa.RecordBatch.from_arrays([a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a for a in arrays], schema.fieldNames())
+
+    return rows.mapInArrow(kernel, schema)
 
 
 def link(frames: DataFrame, min_iou: float, max_misses: int) -> DataFrame:
-    """Hits of all tracks: sequence_id, track_id, frame_idx, det_idx, streak (hits in a row so far), iou (null at birth). frames: long form with empty frames kept."""
-
-    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        linker, out, key = Linker(min_iou, max_misses), [], rows["sequence_id"].iloc[0]
-        for at, dets, boxes in frames_of(rows):
-            out += [(key, t, at, dets[j], streak, iou) for t, j, streak, iou in linker.step(boxes)["hits"]]
-        return pd.DataFrame(out, columns=["sequence_id", "track_id", "frame_idx", "det_idx", "streak", "iou"])
-
-    keep = frames.select("sequence_id", "frame_idx", "det_idx", "cx", "cy", "w", "h")
-    return by_sequence(keep).groupBy("sequence_id").applyInPandas(kernel, _typed(HITS, keep.schema["sequence_id"].dataType.simpleString()))
+    """Hits of all tracks by their keys: sequence_id, track_id, frame_idx, det_idx, streak, iou."""
+    return linked(frames, min_iou, max_misses, columns=()).select("sequence_id", "track_id", "frame_idx", "det_idx", "streak", "iou")
 
 
 def trace(frames: DataFrame, min_iou: float, max_misses: int, min_consecutive: int = 1) -> DataFrame:
     """What happened in each frame: matches, and ids born, missed, confirmed (min_consecutive hits in a row for the first time) and pruned."""
-
-    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        linker, out, key = Linker(min_iou, max_misses), [], rows["sequence_id"].iloc[0]
-        known: set[int] = set()
-        for at, dets, boxes in frames_of(rows):
-            step = linker.step(boxes)
-            matches = [{"track_id": t, "det_idx": dets[j], "iou": v} for t, j, _, v in step["hits"] if v is not None]
-            sure = [t for t, _, streak, _ in step["hits"] if streak >= min_consecutive and t not in known]
-            known.update(sure)
-            out.append((key, at, len(boxes), matches, step["born"], step["missed"], sure, step["pruned"]))
-        return pd.DataFrame(out, columns=["sequence_id", "frame_idx", "n_detections", "matches", "new_ids", "missed_ids", "confirmed_ids", "pruned_ids"])
-
-    keep = frames.select("sequence_id", "frame_idx", "det_idx", "cx", "cy", "w", "h")
-    return by_sequence(keep).groupBy("sequence_id").applyInPandas(kernel, _typed(TRACE, keep.schema["sequence_id"].dataType.simpleString()))
+    rows = _sorted(frames, [])
+    schema = T.StructType([rows.schema["sequence_id"], rows.schema["frame_idx"], *T.StructType.fromDDL(TRACE).fields])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, linker, known = None, Linker(min_iou, max_misses), set()
+        for part, frames in whole_frames(batches):
+            boxes, dets, out = list(zip(*(part.column(c).to_pylist() for c in ("cx", "cy", "w", "h")))), part.column(2).to_pylist(), []
+            for key, at, here in frames:
+                if key != now:
+                    now, linker, known = key, Linker(min_iou, max_misses), set()
+                step = linker.step([boxes[i] for i in here])
+                matches = [{"track_id": t, "det_idx": dets[here[j]], "iou": v} for t, j, _, v in step["hits"] if v is not None]
+                sure = [t for t, _, streak, _ in step["hits"] if streak >= min_consecutive and t not in known]
+                known.update(sure)
+                known.difference_update(step["pruned"])
+                out.append((key, at, len(here), matches, step["born"], step["missed"], sure, step["pruned"]))
+            kinds = [part.schema.field(0).type, part.schema.field(1).type, pa.int32(), pa.list_(pa.struct([("track_id", pa.int32()), ("det_idx", pa.int32()), ("iou", pa.float64())])), *[pa.list_(pa.int32())] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], schema.fieldNames())
+
+    return rows.mapInArrow(kernel, schema)
 
 
 def confirmations(hits: DataFrame, min_consecutive: int) -> DataFrame:
@@ -133,7 +193,11 @@ def confirmations(hits: DataFrame, min_consecutive: int) -> DataFrame:
 def track_features(hits: DataFrame, detections: DataFrame) -> DataFrame:
     """n_hits, mean_confidence, area_ratio (last to first), first_frame and last_frame of each track."""
     boxes = hits.select("sequence_id", "track_id", "frame_idx", "det_idx").join(detections.select("sequence_id", "frame_idx", "det_idx", "confidence", geometry.area("w", "h").alias("area")), ["sequence_id", "frame_idx", "det_idx"])
-    found = boxes.groupBy("sequence_id", "track_id").agg(F.count("*").alias("n_hits"), F.avg("confidence").alias("mean_confidence"), F.min_by("area", "frame_idx").alias("first"), F.max_by("area", "frame_idx").alias("last"), F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"))
+    return _features(boxes)
+
+
+def _features(hits: DataFrame, *more) -> DataFrame:
+    found = hits.groupBy("sequence_id", "track_id").agg(F.count("*").alias("n_hits"), F.avg("confidence").alias("mean_confidence"), F.min_by("area", "frame_idx").alias("first"), F.max_by("area", "frame_idx").alias("last"), F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"), *more)
     return found.withColumn("area_ratio", geometry.area_ratio("first", "last")).drop("first", "last")
 
 
@@ -159,9 +223,9 @@ def alarms(tracks: DataFrame, sequences: DataFrame) -> DataFrame:
 
 def track(frames: DataFrame, min_iou: float, max_misses: int, min_consecutive: int, min_mean_confidence: float | None = None, min_area_change: float | None = None) -> DataFrame:
     """All tracks of all sequences, with features, filter log, confirmed and confirmed_at. frames: long form with confidence, empty frames kept."""
-    hits = link(frames, min_iou, max_misses)
-    features = track_features(hits, frames.where("det_idx is not null"))
-    return post_filter(features.join(confirmations(hits, min_consecutive), ["sequence_id", "track_id"], "left"), min_mean_confidence, min_area_change)
+    hits = linked(frames, min_iou, max_misses).withColumn("area", geometry.area("w", "h"))
+    confirmed = F.min(F.when(F.col("streak") >= min_consecutive, F.col("frame_idx"))).alias("confirmed_at")
+    return post_filter(_features(hits, confirmed), min_mean_confidence, min_area_change)
 
 
 def single_object_runs(frames: DataFrame, min_iou: float) -> DataFrame:

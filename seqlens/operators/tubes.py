@@ -8,18 +8,15 @@ from pyspark.sql.window import Window
 
 from ..schema import BOX
 from .filters import drop_reason
-from .tracking import link
+from .tracking import linked
 
 KEYS = ["sequence_id", "tube_id"]
 
 
 def build(frames: DataFrame, min_iou: float = 0.2, max_misses: int = 2) -> DataFrame:
     """Entries of all tubes, gaps included: sequence_id, tube_id, frame_idx, det_idx and box (null in gaps), is_gap. Ids are in order of birth; a tube ends at its last hit."""
-    hits = link(frames, min_iou, max_misses).withColumnRenamed("track_id", "tube_id")
-    seen = hits.select(*KEYS, "frame_idx", "det_idx").join(frames.where("det_idx is not null").select("sequence_id", "frame_idx", "det_idx", "class_id", *BOX, "confidence"), ["sequence_id", "frame_idx", "det_idx"])
-    spans = hits.groupBy(*KEYS).agg(F.min("frame_idx").alias("a"), F.max("frame_idx").alias("b"))
-    cells = spans.select(*KEYS, F.explode(F.sequence("a", "b")).alias("frame_idx"))
-    return cells.join(seen, [*KEYS, "frame_idx"], "left").withColumn("is_gap", F.col("det_idx").isNull())
+    found = linked(frames, min_iou, max_misses, gaps=True).withColumnRenamed("track_id", "tube_id")
+    return found.select(*KEYS, "frame_idx", "det_idx", "class_id", *BOX, "confidence", F.col("det_idx").isNull().alias("is_gap"))
 
 
 def interpolate(entries: DataFrame) -> DataFrame:

@@ -165,3 +165,43 @@ def test_grids_have_the_published_sizes():
     assert size(sweep.BASE) == 150 and size(sweep.WHOLE) == 28_800
     assert all(set(sweep.BASE[k]) <= set(sweep.EACH[k]) <= set(sweep.WHOLE[k]) for k in sweep.WHOLE)
     assert sweep.WHOLE["max_area"] == [None, 0.05, 0.1, 0.15] and sweep.WHOLE["min_area_change"] == [None, 1.0, 1.1, 1.2]
+
+
+def test_one_pass_over_batches_of_any_size(spark):
+    """Frames and sequences that lie across batches, ids of another type, extra columns: the same hits, and gaps between them."""
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for s in range(9):
+        for f in range(rng.choice([1, 40])):
+            dets = [(f"c{s}", f, d, 0.2 * d + rng.random() / 20, 0.5, 0.1, 0.1, rng.random(), 7) for d in range(rng.randint(0, 4))]
+            rows += dets or [(f"c{s}", f, None, None, None, None, None, None, None)]
+    frames = spark.createDataFrame(rows, "sequence_id string, frame_idx int, det_idx int, cx double, cy double, w double, h double, confidence double, class_id int")
+    key = lambda r: tuple((x is not None, x) for x in r)
+    found = []
+    for size in ("1", "3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        found.append(sorted(map(tuple, tracking.linked(frames, 0.2, 2, gaps=True).collect()), key=key))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1] == found[2]
+    by_key = {r[:3]: r for r in rows if r[2] is not None}
+    plain = {}
+    for s in sorted({r[0] for r in rows}):
+        linker = tracking.Linker(0.2, 2)
+        for f in range(1 + max(r[1] for r in rows if r[0] == s)):
+            here = sorted(r for r in rows if r[:2] == (s, f) and r[2] is not None)
+            for t, j, streak, _ in linker.step([r[3:7] for r in here])["hits"]:
+                plain[s, t, f] = (here[j][2], streak)
+    assert {(r[0], r[1], r[2]): (r[3], r[-2]) for r in found[0] if r[3] is not None} == plain
+    assert all(r[4:10] == ((*by_key[r[0], r[2], r[3]][3:7], 7, by_key[r[0], r[2], r[3]][7]) if r[3] is not None else (None,) * 6) for r in found[0])
+    for s, t in {k[:2] for k in plain}:
+        ats = sorted(f for a, b, f in plain if (a, b) == (s, t))
+        assert sorted(r[2] for r in found[0] if r[:2] == (s, t)) == list(range(ats[0], ats[-1] + 1))
+
+
+def test_one_kernel_in_the_plan(spark):
+    frames = spark.createDataFrame(long_form({}), FRAMES)
+    for df in (tracking.track(frames, 0.1, 1, 3, 0.4, 1.1), tubes.build(frames)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Join" not in plan
