@@ -8,10 +8,9 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.scalar import calibrated
-from . import shape, smoothing, tracking, tubes
+from . import shape, smoothing, tracking
 from .joins import attach_truth
 from .metrics import sequence_metrics
 from .tracking import by_sequence
@@ -142,40 +141,3 @@ def verify(rows: DataFrame, coefficients: list[float], intercept: float, toleran
     off = rows.agg(F.max(F.abs(calibrated(FEATURES, coefficients, intercept) - F.col("prob")))).first()[0]
     if off is None or off > tolerance:
         raise ValueError(f"calibrator differs from its sanity rows by {off}")
-
-
-def decide_tubes(frames: DataFrame, prefix_logits: DataFrame, coefficients: list[float], intercept: float, max_frames: int = 20, min_frames: int = 8, min_iou: float = 0.2, max_misses: int = 2, min_length: int = 4, min_observed: int = 2, threshold: float = 0.5) -> DataFrame:
-    """Frames and scored prefixes to sequence decisions: truncate, pad, build tubes, filter, interpolate, first crossing.
-
-    prefix_logits: sequence_id, tube_id, prefix, logit. Returns of every sequence: is_positive, trigger_frame_index, trigger_tube_id and details (preprocessing, tubes.kept, decision)."""
-    slots = frames.select("sequence_id", "frame_idx").distinct()
-    counted = shape.truncation_counts(slots, max_frames)
-    padded = shape.pad_symmetric(shape.truncate(slots, max_frames), min_frames)
-    marks = padded.groupBy("sequence_id").agg(F.count_if("is_padded").alias("n_padded"))
-    rows = padded.select("sequence_id", F.col("slot").alias("at"), "frame_idx").join(frames.where("det_idx is not null"), ["sequence_id", "frame_idx"], "left").drop("frame_idx").withColumnRenamed("at", "frame_idx")
-    entries = tubes.build(rows, min_iou, max_misses)
-    kept = tubes.summary(entries)
-    kept = kept.where((F.col("end_frame") - F.col("start_frame") + 1 >= min_length) & (F.col("n_observed") >= min_observed))
-    filled = tubes.interpolate(entries.join(kept.select(*tubes.KEYS), tubes.KEYS, "left_semi"))
-    prefixes = prefix_features(filled, prefix_logits)
-    decides = calibrated(FEATURES, coefficients, intercept) >= threshold
-    crossed, triggers = tubes.first_crossing(prefixes, min_length, decides)
-    nested = tubes.records(filled).join(crossed, tubes.KEYS, "left").groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("tube_id", "start_frame", "end_frame", "crossing_frame", "prefix_length", "entries"))).alias("kept"))
-    found = counted.join(marks, "sequence_id").join(nested, "sequence_id", "left").join(triggers, "sequence_id", "left")
-    positive = F.col("trigger_tube_id").isNotNull()
-    details = F.struct(F.struct("n_kept", "n_truncated", "n_padded").alias("preprocessing"), F.struct(F.col("kept")).alias("tubes"), F.struct(F.lit(threshold).alias("threshold"), F.col("trigger_tube_id")).alias("decision"))
-    return found.select("sequence_id", positive.alias("is_positive"), "trigger_frame_index", "trigger_tube_id", details.alias("details"))
-
-
-def prefix_features(entries: DataFrame, prefix_logits: DataFrame) -> DataFrame:
-    """Calibrator features of each prefix of each tube: logit, log_len, mean_conf of the prefix and the sequence's n_tubes, with frame_idx of its last entry."""
-    by = Window.partitionBy(*tubes.KEYS).orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0)
-    rows = entries.select(*tubes.KEYS, "frame_idx", F.row_number().over(Window.partitionBy(*tubes.KEYS).orderBy("frame_idx")).alias("prefix"), F.coalesce(F.avg("confidence").over(by), F.lit(0.0)).alias("mean_conf"), F.log1p(F.col("frame_idx") - F.min("frame_idx").over(by) + 1).alias("log_len"))
-    n = entries.groupBy("sequence_id").agg(F.count_distinct("tube_id").cast("double").alias("n_tubes"))
-    return rows.join(prefix_logits, [*tubes.KEYS, "prefix"]).join(n, "sequence_id")
-
-
-def pipeline_records(decided: DataFrame, truth: DataFrame) -> DataFrame:
-    """Label and kept tubes of each decided sequence, for calibration."""
-    label = F.when(F.col("is_positive_gt"), "smoke").otherwise("fp")
-    return attach_truth(decided, truth).select("sequence_id", label.alias("label"), "is_positive", F.col("trigger_frame_index").alias("trigger"), F.col("details.tubes.kept").alias("kept_tubes"))

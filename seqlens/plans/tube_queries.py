@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import models, sweep, tube_scores, tubes
+from ..functions.scalar import calibrated
+from ..operators import decisions, models, sweep, tube_scores, tubes
 from . import adapters as A
 from .curves import R6, RATES, counted
+from .greedy_sql import hits_sql
 from .registry import query, rounded
 
 #: A calibrator for tests of its use: coefficients of tube_scores.FEATURES, intercept.
@@ -118,20 +120,74 @@ def l5_sanity_rows(spark, d):
     return rounded(rows)
 
 
-def decided(spark, d):
-    """Tube decisions over the boxes; a prefix's logit is a function of its place."""
-    frames = A.frames(spark, d, 0.3)
-    keys = frames.select("sequence_id").distinct().withColumn("tube_id", F.explode(F.sequence(F.lit(0), F.lit(299)))).withColumn("prefix", F.explode(F.sequence(F.lit(1), F.lit(20))))
-    logits = keys.withColumn("logit", (F.pmod(F.xxhash64("sequence_id", "tube_id"), F.lit(100)) / 25.0 - 3 + F.col("prefix") / 5.0))
-    return models.decide_tubes(frames, logits, COEFFICIENTS, INTERCEPT, threshold=0.6)
+#: The two ways of deciding that the queries go: (aggregation, threshold, padding, interpolation).
+LOGISTIC, MAX_LOGIT = ("logistic", 0.6, "uniform", True), ("max_logit", 0.2, "symmetric", False)
 
 
-@query()
+def decided(spark, d, way):
+    """Tube decisions over the first 20 frames, padded to 24; a prefix's logit is a function of its tube and length."""
+    aggregation, threshold, pad, interpolate = way
+    frames = A.frames(spark, d, 0.3)
+    found = decisions.candidate_tubes(frames, 20, 24, pad, 0.2, 2, 4, 2, interpolate)
+    logit = lambda p: F.pmod(F.col("sequence_id") * 7 + F.col("tube_id") * 13, F.lit(100)) / 25.0 - 3 + p / 5.0
+    scored = found.withColumn("scores", F.map_from_entries(F.transform(F.sequence(F.lit(1), F.size("entries")), lambda p: F.struct(p, logit(p)))))
+    return decisions.decide(decisions.preprocessing(frames, 20, 24, pad), scored, aggregation, threshold, COEFFICIENTS, INTERCEPT)
+
+
+def decided_sql(way) -> str:
+    """The twin: kept tubes (sequence_id, tube_id, start_frame, end_frame, logit, prob, crossing, n, conf) in `kept`, candidates in `tube`, padded slots in `slot`."""
+    aggregation, threshold, pad, interpolate = way
+    source = "CAST(floor(s * 20 / 24) AS INT)" if pad == "uniform" else "greatest(0, least(19, s - 2))"
+    slots = f"(SELECT sequence_id, CAST(s AS INT) AS frame_idx, {source} AS source FROM v_seq, range(24) t(s))"
+    boxes = f"(SELECT x.sequence_id, x.frame_idx, d.det_idx, d.cx, d.cy, d.w, d.h, d.confidence FROM {slots} x JOIN v_det d ON d.sequence_id = x.sequence_id AND d.frame_idx = x.source WHERE d.confidence >= 0.3e0)"
+    positive = f"prob >= {threshold}e0" if aggregation == "logistic" else f"logit >= {threshold}e0"
+    prob = " + ".join(f"{c}e0 * {f}" for c, f in zip(COEFFICIENTS, ("logit", "log_len", "mean_conf", "n_tubes")))
+    return f"""WITH hit AS MATERIALIZED ({hits_sql(boxes, '0.2e0', '2', slots)}),
+    tube AS (SELECT sequence_id, track_id AS tube_id, min(frame_idx) AS start_frame, max(frame_idx) AS end_frame, count(*) AS seen FROM hit GROUP BY 1, 2),
+    long AS (SELECT *, count(*) OVER (PARTITION BY sequence_id) AS n_tubes FROM tube WHERE end_frame - start_frame + 1 >= 4 AND seen >= 2),
+    entry AS (SELECT l.sequence_id, l.tube_id, l.start_frame, l.n_tubes, l.frame_idx, {'coalesce(h.confidence, 0e0)' if interpolate else 'h.confidence'} AS confidence
+        FROM (SELECT *, unnest(range(start_frame, end_frame + 1)) AS frame_idx FROM long) l LEFT JOIN hit h ON h.sequence_id = l.sequence_id AND h.track_id = l.tube_id AND h.frame_idx = l.frame_idx),
+    prefix AS (SELECT *, row_number() OVER w AS p, count(*) OVER (PARTITION BY sequence_id, tube_id) AS n, coalesce(avg(confidence) OVER w, 0e0) AS mean_conf, ln(2e0 + frame_idx - start_frame) AS log_len FROM entry WINDOW w AS (PARTITION BY sequence_id, tube_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING)),
+    scored AS (SELECT *, ((sequence_id * 7 + tube_id * 13) % 100) / 25e0 - 3e0 + p / 5e0 AS logit FROM prefix),
+    judged AS (SELECT *, {positive} AS positive FROM (SELECT *, 1 / (1 + exp(-({INTERCEPT}e0 + {prob}))) AS prob FROM scored)),
+    kept AS (SELECT sequence_id, tube_id, start_frame, max(frame_idx) AS end_frame, max(n) AS n, arg_max(logit, p) AS logit, arg_max(prob, p) AS prob, avg(confidence) AS conf,
+        CASE WHEN arg_max(positive, p) THEN min(frame_idx) FILTER (p >= 4 AND positive) END AS crossing FROM judged GROUP BY 1, 2, 3),
+    slot AS (SELECT sequence_id, list(frame_idx ORDER BY frame_idx) FILTER (nth > 1) AS padded FROM (SELECT *, {'row_number() OVER (PARTITION BY sequence_id, source ORDER BY frame_idx)' if pad == 'uniform' else 'CASE WHEN source = frame_idx - 2 THEN 1 ELSE 2 END'} AS nth FROM {slots}) GROUP BY 1)"""
+
+
+def sequences_sql(way) -> str:
+    return f"""{decided_sql(way)} SELECT s.sequence_id, k.trigger IS NOT NULL AS is_positive, k.trigger.frame AS trigger_frame_index, k.trigger.tube_id AS trigger_tube_id, 30 AS num_frames_input, 10 AS num_truncated,
+    array_to_string(s.padded, ',') AS padded, coalesce(c.n, 0) AS num_candidates, coalesce(k.kept, '') AS kept, round(coalesce(k.logits, 0), 5) AS logits, round(coalesce(k.probs, 0), 5) AS probs
+    FROM slot s LEFT JOIN (SELECT sequence_id, CAST(count(*) AS INT) AS n FROM tube GROUP BY 1) c USING (sequence_id)
+    LEFT JOIN (SELECT sequence_id, min({{'frame': crossing, 'tube_id': tube_id}}) FILTER (crossing IS NOT NULL) AS trigger, sum(logit) AS logits, sum(prob) AS probs,
+        string_agg(tube_id || ':' || start_frame || '-' || end_frame || ':' || n || ':' || coalesce(CAST(crossing AS VARCHAR), ''), ',' ORDER BY tube_id) AS kept FROM kept GROUP BY 1) k USING (sequence_id)"""
+
+
+def sequence_rows(found):
+    text = lambda t: F.concat(t["tube_id"].cast("string"), F.lit(":"), t["start_frame"].cast("string"), F.lit("-"), t["end_frame"].cast("string"), F.lit(":"), F.size(t["entries"]).cast("string"), F.lit(":"), F.coalesce(t["first_crossing_frame"].cast("string"), F.lit("")))
+    total = lambda c: F.round(F.aggregate(F.col(f"details.tubes.kept.{c}"), F.lit(0.0), lambda a, x: a + x), 5).alias(f"{c[:4] if c[0] == 'p' else c}s")
+    return found.select("sequence_id", "is_positive", "trigger_frame_index", "details.decision.trigger_tube_id", "details.preprocessing.num_frames_input", "details.preprocessing.num_truncated", F.array_join(F.col("details.preprocessing.padded_frame_indices").cast("array<string>"), ",").alias("padded"), "details.tubes.num_candidates", F.array_join(F.transform("details.tubes.kept", text), ",").alias("kept"), total("logit"), total("probability"))
+
+
+@query(sequences_sql(LOGISTIC))
 def l6_tube_decisions(spark, d):
-    return decided(spark, d).select("sequence_id", "is_positive", "trigger_frame_index", "trigger_tube_id", F.size("details.tubes.kept").alias("n_kept"), "details.preprocessing.n_padded", "details.preprocessing.n_truncated")
+    return sequence_rows(decided(spark, d, LOGISTIC))
 
 
-@query()
+@query(sequences_sql(MAX_LOGIT))
+def l6_tube_decisions_max_logit(spark, d):
+    return sequence_rows(decided(spark, d, MAX_LOGIT))
+
+
+BEST = f"""SELECT g.sequence_id, CASE WHEN g.is_positive_gt THEN 'smoke' ELSE 'fp' END AS label, b.trigger IS NOT NULL AS is_positive, b.trigger AS trigger,
+    coalesce(b.best.logit, 0) AS logit, coalesce(ln(1e0 + b.best.length), 0) AS log_len, coalesce(b.best.conf, 0) AS mean_conf, CAST(coalesce(b.n, 0) AS DOUBLE) AS n_tubes
+    FROM v_gt g LEFT JOIN (SELECT sequence_id, min(crossing) AS trigger, count(*) AS n, first({{'logit': logit, 'length': end_frame - start_frame + 1, 'conf': conf}} ORDER BY logit DESC, tube_id) AS best FROM kept GROUP BY 1) b USING (sequence_id)"""
+PROBABILITY = f"1 / (1 + exp(-({INTERCEPT}e0 + {COEFFICIENTS[0]}e0 * logit + {COEFFICIENTS[1]}e0 * log_len + {COEFFICIENTS[2]}e0 * mean_conf + {COEFFICIENTS[3]}e0 * n_tubes)))"
+RECORDS = f"{decided_sql(LOGISTIC)} SELECT sequence_id, label, is_positive, trigger, round(logit, 5) AS logit, round(log_len, 5) AS log_len, n_tubes, round({PROBABILITY}, 5) AS prob FROM ({BEST})"
+
+
+@query(RECORDS)
 def l7_pipeline_records(spark, d):
-    rows = models.pipeline_records(decided(spark, d), A.truth(spark, d))
-    return rows.select("sequence_id", "label", "is_positive", "trigger", F.size("kept_tubes").alias("n_kept"))
+    records = decisions.pipeline_records(decided(spark, d, LOGISTIC), A.truth(spark, d))
+    features = decisions.record_features(records).withColumn("prob", calibrated(tube_scores.FEATURES, COEFFICIENTS, INTERCEPT)).select("sequence_id", "logit", "log_len", "n_tubes", "prob")
+    return rounded(records.select("sequence_id", "label", "is_positive", "trigger").join(features, "sequence_id"), 5)
