@@ -1,4 +1,4 @@
-"""Queries: camera streams and models (H1, H3, H4, L1-L3)."""
+"""Queries: camera streams and models (H1, H3, H4, L1, L3)."""
 
 from __future__ import annotations
 
@@ -16,65 +16,112 @@ from .greedy_sql import confident, hits_sql
 from .registry import query, rounded
 
 
+CAMERAS = 32
+
+
 def camera_frames(spark: SparkSession, d: str) -> DataFrame:
     """Each day's boxes of a user as a camera frame."""
     rows = A.detections(spark, d).groupBy(F.col("sequence_id").alias("camera"), "frame_idx")
     return rows.agg(F.min("ts").cast("timestamp").alias("ts"), F.array_sort(F.collect_list(F.struct("det_idx", "cx", "cy", "w", "h", "confidence"))).alias("detections")).select("camera", F.concat_ws("_", "camera", F.lpad(F.col("frame_idx").cast("string"), 3, "0")).alias("frame_id"), "ts", "detections")
 
 
-def streamed(spark: SparkSession, frames: DataFrame, make, n_files: int = 3) -> DataFrame:
-    """Replay frames, written in order of time as n_files files, through a streaming operator to its end; the rows it appended."""
+def streamed(spark: SparkSession, frames: DataFrame, make, arrival: str = "arrival") -> DataFrame:
+    """Replay frames through a streaming operator, those of one arrival (0, 1, ...) after another; the rows it appended. Every arrival is a run of its own that starts from the checkpoint of the one before."""
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    # one file after another: a stream takes files by the time they were written
-    cuts = frames.select(F.percentile_approx(F.unix_micros("ts"), [i / n_files for i in range(1, n_files)], 10_000)).first()[0] or []
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        inside = (F.lit(True) if low is None else F.unix_micros("ts") >= low) & (F.lit(True) if high is None else F.unix_micros("ts") < high)
-        frames.where(inside).repartition(1).write.mode("append").parquet(f"{base}/in")
-    source = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    sink = make(source).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
-    sink.awaitTermination()
+    frames.write.partitionBy(arrival).parquet(f"{base}/all")
+    rows = spark.read.parquet(f"{base}/all")
+    # a state partition for each CAMERAS cameras: state is small, its workers are not
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    wanted = rows.select("camera").distinct().count() // CAMERAS
+    spark.conf.set("spark.sql.shuffle.partitions", str(max(1, min(int(before), wanted))))
+    try:
+        _arrivals(spark, rows, frames, make, arrival, base)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     return spark.read.parquet(f"{base}/out")
 
 
+def _arrivals(spark: SparkSession, rows: DataFrame, frames: DataFrame, make, arrival: str, base: str) -> None:
+    for (at,) in rows.select(arrival).distinct().orderBy(arrival).collect():
+        rows.where(F.col(arrival) == at).drop(arrival).write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(frames.drop(arrival).schema).parquet(f"{base}/in")
+        sink = make(source).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append")
+        sink.trigger(availableNow=True).start().awaitTermination()
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset and all runs on one machine (tests) a new local one."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def arriving(spark: SparkSession, d: str, repeats: bool = False) -> DataFrame:
+    """Camera frames in four arrivals: ten days each, one frame in 11 ten days late; with repeats, one in 3 again ten days later."""
+    day = F.substring_index("frame_id", "_", -1).cast("int")
+    late = ((F.col("camera") + day) % 11 == 0).cast("int")
+    rows = camera_frames(spark, d).withColumn("arrival", F.least(F.lit(3), (F.floor(day / 10) + late).cast("int")))
+    again = rows.where((F.col("camera") + day) % 3 == 0).withColumn("arrival", F.least(F.lit(3), F.col("arrival") + 1))
+    return rows.unionByName(again) if repeats else rows
+
 
+FRAME = "SELECT sequence_id AS camera, frame_idx AS day, sequence_id || '_' || lpad(CAST(frame_idx AS VARCHAR), 3, '0') AS frame_id, min(ts) AS ts, least(3, frame_idx // 10 + CASE WHEN (sequence_id + frame_idx) % 11 = 0 THEN 1 ELSE 0 END) AS arrival FROM v_det GROUP BY 1, 2"
 
-CAMERA_HITS = hits_sql(confident('0.3e0'), '0.1e0', '1', '(SELECT DISTINCT sequence_id, frame_idx FROM v_det)')
 
+def late_sql(frames: str, least: str) -> str:
+    """Frames with is_late: older by more than `least` microseconds than the newest of their camera that arrived before."""
+    return f"""SELECT f.*, coalesce(epoch_us(f.ts) < e.newest - {least}, false) AS is_late FROM ({frames}) f
+    LEFT JOIN (SELECT a.camera, a.arrival, max(epoch_us(b.ts)) AS newest FROM (SELECT DISTINCT camera, arrival FROM ({frames})) a JOIN ({frames}) b ON b.camera = a.camera AND b.arrival < a.arrival GROUP BY 1, 2) e
+    ON e.camera = f.camera AND e.arrival = f.arrival"""
 
-@query(f"SELECT sequence_id AS camera, track_id, sequence_id || '_' || lpad(CAST(min(frame_idx) AS VARCHAR), 3, '0') AS frame_id FROM ({CAMERA_HITS}) WHERE streak >= 2 GROUP BY 1, 2")
+
+LATE = late_sql(FRAME, "0")
+ON_TIME = f"(SELECT camera AS sequence_id, CAST(day AS INT) AS frame_idx FROM ({LATE}) WHERE NOT is_late)"
+CAMERA_HITS = hits_sql(f"(SELECT d.* FROM {confident('0.3e0')} d JOIN {ON_TIME} o ON o.sequence_id = d.sequence_id AND o.frame_idx = d.frame_idx)", '0.1e0', '1', ON_TIME)
+
+
+@query(f"""SELECT sequence_id AS camera, 'confirmed' AS kind, track_id, sequence_id || '_' || lpad(CAST(min(frame_idx) AS VARCHAR), 3, '0') AS frame_id FROM ({CAMERA_HITS}) WHERE streak >= 2 GROUP BY 1, 3
+UNION ALL SELECT camera, 'late', NULL, frame_id FROM ({LATE}) WHERE is_late""")
 def h1_stream_tracker(spark, d):
-    found = streamed(spark, camera_frames(spark, d), lambda s: cameras.track_stream(s, 0.1, 1, 2, 0.3, idle="40 days", idle_ms=40 * 86_400_000))
-    return found.select("camera", "track_id", "frame_id")
+    found = streamed(spark, arriving(spark, d), lambda s: cameras.track_stream(s, 0.1, 1, 2, 0.3, idle="40 days"))
+    return found.select("camera", "kind", "track_id", "frame_id")
 
 
-SESSIONS = "SELECT camera, ts, day, sum(cut) OVER (PARTITION BY camera ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_id FROM (SELECT camera, ts, day, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY camera ORDER BY ts)) >= 172800000000 THEN 1 ELSE 0 END AS cut FROM (SELECT sequence_id AS camera, frame_idx AS day, min(ts) AS ts FROM v_det GROUP BY 1, 2))"
+SESSIONS = "SELECT camera, ts, day, frame_id, sum(cut) OVER (PARTITION BY camera ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_id FROM (SELECT camera, ts, day, frame_id, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY camera ORDER BY ts)) >= 172800000000 THEN 1 ELSE 0 END AS cut FROM ({frames}))"
+ALL_FRAMES = SESSIONS.format(frames=FRAME)
 
 
-@query(f"SELECT camera, CAST(day AS INT) AS day, CAST(session_id AS INT) AS session_id FROM ({SESSIONS})")
+@query(f"SELECT camera, CAST(day AS INT) AS day, CAST(session_id AS INT) AS session_id FROM ({ALL_FRAMES})")
 def h3_sessions_batch(spark, d):
     found = cameras.sessions_batch(camera_frames(spark, d), 172_800)
     return found.select("camera", F.substring_index("frame_id", "_", -1).cast("int").alias("day"), "session_id")
 
 
-@query(f"SELECT camera, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS n_frames FROM ({SESSIONS}) GROUP BY camera, session_id")
+@query(f"SELECT camera, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS n_frames FROM ({ALL_FRAMES}) GROUP BY camera, session_id")
 def h3_session_window(spark, d):
     found = cameras.sessions(camera_frames(spark, d), "2 days")
     return found.select("camera", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "n_frames")
 
 
-@query("SELECT sequence_id AS camera, count(DISTINCT frame_idx) AS n_frames FROM v_det GROUP BY 1")
+@query(f"SELECT camera, frame_id, CAST(session_id AS INT) AS session_id FROM ({SESSIONS.format(frames=f'SELECT * FROM ({LATE}) WHERE NOT is_late')}) UNION ALL SELECT camera, frame_id, NULL FROM ({LATE}) WHERE is_late")
+def h3_session_stream(spark, d):
+    found = streamed(spark, arriving(spark, d), lambda s: cameras.session_stream(s, "2 days", idle="40 days"))
+    return found.select("camera", "frame_id", "session_id")
+
+
+TWICE = f"SELECT * FROM ({FRAME}) UNION ALL SELECT camera, day, frame_id, ts, least(3, arrival + 1) FROM ({FRAME}) WHERE (camera + day) % 3 = 0"
+
+
+@query(f"""SELECT camera, CAST(sum(least(on_time, 1)) AS BIGINT) AS n_kept, CAST(sum(greatest(on_time - 1, 0)) AS BIGINT) AS n_repeated, CAST(sum(late) AS BIGINT) AS n_late
+FROM (SELECT camera, frame_id, count(*) FILTER (NOT is_late) AS on_time, count(*) FILTER (is_late) AS late FROM ({late_sql(TWICE, '172800000000')}) GROUP BY 1, 2) GROUP BY 1""")
 def h4_late_and_repeated(spark, d):
-    rows = camera_frames(spark, d)
-    twice = rows.unionByName(rows.where(F.hash("frame_id") % 3 == 0))
-    found = streamed(spark, twice, lambda s: cameras.deduplicated(s, "2 days").select("camera", "frame_id"))
-    return found.groupBy("camera").agg(F.count("*").alias("n_frames"))
+    found = streamed(spark, arriving(spark, d, repeats=True), lambda s: cameras.judged_stream(s, "2 days", idle="40 days"))
+    return found.groupBy("camera").agg(*[F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("kept", "repeated", "late")])
 
 
 @query()

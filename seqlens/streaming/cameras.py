@@ -1,6 +1,8 @@
-"""Camera streams: cutting into sequences, late and repeated frames, a tracker with state.
+"""Camera streams: late and repeated frames, cutting into sequences, a tracker, all with typed state for each camera.
 
-Frames arrive as rows (camera, frame_id, ts, detections: array of cx, cy, w, h, confidence), empty ones too."""
+Frames arrive as rows (camera, frame_id, ts, detections: array of cx, cy, w, h, confidence), empty ones too. Rows of a batch are taken in the order of time, then frame id. Frames that come too late aren't lost in a counter: they leave by the same output with their verdict, so they can be routed and counted.
+A camera that sends nothing for `idle` of event time loses its state by an event timer; rows older than that behind the newest of all cameras are dropped by the watermark before they reach it. State is kept in RocksDB, which the operators set for the session.
+"""
 
 from __future__ import annotations
 
@@ -9,13 +11,15 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.window import Window
 
 from ..operators.tracking import Linker
 
-CONFIRMATIONS = "camera long, track_id int, frame_id string, ts timestamp, frame_idx int"
-_STATE = "live array<struct<id: int, cx: double, cy: double, w: double, h: double, streak: int, misses: int, done: boolean>>, born int, frame_idx int, last timestamp"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CONFIRMATIONS = "camera long, kind string, track_id int, frame_id string, ts timestamp, frame_idx int"
+VERDICTS = "camera long, frame_id string, ts timestamp, verdict string"
+SESSIONS = "camera long, frame_id string, ts timestamp, session_id int"
 
 
 def deduplicated(frames: DataFrame, lateness: str) -> DataFrame:
@@ -38,34 +42,158 @@ def sessions_batch(frames: DataFrame, gap_seconds: float) -> DataFrame:
     return frames.withColumn("new", apart).withColumn("session_id", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("new")
 
 
-def track_stream(frames: DataFrame, min_iou: float, max_misses: int, min_consecutive: int, min_confidence: float = 0.0, idle: str = "10 minutes", idle_ms: int = 600_000) -> DataFrame:
-    """Confirmations, each track's once: camera, track_id, frame_id, ts, frame_idx (of the camera's frames since its state began).
-
-    State is the live tracks of a camera. Rows of a batch are taken in the order of time, then frame id; a frame older than the last one taken is late and left out. A camera that is idle beyond the watermark loses its state, and so its tracks."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        linker, done, at, last = Linker(min_iou, max_misses), set(), -1, None
-        if state.exists:
-            live, linker.born, at, last = state.get
-            linker.live = [{"id": t[0], "box": tuple(t[1:5]), "streak": t[5], "misses": t[6]} for t in live]
-            done = {t[0] for t in live if t[7]}
-        rows = pd.concat(list(batches)).sort_values(["ts", "frame_id"])
+def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(list(batches)).sort_values(["ts", "frame_id"], kind="stable")
+
+
+class _PerCamera(StatefulProcessor):
+    """What the processors share: `latest` (ts of the newest frame taken, and a count), and the timer that ends an idle camera's state."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.latest = handle.getValueState("latest", "ts timestamp, n int")
+
+    def before(self) -> tuple[pd.Timestamp | None, int]:
+        held = self.latest.get()
+        return (pd.Timestamp(held[0]), held[1]) if held else (None, -1)
+
+    def after(self, ts: pd.Timestamp, n: int, is_new: bool) -> None:
+        self.latest.update((ts.to_pydatetime(), n))
+        if is_new:  # one timer a camera: it is set anew when it goes off too early
+            self.handle.registerTimer(int(ts.timestamp() * 1000) + self.idle_ms)
+
+    def clear(self) -> None:
+        self.latest.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, _ = self.before()
+        ends = int(last.timestamp() * 1000) + self.idle_ms if last is not None else 0
+        if ends > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(ends)
+        else:
+            self.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+class _Judge(_PerCamera):
+    def __init__(self, lateness_ms: int, idle_ms: int):
+        super().__init__(idle_ms)
+        self.lateness = pd.Timedelta(milliseconds=lateness_ms)
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.seen = handle.getMapState("seen", "frame_id string", "ts timestamp")
+
+    def clear(self) -> None:
+        super().clear()
+        self.seen.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last, _ = self.before()
+        is_new = last is None
+        oldest = None if last is None else last - self.lateness
+        for k in [k for k, v in self.seen.iterator() if oldest is not None and pd.Timestamp(v[0]) < oldest]:
+            self.seen.removeKey(k)
+        frames, verdicts = _ordered(rows), []
+        for frame_id, ts in zip(frames["frame_id"], frames["ts"]):
+            if oldest is not None and ts < oldest:
+                verdicts.append("late")
+            elif self.seen.containsKey((frame_id,)):
+                verdicts.append("repeated")
+            else:
+                self.seen.updateValue((frame_id,), (ts.to_pydatetime(),))
+                verdicts.append("kept")
+        newest = frames["ts"].max() if last is None else max(last, frames["ts"].max())
+        self.after(newest, 0, is_new)
+        yield frames[["camera", "frame_id", "ts"]].assign(verdict=verdicts)
+
+
+class _Cutter(_PerCamera):
+    def __init__(self, gap_ms: int, idle_ms: int):
+        super().__init__(idle_ms)
+        self.gap = pd.Timedelta(milliseconds=gap_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last, session = self.before()
+        is_new = last is None
+        frames, sessions = _ordered(rows), []
+        for ts in frames["ts"]:
+            if last is not None and ts < last:
+                sessions.append(None)
+                continue
+            session += last is None or ts - last >= self.gap
+            sessions.append(session)
+            last = ts
+        self.after(last, session, is_new)
+        yield frames[["camera", "frame_id", "ts"]].assign(session_id=pd.array(sessions, "Int32"))
+
+
+class _Tracker(_PerCamera):
+    def __init__(self, min_iou: float, max_misses: int, min_consecutive: int, min_confidence: float, idle_ms: int):
+        super().__init__(idle_ms)
+        self.rules = (min_iou, max_misses)
+        self.least, self.sure = min_consecutive, min_confidence
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.tracks = handle.getValueState("tracks", "live array<struct<id: int, cx: double, cy: double, w: double, h: double, streak: int, misses: int, done: boolean>>, born int")
+
+    def clear(self) -> None:
+        super().clear()
+        self.tracks.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        linker, done, (last, at) = Linker(*self.rules), set(), self.before()
+        is_new = last is None
+        if last is not None:
+            live, linker.born = self.tracks.get()
+            for t in live:
+                linker.live.append({"id": t[0], "box": tuple(t[1:5]), "streak": t[5], "misses": t[6]})
+                done |= {t[0]} if t[7] else set()
         out = []
-        for row in rows.itertuples():
+        for row in _ordered(rows).itertuples():
             if last is not None and row.ts < last:
+                out.append((key[0], "late", None, row.frame_id, row.ts, None))
                 continue
             last, at = row.ts, at + 1
-            boxes = [(d["cx"], d["cy"], d["w"], d["h"]) for d in row.detections if d["confidence"] >= min_confidence]
+            boxes = [(d["cx"], d["cy"], d["w"], d["h"]) for d in row.detections if d["confidence"] >= self.sure]
             for track, _, streak, _ in sorted(linker.step(boxes)["hits"]):
-                if streak >= min_consecutive and track not in done:
+                if streak >= self.least and track not in done:
                     done.add(track)
-                    out.append((key[0], track, row.frame_id, row.ts, at))
-        state.update(([(t["id"], *t["box"], t["streak"], t["misses"], t["id"] in done) for t in linker.live], linker.born, at, last))
-        state.setTimeoutTimestamp(max(int(pd.Timestamp(last).timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
-        if out:
-            yield pd.DataFrame(out, columns=["camera", "track_id", "frame_id", "ts", "frame_idx"])
+                    out.append((key[0], "confirmed", track, row.frame_id, row.ts, at))
+        tracks = [(t["id"], *t["box"], t["streak"], t["misses"], t["id"] in done) for t in linker.live]
+        self.tracks.update((tracks, linker.born))
+        self.after(last, at, is_new)
+        found = pd.DataFrame(out, columns=["camera", "kind", "track_id", "frame_id", "ts", "frame_idx"])
+        yield found.astype({"track_id": "Int32", "frame_idx": "Int32"})
+
+
+def _by_camera(frames: DataFrame, processor: StatefulProcessor, schema: str, idle: str) -> DataFrame:
+    frames.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return frames.withWatermark("ts", idle).groupBy("camera").transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+def milliseconds(span: str) -> int:
+    """Of a span such as '10 minutes' or '2 days'."""
+    return int(pd.Timedelta(span) / pd.Timedelta(milliseconds=1))
+
+
+def judged_stream(frames: DataFrame, lateness: str, idle: str = "1 day") -> DataFrame:
+    """All frames with a verdict: late (older than the newest of its camera in earlier batches by more than `lateness`), repeated (its id was kept within that time), kept. camera, frame_id, ts, verdict."""
+    return _by_camera(frames.select("camera", "frame_id", "ts"), _Judge(milliseconds(lateness), milliseconds(idle)), VERDICTS, idle)
+
+
+def session_stream(frames: DataFrame, gap: str, idle: str = "1 day") -> DataFrame:
+    """All frames with their session: session_id from 0 in each camera; a frame `gap` or more after the last begins a new one, one older than the last taken is late and has none. camera, frame_id, ts, session_id."""
+    return _by_camera(frames.select("camera", "frame_id", "ts"), _Cutter(milliseconds(gap), milliseconds(idle)), SESSIONS, idle)
+
 
-    return frames.withWatermark("ts", idle).groupBy("camera").applyInPandasWithState(step, CONFIRMATIONS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+def track_stream(frames: DataFrame, min_iou: float, max_misses: int, min_consecutive: int, min_confidence: float = 0.0, idle: str = "10 minutes") -> DataFrame:
+    """Confirmations, each track's once (kind confirmed), and late frames (kind late: older than the last one taken, not tracked): camera, kind, track_id, frame_id, ts, frame_idx (of the camera's frames since its state began)."""
+    return _by_camera(frames, _Tracker(min_iou, max_misses, min_consecutive, min_confidence, milliseconds(idle)), CONFIRMATIONS, idle)

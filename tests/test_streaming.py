@@ -1,27 +1,65 @@
-"""Streams give what the batch operators give on the same frames."""
+"""Streams give what the batch operators give on the same frames; late, repeated and idle ones by plain rules. Every arrival starts from the checkpoint of the one before."""
 
 import datetime as dt
 import random
 
+import pytest
+
 from seqlens.operators import tracking
 from seqlens.plans.streams import streamed
 from seqlens.streaming import cameras
 
-FRAMES = "camera long, frame_id string, ts timestamp, detections array<struct<det_idx: int, cx: double, cy: double, w: double, h: double, confidence: double>>"
+FRAMES = "camera long, frame_id string, ts timestamp, detections array<struct<det_idx: int, cx: double, cy: double, w: double, h: double, confidence: double>>, arrival int"
+T0 = dt.datetime(2024, 1, 1)
+
+
+def frame(camera, i, arrival, boxes=(), frame_id=None):
+    return (camera, frame_id or f"{camera}_{i:03d}", T0 + dt.timedelta(seconds=30 * i), list(boxes), arrival)
 
 
 def test_stream_tracker_equals_batch(spark):
-    rng, t0 = random.Random(2), dt.datetime(2024, 1, 1)
-    rows = [(c, f"{c}_{i:03d}", t0 + dt.timedelta(seconds=30 * i + c), [(j, rng.random(), 0.5, 0.3, 0.3, 0.9) for j in range(rng.choice([0, 1, 2]))]) for c in range(3) for i in range(15)]
-    frames = spark.createDataFrame(rows, FRAMES)
-    found = streamed(spark, frames, lambda s: cameras.track_stream(s, 0.2, 1, 2), n_files=4)
+    rng = random.Random(2)
+    rows = [frame(c, i, i // 4, [(j, rng.random(), 0.5, 0.3, 0.3, 0.9) for j in range(rng.choice([0, 1, 2]))]) for c in range(3) for i in range(15)]
+    late = [frame(1, 3, 2, [(0, 0.1, 0.5, 0.3, 0.3, 0.9)], "late"), frame(9, 0, 3)]
+    found = streamed(spark, spark.createDataFrame(rows + late, FRAMES), lambda s: cameras.track_stream(s, 0.2, 1, 2)).collect()
     long = [(c, i, b[0] if b else None, *(b[1:] if b else [None] * 5)) for c in range(3) for i, r in enumerate([x for x in rows if x[0] == c]) for b in (r[3] or [None])]
     batch = tracking.confirmations(tracking.link(spark.createDataFrame(long, "sequence_id long, frame_idx int, det_idx int, cx double, cy double, w double, h double, confidence double"), 0.2, 1), 2)
-    assert sorted((r.camera, r.track_id, int(r.frame_id[-3:])) for r in found.collect()) == sorted((r.sequence_id, r.track_id, r.confirmed_at) for r in batch.collect())
+    assert sorted((r.camera, r.track_id, r.frame_idx) for r in found if r.kind == "confirmed") == sorted((r.sequence_id, r.track_id, r.confirmed_at) for r in batch.collect())
+    assert [(r.camera, r.frame_id, r.track_id) for r in found if r.kind == "late"] == [(1, "late", None)]
+
+
+def test_verdicts_and_sessions(spark):
+    order = [[0, 1, 2, 2], [3, 10, 1], [11, 2, 12], [4, 30]]  # seconds / 30 by arrival; 2 comes three times
+    rows = [frame(c, i, a) for c in (1, 2) for a, some in enumerate(order) for i in some]
+    frames = spark.createDataFrame(rows, FRAMES)
+    judged = streamed(spark, frames, lambda s: cameras.judged_stream(s, "4 minutes"))
+    got = sorted((int(r.frame_id[-3:]), r.verdict) for r in judged.where("camera = 1").collect())
+    # newest before each arrival: none, 2, 10, 12; 4 minutes are 8 places
+    assert got == sorted([(0, "kept"), (1, "kept"), (2, "kept"), (2, "repeated"), (3, "kept"), (10, "kept"), (1, "repeated"), (11, "kept"), (2, "repeated"), (12, "kept"), (4, "kept"), (30, "kept")])
+    tight = streamed(spark, frames, lambda s: cameras.judged_stream(s, "1 minute"))
+    assert sorted(int(r.frame_id[-3:]) for r in tight.where("camera = 2 and verdict = 'late'").collect()) == [2, 4]
+    cut = streamed(spark, frames, lambda s: cameras.session_stream(s, "2 minutes"))
+    assert sorted((int(r.frame_id[-3:]), r.session_id) for r in cut.where("camera = 1 and session_id is not null").collect()) == [(0, 0), (1, 0), (2, 0), (2, 0), (3, 0), (10, 1), (11, 1), (12, 1), (30, 2)]
+    assert sorted(int(r.frame_id[-3:]) for r in cut.where("camera = 1 and session_id is null").collect()) == [1, 2, 4]
+
+
+def test_idle_cameras_lose_their_state(spark):
+    """Camera 2 drives the watermark on while camera 1 is silent; its session counter then starts anew."""
+    rows = [frame(1, 0, 0), frame(2, 0, 0), frame(2, 400, 1), frame(2, 800, 2), frame(1, 900, 3), frame(2, 900, 3)]
+    cut = streamed(spark, spark.createDataFrame(rows, FRAMES), lambda s: cameras.session_stream(s, "1 minute", idle="1 hour"))
+    got = sorted((r.camera, int(r.frame_id[-3:]), r.session_id) for r in cut.collect())
+    assert got[:2] == [(1, 0, 0), (1, 900, 0)]
+    kept = streamed(spark, spark.createDataFrame(rows, FRAMES), lambda s: cameras.session_stream(s, "1 minute", idle="10 days"))
+    assert sorted((r.camera, int(r.frame_id[-3:]), r.session_id) for r in kept.collect())[:2] == [(1, 0, 0), (1, 900, 1)]
 
 
 def test_repeated_frames_pass_once(spark):
-    t0 = dt.datetime(2024, 1, 1)
-    rows = [(1, f"f{i % 5}", t0 + dt.timedelta(seconds=30 * (i % 5)), []) for i in range(10)]
-    found = streamed(spark, spark.createDataFrame(rows, FRAMES), lambda s: cameras.deduplicated(s, "10 minutes").select("camera", "frame_id"), n_files=2)
-    assert sorted(r.frame_id for r in found.collect()) == [f"f{i}" for i in range(5)]
+    rows = [frame(1, i % 5, i // 5) for i in range(10)]
+    found = streamed(spark, spark.createDataFrame(rows, FRAMES), lambda s: cameras.deduplicated(s, "10 minutes").select("camera", "frame_id"))
+    assert sorted(r.frame_id for r in found.collect()) == [f"1_{i:03d}" for i in range(5)]
+
+
+def test_spans():
+    assert cameras.milliseconds("10 minutes") == 600_000
+    with pytest.raises(ValueError):
+        cameras.milliseconds("soon")
