@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,18 +23,35 @@ def difference(one, two) -> Column:
     return F.zip_with(one, two, lambda a, b: F.abs(a - b))
 
 
-def changed_share(diff, height, width, cx, cy, w, h, threshold: int) -> Column:
-    """Share of pixels of a box (cut off to whole pixels, clamped) whose difference is above the threshold; 0 for an empty region."""
-    c = lambda x: F.col(x) if isinstance(x, str) else F.lit(x) if isinstance(x, int) else x
-    diff, height, width = c(diff), c(height), c(width)
+def pixel_region(height, width, cx, cy, w, h) -> Column:
+    """A box cut off to whole pixels and clamped, as a struct x0, y0, x1, y1 (ends exclusive)."""
     left, top, right, bottom = corners(cx, cy, w, h)
     x0, y0 = F.greatest(F.lit(0), (left * width).cast("int")), F.greatest(F.lit(0), (top * height).cast("int"))
     x1, y1 = F.least(width, (right * width).cast("int")), F.least(height, (bottom * height).cast("int"))
-    n = F.greatest(x1 - x0, F.lit(0)) * F.greatest(y1 - y0, F.lit(0))
-    # only the rows of the region are looked at
-    rows = F.sequence(y0, F.greatest(y0, y1 - 1))
-    counted = lambda y: F.size(F.filter(F.slice(diff, y * width + x0 + 1, F.greatest(x1 - x0, F.lit(0))), lambda d: d > threshold))
-    return F.when(n <= 0, 0.0).otherwise(F.aggregate(rows, F.lit(0), lambda a, y: a + counted(y)) / n)
+    return F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+
+
+def _shares(thresholds: list[int]):
+    """Adds `ratios` to frames (diff, height, width, regions): for each region its share of pixels above each threshold, by one summed-area table a threshold and four look-ups a region; 0 for an empty region."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for row in batch.select(["diff", "height", "width", "regions"]).to_pylist() if batch.num_rows else []:
+                x0, y0, x1, y1 = np.array([[r[c] for c in ("x0", "y0", "x1", "y1")] for r in row["regions"]], np.int64).reshape(-1, 4).T
+                n = np.maximum(x1 - x0, 0) * np.maximum(y1 - y0, 0)
+                shares = np.zeros((len(n), len(thresholds)))
+                diff, real = np.array(row["diff"]).reshape(row["height"], row["width"]), n > 0
+                for t, threshold in enumerate(thresholds):
+                    table = np.zeros((row["height"] + 1, row["width"] + 1), np.int64)
+                    table[1:, 1:] = (diff > threshold).cumsum(0).cumsum(1)
+                    a, b, c, d = x0[real], y0[real], x1[real], y1[real]
+                    shares[real, t] = (table[d, c] - table[b, c] - table[d, a] + table[b, a]) / n[real]
+                found.append(shares.tolist())
+            kept = batch.drop_columns(["diff", "height", "width", "regions"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.list_(pa.list_(pa.float64())))], [*kept.schema.names, "ratios"])
+
+    return task
 
 
 def with_difference(frames: DataFrame) -> DataFrame:
@@ -43,10 +64,20 @@ def with_difference(frames: DataFrame) -> DataFrame:
 
 def change_ratios(frames: DataFrame, detections: DataFrame, thresholds: list[int]) -> DataFrame:
     """Ratios of every detection at each pixel threshold, from one difference: the detection's columns, pixel_threshold, change_ratio. Detections of frames without a difference have null."""
-    diffs = with_difference(frames).select("sequence_id", "frame_idx", "height", "width", "diff")
-    joined = detections.join(diffs, ["sequence_id", "frame_idx"], "left")
-    ratios = F.array(*[F.struct(F.lit(t).alias("pixel_threshold"), F.when(F.col("diff").isNotNull(), changed_share("diff", "height", "width", "cx", "cy", "w", "h", t)).alias("change_ratio")) for t in thresholds])
-    return joined.select(*detections.columns, F.explode(ratios).alias("x")).select(*detections.columns, "x.*")
+    diffs = with_difference(frames).where("diff is not null").select("sequence_id", "frame_idx", "height", "width", "diff")
+    each = F.struct(*[F.col(f"d.{c}").alias(c) for c in detections.columns])
+    # the boxes of a frame travel with its difference
+    seen = detections.alias("d").join(diffs.select("sequence_id", "frame_idx", F.lit(True).alias("has_diff"), "height", "width").alias("s"), ["sequence_id", "frame_idx"], "left")
+    box = each.alias("detection"), F.when(F.col("has_diff"), pixel_region(F.col("height"), F.col("width"), "d.cx", "d.cy", "d.w", "d.h")).alias("region")
+    seen = seen.select("sequence_id", "frame_idx", "has_diff", *box)
+    nested = seen.where("has_diff").groupBy("sequence_id", "frame_idx").agg(F.collect_list(F.struct("detection", "region")).alias("boxes"))
+    ready = nested.join(diffs, ["sequence_id", "frame_idx"]).select(F.col("boxes.detection").alias("detections"), F.col("boxes.region").alias("regions"), "diff", "height", "width")
+    kind = ready.schema["detections"].dataType.simpleString()
+    shares = ready.mapInArrow(_shares(thresholds), f"detections {kind}, ratios array<array<double>>").select(F.explode(F.arrays_zip("detections", "ratios")).alias("x"))
+    unknown = seen.where("has_diff is null").select(F.struct(F.col("detection").alias("detections"), F.array(*[F.lit(None).cast("double")] * len(thresholds)).alias("ratios")).alias("x"))
+    at = F.arrays_zip(F.array(*map(F.lit, thresholds)).alias("pixel_threshold"), F.col("x.ratios").alias("change_ratio"))
+    rows = shares.unionByName(unknown).select("x.detections.*", F.explode(at).alias("y"))
+    return rows.select(*detections.columns, F.col("y.pixel_threshold").alias("pixel_threshold"), F.col("y.change_ratio").alias("change_ratio"))
 
 
 def validate(frames: DataFrame, detections: DataFrame, threshold: int = 19, min_ratio: float = 0.1) -> DataFrame:

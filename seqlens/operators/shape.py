@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -75,29 +77,35 @@ def slot_entries(entries: DataFrame, length: int) -> DataFrame:
     return slots.join(placed, ["sequence_id", "tube_id", "slot"], "left").withColumn("mask", F.col("frame_idx").isNotNull())
 
 
-def augment(entries: DataFrame, seed: int, epoch: int = 0, p_sub: float = 0.5, p_stride: float = 0.3, p_drop: float = 0.1, least: int = 4) -> DataFrame:
+def draw(*parts) -> Column:
+    """A number from 0 (below 1) that the parts name: the first 32 bits of the md5 of their texts, joined by colons."""
+    text = F.concat_ws(":", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def augment(entries: DataFrame, seed: int, epoch: int = 0, p_sub: float = 0.5, p_stride: float = 0.3, p_drop: float = 0.1, min_sub: int = 4, min_kept: int = 4) -> DataFrame:
     """Temporal augmentation of tubes, the same for the same seed and epoch: a sub-sequence, every second entry, single entries dropped, then indexed anew.
 
-    A tube keeps `least` entries or all it has: a step that would leave fewer is left out."""
+    A sub-sequence of a tube with more than min_sub entries has from min_sub to all of them, each length alike. Every second entry is taken where more than two are left. Where more than min_kept are left each entry is dropped for itself, and if fewer than min_kept stay, dropped ones come back in an order of their own."""
     keys = ["sequence_id", "tube_id"]
-    draw = lambda name, *more: (F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), F.lit(name), *keys, *more), F.lit(1_000_003)) / 1_000_003.0)
+    chance = lambda name, *more: draw(F.lit(seed), F.lit(epoch), F.lit(name), *keys, *more)
     by, whole = Window.partitionBy(*keys).orderBy("frame_idx"), Window.partitionBy(*keys)
-    rows = entries.withColumn("i", F.row_number().over(by) - 1).withColumn("n", F.count("*").over(whole))
-    size = F.greatest(F.lit(least), F.ceil(F.col("n") * (0.5 + draw("size") / 2)))
-    start = F.floor(draw("start") * (F.col("n") - size + 1))
-    sub = (draw("sub") < p_sub) & (F.col("n") > least)
-    rows = rows.where(~sub | ((F.col("i") >= start) & (F.col("i") < start + size)))
-    rows = rows.withColumn("i", F.row_number().over(by) - 1).withColumn("n", F.count("*").over(whole))
-    strided = (draw("stride") < p_stride) & (F.ceil(F.col("n") / 2) >= least)
-    rows = rows.where(~strided | (F.col("i") % 2 == 0)).withColumn("n", F.count("*").over(whole))
-    # dropped entries in the order of their draws, as many as the floor allows
-    rows = rows.withColumn("dropped_as", F.row_number().over(Window.partitionBy(*keys).orderBy(draw("drop", "frame_idx"), "frame_idx")))
-    rows = rows.where((draw("drop", "frame_idx") >= p_drop) | (F.col("dropped_as") > F.col("n") - least))
-    return rows.withColumn("slot", (F.row_number().over(by) - 1).cast("int")).drop("i", "n", "dropped_as")
+    indexed = lambda df: df.withColumn("i", F.row_number().over(by) - 1).withColumn("n", F.count("*").over(whole))
+    rows = indexed(entries)
+    size = F.lit(min_sub) + F.floor(chance("size") * (F.col("n") - min_sub + 1))
+    start = F.floor(chance("start") * (F.col("n") - size + 1))
+    sub = (chance("sub") < p_sub) & (F.col("n") > min_sub)
+    rows = indexed(rows.where(~sub | ((F.col("i") >= start) & (F.col("i") < start + size))))
+    rows = rows.where(~((chance("stride") < p_stride) & (F.col("n") > 2)) | (F.col("i") % 2 == 0)).withColumn("n", F.count("*").over(whole))
+    kept = (chance("drop", "frame_idx") >= p_drop) | (F.col("n") <= min_kept)
+    rows = rows.withColumn("kept", kept).withColumn("n_kept", F.count_if("kept").over(whole))
+    back = F.row_number().over(Window.partitionBy(*keys, "kept").orderBy(chance("restore", "frame_idx"), "frame_idx"))
+    rows = rows.withColumn("back", back).where(F.col("kept") | (F.col("back") <= min_kept - F.col("n_kept")))
+    return rows.withColumn("slot", (F.row_number().over(by) - 1).cast("int")).drop("i", "n", "kept", "n_kept", "back")
 
 
 def mean_pool(vectors: DataFrame, keys: list[str], vector: str = "embedding", mask: str | None = None) -> DataFrame:
-    """Mean of the vectors of each key, over rows where mask holds: an array, nulls for no such row."""
+    """Mean of the vectors of each key, all of one length and without nulls, over rows where mask holds. Vectors are added up before they are shuffled."""
     rows = vectors if mask is None else vectors.where(F.col(mask))
-    dims = rows.select(*keys, F.posexplode(vector).alias("dim", "v")).groupBy(*keys, "dim").agg(F.avg("v").alias("v"))
-    return dims.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("dim", "v"))).alias("p")).select(*keys, F.transform("p", lambda x: x["v"]).alias("pooled"))
+    mean = Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>")))
+    return rows.groupBy(*keys).agg(vector_to_array(mean).alias("pooled"))

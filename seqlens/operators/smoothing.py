@@ -8,15 +8,23 @@ from pyspark.sql import functions as F
 from ..functions import geometry
 
 
-def smoothed(detections: DataFrame, window: int) -> DataFrame:
-    """Confidence of each frame with detections: the largest, over its boxes, of the sum of confidences of all boxes in the last `window` frames that overlap it (itself included), over window + 1."""
+def smoothed_windows(detections: DataFrame, windows: list[int]) -> DataFrame:
+    """For each window the confidence of each frame with detections: the largest, over its boxes, of the sum of confidences of all boxes in the last `window` frames that overlap it (itself included), over window + 1. One join at the widest window serves all."""
     keep = ["sequence_id", "frame_idx", "det_idx", "cx", "cy", "w", "h", "confidence"]
     now = detections.select(*keep[:-1])
     # every detection reaches the frames it is in the window of, so the join has an equal key
-    past = detections.select("sequence_id", F.explode(F.sequence("frame_idx", F.col("frame_idx") + window - 1)).alias("frame_idx"), *[F.col(c).alias(f"p_{c}") for c in keep[3:]])
+    past = detections.select("sequence_id", F.posexplode(F.sequence("frame_idx", F.col("frame_idx") + max(windows) - 1)).alias("back", "frame_idx"), *[F.col(c).alias(f"p_{c}") for c in keep[3:]])
     over = now.join(past, ["sequence_id", "frame_idx"]).where(geometry.iou(geometry.box(), geometry.box("p_")) > 0)
-    sums = over.groupBy("sequence_id", "frame_idx", "det_idx").agg((F.sum("p_confidence") / (window + 1)).alias("smoothed"))
-    return sums.groupBy("sequence_id", "frame_idx").agg(F.max("smoothed").alias("smoothed"))
+    within = lambda n: (F.sum(F.when(F.col("back") < n, F.col("p_confidence"))) / (n + 1)).alias(f"s{n}")
+    sums = over.groupBy("sequence_id", "frame_idx", "det_idx").agg(*map(within, windows))
+    best = sums.groupBy("sequence_id", "frame_idx").agg(*[F.max(f"s{n}").alias(f"s{n}") for n in windows])
+    each = F.array(*[F.struct(F.lit(n).alias("window"), F.col(f"s{n}").alias("smoothed")) for n in windows])
+    return best.select("sequence_id", "frame_idx", F.explode(each).alias("x")).select("sequence_id", "frame_idx", "x.*")
+
+
+def smoothed(detections: DataFrame, window: int) -> DataFrame:
+    """The same for one window: sequence_id, frame_idx, smoothed."""
+    return smoothed_windows(detections, [window]).drop("window")
 
 
 def smoothed_alarms(detections: DataFrame, sequences: DataFrame, window: int, threshold: float) -> DataFrame:

@@ -110,12 +110,9 @@ def change_sweep(ratios: DataFrame, slots: DataFrame, truth: DataFrame, min_rati
 
 
 def smoothing_sweep(detections: DataFrame, truth: DataFrame, windows: list[int], thresholds: list[float]) -> DataFrame:
-    """Sliding-window metrics of each window and threshold: smoothing once for each window, thresholds on its result."""
+    """Sliding-window metrics of each window and threshold: one join for all windows, thresholds on its result."""
     spark = detections.sparkSession
-    smooth = None
-    for n in windows:
-        one = smoothing.smoothed(detections, n).withColumn("window", F.lit(n))
-        smooth = one if smooth is None else smooth.unionByName(one)
+    smooth = smoothing.smoothed_windows(detections, windows)
     limits = F.broadcast(spark.createDataFrame([(t,) for t in thresholds], "threshold double"))
     found = smooth.crossJoin(limits).where(F.col("smoothed") > F.col("threshold")).groupBy("sequence_id", "window", "threshold").agg(F.min("frame_idx").alias("trigger_frame_index"))
     return grid_metrics(found, truth, grid_rows(spark, {"window": windows, "threshold": thresholds}, ["window", "threshold"]), ["window", "threshold"])

@@ -179,9 +179,27 @@ def e16_triggers(spark, d):
     return tubes.first_crossing(prefixes(spark, d), 4, F.col("logit") >= 0.2)[1]
 
 
-@query()
+def draw_sql(*parts: str) -> str:
+    return f"(CAST('0x' || left(md5(concat_ws(':', {', '.join(parts)})), 8) AS BIGINT) / 4294967296e0)"
+
+
+def chance_sql(name: str, *more: str) -> str:
+    return draw_sql("7", "0", f"'{name}'", "sequence_id", "tube_id", *more)
+
+
+TUBE_ORDER = "(PARTITION BY sequence_id, tube_id ORDER BY frame_idx)"
+AUGMENTED = f"""WITH a AS (SELECT *, row_number() OVER {TUBE_ORDER} - 1 AS i, count(*) OVER (PARTITION BY sequence_id, tube_id) AS n FROM v_entry),
+b AS (SELECT *, CAST(floor({chance_sql('start')} * (n - size + 1)) AS BIGINT) AS start FROM (SELECT *, 4 + CAST(floor({chance_sql('size')} * (n - 4 + 1)) AS BIGINT) AS size FROM a)),
+c AS (SELECT sequence_id, tube_id, frame_idx, is_gap, row_number() OVER {TUBE_ORDER} - 1 AS i, count(*) OVER (PARTITION BY sequence_id, tube_id) AS n FROM b WHERE NOT ({chance_sql('sub')} < 0.5e0 AND n > 4) OR (i >= start AND i < start + size)),
+d AS (SELECT sequence_id, tube_id, frame_idx, is_gap, count(*) OVER (PARTITION BY sequence_id, tube_id) AS n FROM c WHERE NOT ({chance_sql('stride')} < 0.3e0 AND n > 2) OR i % 2 = 0),
+e AS (SELECT *, {chance_sql('drop', 'frame_idx')} >= 0.4e0 OR n <= 4 AS kept FROM d),
+f AS (SELECT *, count(*) FILTER (kept) OVER (PARTITION BY sequence_id, tube_id) AS n_kept, row_number() OVER (PARTITION BY sequence_id, tube_id, kept ORDER BY {chance_sql('restore', 'frame_idx')}, frame_idx) AS back FROM e)
+SELECT sequence_id, tube_id, frame_idx, is_gap, CAST(row_number() OVER {TUBE_ORDER} - 1 AS INT) AS slot FROM f WHERE kept OR back <= 4 - n_kept"""
+
+
+@query(AUGMENTED)
 def e17_augment(spark, d):
-    return shape.augment(A.tube_entries(spark, d), seed=7).select("sequence_id", "tube_id", "slot", "frame_idx", "is_gap")
+    return shape.augment(A.tube_entries(spark, d), seed=7, p_drop=0.4).select("sequence_id", "tube_id", "slot", "frame_idx", "is_gap")
 
 
 @query("""SELECT label, dim, round(avg(v), 6) AS v FROM (SELECT label, generate_subscripts(embedding, 1) - 1 AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings WHERE vec_id % 3 <> 0) GROUP BY 1, 2""")
@@ -217,7 +235,12 @@ def f4_change_ratios(spark, d):
     return rounded(change.change_ratios(A.rasters(spark, d), A.raster_boxes(spark, d), [10, 19, 30]).select("sequence_id", "frame_idx", "pixel_threshold", "change_ratio"))
 
 
-@query()
+CHANGED = f"(SELECT b.sequence_id, b.frame_idx, 0 AS det_idx, b.cx, b.cy, b.w, b.h, b.confidence FROM v_rbox b JOIN ({RATIO}) r ON r.sequence_id = b.sequence_id AND r.frame_idx = b.frame_idx AND r.pixel_threshold = 19 WHERE r.change_ratio >= 0.3e0 AND b.confidence >= 0.1e0)"
+
+
+@query(f"""SELECT s.sequence_id, s.n_before, coalesce(a.n, 0) AS n_after, coalesce(t.n_tracks, 0) AS n_tracks, t.first IS NOT NULL AS is_positive, t.first AS trigger_frame_index
+FROM (SELECT sequence_id, count(*) FILTER (confidence >= 0.1e0) AS n_before FROM v_rbox GROUP BY 1) s LEFT JOIN (SELECT sequence_id, count(*) AS n FROM {CHANGED} GROUP BY 1) a USING (sequence_id)
+LEFT JOIN (SELECT sequence_id, count(DISTINCT track_id) AS n_tracks, min(frame_idx) FILTER (streak >= 2) AS first FROM ({hits_sql(CHANGED, '0.1e0', '1', '(SELECT sequence_id, frame_idx FROM v_raster)')}) GROUP BY 1) t USING (sequence_id)""")
 def f5_change_tracking(spark, d):
     tracks, counted = change.validated_track(A.rasters(spark, d), A.raster_boxes(spark, d), 19, 0.3, 0.1, min_iou=0.1, max_misses=1, min_consecutive=2)
     return tracking.alarms(tracks, counted).select("sequence_id", "n_before", "n_after", "n_tracks", "is_positive", "trigger_frame_index")

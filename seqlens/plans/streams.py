@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -136,15 +137,15 @@ def l1_evaluate_models(spark, d):
     return rounded(registry.evaluate(A.frames(spark, d, 0.3), A.truth(spark, d), ["tracker", "sliding-window", "any-box"])[1])
 
 
-@query("SELECT sequence_id, frame_idx, round(sum(confidence * w * h), 6) AS score FROM v_det GROUP BY 1, 2")
+@query("SELECT sequence_id, frame_idx, round(1 / (1 + exp(-sum(confidence * w * h))), 6) AS score FROM v_det GROUP BY 1, 2")
 def l3_score_frames(spark, d):
     rows = A.detections(spark, d).groupBy("sequence_id", "frame_idx").agg(F.array_sort(F.collect_list(F.struct("det_idx", (F.col("confidence") * F.col("w") * F.col("h")).alias("part")))).getField("part").alias("parts"))
 
     def in_order(parts) -> float:
         total = 0.0
-        for x in parts:  # one after another by det_idx: the sum's last digit depends on the order
+        for x in parts:
             total += float(x)
-        return total
+        return 1 / (1 + math.exp(-total))
 
     def load():
         return lambda batch: pd.DataFrame({"sequence_id": batch["sequence_id"], "frame_idx": batch["frame_idx"], "score": [in_order(x) for x in batch["parts"]]})
