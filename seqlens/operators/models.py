@@ -126,6 +126,13 @@ def fit_calibrator(features: DataFrame, truth: str = "truth", c: float = 1.0) ->
     return [float(x) for x in model.coefficients], float(model.intercept)
 
 
+def loss_slope(features: DataFrame, coefficients: list[float], intercept: float, truth: str = "truth", c: float = 1.0) -> DataFrame:
+    """feature, slope: the derivative of the calibrator's loss by each coefficient and the intercept; all zero where it is fitted."""
+    off = calibrated(FEATURES, coefficients, intercept) - F.col(truth)
+    sums = [(F.sum(off * F.col(f)) + w / c).alias(f) for f, w in zip(FEATURES, coefficients)] + [F.sum(off).alias("intercept")]
+    return features.agg(*sums).unpivot([], [*FEATURES, "intercept"], "feature", "slope")
+
+
 def sanity_rows(features: DataFrame, coefficients: list[float], intercept: float) -> DataFrame:
     """Three rows that span the probabilities: lowest, middle and highest, with their probability."""
     scored = features.select(*FEATURES, calibrated(FEATURES, coefficients, intercept).alias("prob"))

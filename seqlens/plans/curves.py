@@ -20,10 +20,19 @@ def counted(by: str, source: str, t: str, p: str, more: str = "") -> str:
 
 
 TTD = "CASE WHEN is_positive_gt AND is_positive THEN trigger_frame_index END"
-METRICS = f"SELECT *, {RATES} FROM ({counted('model_name', 'v_result', 'is_positive_gt', 'is_positive', f', avg({TTD}) AS mean_ttd, median({TTD}) AS median_ttd')})"
 
 
-@query(f"SELECT model_name, tp, fp, fn, tn, {R6}, round(mean_ttd, 6) AS mean_ttd, round(median_ttd, 6) AS median_ttd, round_even(coalesce(tp * 100e0 / nullif(tp + fn, 0), 0), 2) AS tp_pct, round_even(coalesce(fn * 100e0 / nullif(tp + fn, 0), 0), 2) AS fn_pct, round_even(coalesce(fp * 100e0 / nullif(fp + tn, 0), 0), 2) AS fp_pct, round_even(coalesce(tn * 100e0 / nullif(fp + tn, 0), 0), 2) AS tn_pct FROM ({METRICS})")
+def metrics_sql(source: str) -> str:
+    return f"SELECT *, {RATES} FROM ({counted('model_name', source, 'is_positive_gt', 'is_positive', f', avg({TTD}) AS mean_ttd, median({TTD}) AS median_ttd')})"
+
+
+METRICS = metrics_sql("v_result")
+PERCENT = "round_even(coalesce({} * 100e0 / nullif({}, 0), 0), 2) AS {}_pct"
+#: The columns of sequence metrics as the twins return them.
+RETURNED = f"model_name, tp, fp, fn, tn, {R6}, round(mean_ttd, 6) AS mean_ttd, round(median_ttd, 6) AS median_ttd, " + ", ".join(PERCENT.format(c, "tp + fn" if c in ("tp", "fn") else "fp + tn", c) for c in ("tp", "fn", "fp", "tn"))
+
+
+@query(f"SELECT {RETURNED} FROM ({METRICS})")
 def g1_sequence_metrics(spark, d):
     return rounded(metrics.sequence_metrics(A.results(spark, d), ["model_name"]))
 

@@ -25,6 +25,11 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
+def twin(name: str) -> str:
+    """The SQL of a query registered before, for use in another's."""
+    return _SQL[name]
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to a few digits: engines add them up in different orders."""
     return df.select(*[F.round(F.col(f"`{c}`"), digits).alias(c) if kind == "double" else F.col(f"`{c}`") for c, kind in df.dtypes])

@@ -246,8 +246,8 @@ def f5_change_tracking(spark, d):
     return tracking.alarms(tracks, counted).select("sequence_id", "n_before", "n_after", "n_tracks", "is_positive", "trigger_frame_index")
 
 
-def smooth_sql(window: int) -> str:
-    return f"""SELECT sequence_id, frame_idx, max(s) AS smoothed FROM (SELECT a.sequence_id, a.frame_idx, a.det_idx, sum(b.confidence) / {window + 1}e0 AS s FROM v_det a JOIN v_det b ON a.sequence_id = b.sequence_id AND b.frame_idx BETWEEN a.frame_idx - {window - 1} AND a.frame_idx AND {iou_sql('a', 'b')} > 0 GROUP BY 1, 2, 3) GROUP BY 1, 2"""
+def smooth_sql(window: int, boxes: str = "v_det") -> str:
+    return f"""SELECT sequence_id, frame_idx, max(s) AS smoothed FROM (SELECT a.sequence_id, a.frame_idx, a.det_idx, sum(b.confidence) / {window + 1}e0 AS s FROM {boxes} a JOIN {boxes} b ON a.sequence_id = b.sequence_id AND b.frame_idx BETWEEN a.frame_idx - {window - 1} AND a.frame_idx AND {iou_sql('a', 'b')} > 0 GROUP BY 1, 2, 3) GROUP BY 1, 2"""
 
 
 SMOOTH = smooth_sql(4)

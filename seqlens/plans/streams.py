@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from ..operators import models
 from ..streaming import cameras
 from . import adapters as A
+from .curves import RETURNED, metrics_sql
 from .greedy_sql import confident, hits_sql
 from .registry import query, rounded
+from .sequences import smooth_sql
 
 
 CAMERAS = 32
@@ -125,7 +127,15 @@ def h4_late_and_repeated(spark, d):
     return found.groupBy("camera").agg(*[F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("kept", "repeated", "late")])
 
 
-@query()
+SURE = confident("0.3e0")
+MODELS = f"""SELECT 'tracker' AS model_name, sequence_id, min(frame_idx) FILTER (streak >= 3) AS first FROM ({hits_sql(SURE, '0.1e0', '1')}) GROUP BY 2
+UNION ALL SELECT 'sliding-window', sequence_id, min(frame_idx) FROM ({smooth_sql(8, SURE)}) WHERE smoothed > 0.3e0 GROUP BY 2
+UNION ALL SELECT 'any-box', sequence_id, min(frame_idx) FROM {SURE} GROUP BY 2"""
+JUDGED = f"""(SELECT m.model_name, g.sequence_id, g.is_positive_gt, p.first IS NOT NULL AS is_positive, p.first AS trigger_frame_index FROM v_gt g CROSS JOIN (SELECT unnest(['tracker', 'sliding-window', 'any-box']) AS model_name) m
+LEFT JOIN ({MODELS}) p ON p.sequence_id = g.sequence_id AND p.model_name = m.model_name)"""
+
+
+@query(f"SELECT {RETURNED} FROM ({metrics_sql(JUDGED)})")
 def l1_evaluate_models(spark, d):
     def any_box(rows: pd.DataFrame) -> tuple[bool, int | None, str]:
         seen = rows[rows["det_idx"].notna()]

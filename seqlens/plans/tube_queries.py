@@ -9,10 +9,11 @@ from ..operators import decisions, models, sweep, tube_scores, tubes
 from . import adapters as A
 from .curves import R6, RATES, counted
 from .greedy_sql import hits_sql
-from .registry import query, rounded
+from .registry import query, rounded, twin
 
 #: A calibrator for tests of its use: coefficients of tube_scores.FEATURES, intercept.
 COEFFICIENTS, INTERCEPT = [0.7, 1.2, 0.5, 0.1], -4.0
+PROBABILITY = f"1 / (1 + exp(-({INTERCEPT}e0 + {COEFFICIENTS[0]}e0 * logit + {COEFFICIENTS[1]}e0 * log_len + {COEFFICIENTS[2]}e0 * mean_conf + {COEFFICIENTS[3]}e0 * n_tubes)))"
 
 
 def full_tubes(spark, d):
@@ -92,7 +93,14 @@ def g21_drop_summary(spark, d):
     return tube_scores.drop_summary(judged)
 
 
-@query()
+REPORT = f"""SELECT 'confidence filter' AS analysis, CAST(tau AS VARCHAR) AS setting, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tn) AS tn FROM ({twin('g16_confidence_filter')}) GROUP BY tau
+UNION ALL SELECT 'tube selection', 'top 2', tp, fp, fn, tn FROM ({twin('g17_tube_selection')})
+UNION ALL SELECT 'calibrator', CAST(threshold AS VARCHAR), tp, fp, fn, tn FROM ({twin('g20_calibrator_metrics')})
+UNION ALL SELECT 'rules', rule || ' ' || k, tp, fp, fn, tn FROM ({twin('g14_rule_summary')})"""
+
+
+@query(f"""SELECT analysis, setting, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn, {R6}, CAST(rank AS INT) AS rank, rank = 1 AS is_recommended
+FROM (SELECT *, row_number() OVER (ORDER BY f1 DESC, precision DESC, analysis, setting) AS rank FROM (SELECT *, {RATES} FROM ({REPORT})))""")
 def i5_variant_report(spark, d):
     some, known = full_tubes(spark, d), A.labelled_sequences(spark, d)
     taus = tube_scores.confidence_filter(some, known, [0.3, 0.9, 0.99], 0.2).groupBy("tau").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")]).withColumn("setting", F.col("tau").cast("string"))
@@ -113,7 +121,18 @@ def l4_calibrator_fit(spark, d):
     return rounded(tube_scores.calibrator_metrics(rows, coefficients, intercept, [0.4, 0.5, 0.6, 0.7]), 4)
 
 
-@query()
+@query("SELECT unnest(['logit', 'log_len', 'mean_conf', 'n_tubes', 'intercept']) AS feature, 0e0 AS slope")
+def l4_calibrator_optimum(spark, d):
+    """The slope of the loss at the fitted coefficients: none."""
+    rows = training_rows(spark, d)
+    coefficients, intercept = models.fit_calibrator(rows)
+    return models.loss_slope(rows, coefficients, intercept).select("feature", (F.round("slope", 3) + 0.0).alias("slope"))
+
+
+SANITY = f"WITH p AS (SELECT *, {PROBABILITY} AS prob FROM ({FEATURE})), q AS (SELECT prob, min({{'logit': logit, 'log_len': log_len, 'mean_conf': mean_conf, 'n_tubes': n_tubes}}) AS x FROM p GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY prob) AS nth, count(*) OVER () AS n FROM q)"
+
+
+@query(f"{SANITY} SELECT round(x.logit, 6) AS logit, round(x.log_len, 6) AS log_len, round(x.mean_conf, 6) AS mean_conf, x.n_tubes AS n_tubes, round(prob, 6) AS prob FROM r WHERE nth IN (1, CAST(ceil(n * 0.5) AS BIGINT), n)")
 def l5_sanity_rows(spark, d):
     rows = models.sanity_rows(training_rows(spark, d), COEFFICIENTS, INTERCEPT)
     models.verify(rows, COEFFICIENTS, INTERCEPT)
@@ -182,7 +201,6 @@ def l6_tube_decisions_max_logit(spark, d):
 BEST = f"""SELECT g.sequence_id, CASE WHEN g.is_positive_gt THEN 'smoke' ELSE 'fp' END AS label, b.trigger IS NOT NULL AS is_positive, b.trigger AS trigger,
     coalesce(b.best.logit, 0) AS logit, coalesce(ln(1e0 + b.best.length), 0) AS log_len, coalesce(b.best.conf, 0) AS mean_conf, CAST(coalesce(b.n, 0) AS DOUBLE) AS n_tubes
     FROM v_gt g LEFT JOIN (SELECT sequence_id, min(crossing) AS trigger, count(*) AS n, first({{'logit': logit, 'length': end_frame - start_frame + 1, 'conf': conf}} ORDER BY logit DESC, tube_id) AS best FROM kept GROUP BY 1) b USING (sequence_id)"""
-PROBABILITY = f"1 / (1 + exp(-({INTERCEPT}e0 + {COEFFICIENTS[0]}e0 * logit + {COEFFICIENTS[1]}e0 * log_len + {COEFFICIENTS[2]}e0 * mean_conf + {COEFFICIENTS[3]}e0 * n_tubes)))"
 RECORDS = f"{decided_sql(LOGISTIC)} SELECT sequence_id, label, is_positive, trigger, round(logit, 5) AS logit, round(log_len, 5) AS log_len, n_tubes, round({PROBABILITY}, 5) AS prob FROM ({BEST})"
 
 
