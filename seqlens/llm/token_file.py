@@ -66,7 +66,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         rules = json.loads(self.tokenizer.to_str())
-        plain = all(p in BY_WORD[n] for n, one in (("normalizers", "normalizer"), ("pretokenizers", "pre_tokenizer")) for p in _parts(rules[one], n))
+        # the same rules in the same order: with any other the whole text goes to the library
+        plain = all(_parts(rules[one], n) == BY_WORD[n] for n, one in (("normalizers", "normalizer"), ("pretokenizers", "pre_tokenizer")))
         dropped = any(p["type"] == "Split" and p["behavior"] == "Removed" for p in _parts(rules["pre_tokenizer"], "pretokenizers"))
         whole = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and t["content"].split() == [t["content"]] for t in rules["added_tokens"])
         mark = self.ids([MARK])[0]
