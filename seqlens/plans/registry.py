@@ -36,7 +36,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def _load() -> None:
-    from . import audit, boxes, curves, grids, records, sequences, streams, tube_queries  # noqa: F401  they register
+    from . import audit, boxes, curves, grids, records, scans, sequences, streams, tube_queries  # noqa: F401  they register
 
 
 def queries() -> dict[str, Callable]:
