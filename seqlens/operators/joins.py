@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry
+from ..functions.scalar import rate
 
 
 def attach_truth(predictions: DataFrame, truth: DataFrame, default: bool = False) -> DataFrame:
@@ -66,6 +67,22 @@ def evaluate_boxes(predicted: DataFrame, truth: DataFrame, min_iou: float, key:
     return judged.unionByName(missed)
 
 
+def sample_counts(verdicts: DataFrame, samples: DataFrame, key: str = "stem") -> DataFrame:
+    """eval_tp, eval_fp and eval_fn of every sample, zeros without boxes."""
+    found = verdicts.groupBy(key).agg(*[F.count_if(F.col("verdict") == v).alias(f"eval_{v}") for v in ("tp", "fp", "fn")])
+    return samples.select(key).distinct().join(found, key, "left").fillna(0, ["eval_tp", "eval_fp", "eval_fn"])
+
+
+def evaluation_summary(verdicts: DataFrame, samples: DataFrame, min_confidence: float, key: str = "stem") -> DataFrame:
+    """One row: num_samples, tp, fp, fn, precision, recall, and how many samples the review queues hold: fp_review_samples (a false box of at least min_confidence) and fn_review_samples (a missed box)."""
+    sure = (F.col("verdict") == "fp") & (F.col("confidence") >= min_confidence)
+    queues = verdicts.groupBy(key).agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in ("tp", "fp", "fn")], F.bool_or(sure).alias("in_fp"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    counted = queues.agg(total("tp"), total("fp"), total("fn"), F.count_if("in_fp").alias("fp_review_samples"), F.count_if(F.col("fn") > 0).alias("fn_review_samples"))
+    n = samples.agg(F.count_distinct(key).alias("num_samples"))  # one row beside one row
+    return n.crossJoin(counted).withColumns({"precision": rate("tp", F.col("tp") + F.col("fp")), "recall": rate("tp", F.col("tp") + F.col("fn"))})
+
+
 def review_sets(refs: DataFrame, predictions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(errors, missing): refs (sequence_id, is_positive_gt) whose prediction is wrong, with kind fp or fn; refs without a prediction."""
     joined = refs.join(predictions.select("sequence_id", "is_positive", "trigger_frame_index"), "sequence_id", "left")

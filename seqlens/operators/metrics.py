@@ -152,6 +152,17 @@ def stage_summary(each: DataFrame) -> DataFrame:
     return found.join(places, F.col("stage").eqNullSafe(F.col("of")), "left").select("stage", "p50", "p95", "mean", "min", "max", "n")
 
 
+def union_results(results: dict[str, DataFrame], label: str = "split") -> DataFrame:
+    """Result tables of several splits or models as one, each row under its name; columns that a table lacks are null."""
+    found = None
+    for name, rows in results.items():
+        one = rows.withColumn(label, F.lit(name))
+        found = one if found is None else found.unionByName(one, allowMissingColumns=True)
+    if found is None:
+        raise ValueError("no results to unite")
+    return found
+
+
 def training_curves(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(mean train loss of each epoch, validation row of each epoch with is_best, the first highest val_f1)."""
     train = log.where("train_loss is not null").groupBy("epoch").agg(F.avg("train_loss").alias("train_loss"))

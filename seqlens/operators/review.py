@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.publish import publish, replace_folder
+
 # Prefixes, the closed vocabulary of review tags, and the mark of the row that only seeds it.
 REVIEWER, DONE = "reviewer:", "label:"
 VOCABULARY = ["label:add-smoke", "label:remove-gt", "label:fix-bbox", "label:ok", "status:unclear"]
@@ -84,13 +86,27 @@ def dataset_parts(name) -> tuple[Column, Column]:
     return F.regexp_extract(col, pattern, 1), F.regexp_extract(col, pattern, 2)
 
 
-def export(tagged: DataFrame, vocabulary: list[str], path: str) -> None:
-    """Write payloads by dataset, model and split; refuses all of it if any dataset has an invalid tag."""
-    bad = scan_invalid(tagged, vocabulary, ["dataset"])
+def _refuse_invalid(payloads: DataFrame, vocabulary: list[str]) -> None:
+    bad = scan_invalid(rows_of_payload(payloads, ["dataset"]), vocabulary, ["dataset"])
     if not bad.isEmpty():
         raise ValueError(f"invalid tags, for example: {[tuple(r) for r in bad.orderBy('dataset', 'tag').limit(5).collect()]}")
+
+
+def _parted_payload(tagged: DataFrame) -> DataFrame:
     model, split = dataset_parts("dataset")
-    payload(tagged, ["dataset"]).withColumn("model", model).withColumn("split", split).write.mode("overwrite").partitionBy("model", "split").json(path)
+    return payload(tagged, ["dataset"]).withColumn("model", model).withColumn("split", split)
+
+
+def export(tagged: DataFrame, vocabulary: list[str], path: str) -> None:
+    """Write payloads as JSON by dataset, model and split; refuses all of it, and keeps what was there, if any dataset has an invalid tag. The tags judged are those that were written."""
+    rows = _parted_payload(tagged)
+    check = lambda staged: _refuse_invalid(rows.sparkSession.read.schema(rows.schema).json(staged), vocabulary)
+    replace_folder(lambda staged: rows.write.partitionBy("model", "split").json(staged), check, path)
+
+
+def publish_tags(tagged: DataFrame, vocabulary: list[str], path: str) -> dict:
+    """The same as a published table, whose state before stays readable until the new one is whole."""
+    return publish(_parted_payload(tagged), path, lambda written: _refuse_invalid(written, vocabulary), ("model", "split"))
 
 
 def progress(tagged: DataFrame, by: list[str]) -> DataFrame:

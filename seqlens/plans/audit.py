@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ranking, review
+from ..sources.publish import published
 from . import adapters as A
 from .boxes import JUDGED, judged_boxes
+from .records import place
 from .registry import query, rounded
 
 BAD = "list_filter(tags, lambda t: NOT (t IN ('label:add-smoke', 'label:remove-gt', 'label:fix-bbox', 'label:ok', 'status:unclear', 'system:vocab-seed') OR starts_with(t, 'reviewer:')))"
@@ -89,3 +91,22 @@ def k6_dataset_parts(spark, d):
 def k7_export_gate(spark, d):
     bad = F.size(review.invalid_tags("tags", review.VOCABULARY))
     return A.tags(spark, d).groupBy("dataset").agg((F.sum(bad) == 0).alias("may_export"))
+
+
+GOOD = f"SELECT doc_id, dataset, stem, tags FROM v_tag WHERE len({BAD}) = 0"
+
+
+@query(f"SELECT dataset, regexp_extract(dataset, '^dq-frame_(.+)_([^_]+)$', 1) AS model, regexp_extract(dataset, '^dq-frame_(.+)_([^_]+)$', 2) AS split, count(*) AS n_stems, CAST(sum(len(list_distinct(tags))) AS BIGINT) AS n_tags FROM ({GOOD}) WHERE len(tags) > 0 GROUP BY 1")
+def k7_published_tags(spark, d):
+    """Datasets' valid rows are published; all rows, invalid tags among them, are then refused and leave the state as it was."""
+    path = place(spark, "tags")
+    rows = A.tags(spark, d)
+    review.publish_tags(rows.where(F.size(review.invalid_tags("tags", review.VOCABULARY)) == 0), review.VOCABULARY, path)
+    try:
+        review.publish_tags(rows, review.VOCABULARY, path)
+    except ValueError:
+        pass
+    else:
+        raise AssertionError("invalid tags were published")
+    found = review.rows_of_payload(published(spark, path), ["dataset", "model", "split"])
+    return found.groupBy("dataset", "model", "split").agg(F.count("*").alias("n_stems"), F.sum(F.size("tags")).alias("n_tags"))

@@ -189,6 +189,25 @@ def d5_evaluate_boxes(spark, d):
     return rounded(judged_boxes(spark, d))
 
 
+SAMPLES = "SELECT concat_ws('_', sequence_id, frame_idx) AS stem FROM v_slot"
+COUNTED = "count(*) FILTER (verdict = 'tp') AS tp, count(*) FILTER (verdict = 'fp') AS fp, count(*) FILTER (verdict = 'fn') AS fn"
+
+
+def samples(spark, d):
+    return A.slots(spark, d).select(F.concat_ws("_", "sequence_id", "frame_idx").alias("stem"))
+
+
+@query(f"SELECT s.stem, coalesce(tp, 0) AS eval_tp, coalesce(fp, 0) AS eval_fp, coalesce(fn, 0) AS eval_fn FROM ({SAMPLES}) s LEFT JOIN (SELECT stem, {COUNTED} FROM ({JUDGED}) GROUP BY 1) j ON j.stem = s.stem")
+def d5_sample_counts(spark, d):
+    return joins.sample_counts(judged_boxes(spark, d), samples(spark, d))
+
+
+@query(f"""SELECT (SELECT count(*) FROM ({SAMPLES})) AS num_samples, tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, fp_review_samples, fn_review_samples
+FROM (SELECT {COUNTED}, count(DISTINCT stem) FILTER (verdict = 'fp' AND confidence >= 0.5e0) AS fp_review_samples, count(DISTINCT stem) FILTER (verdict = 'fn') AS fn_review_samples FROM ({JUDGED}))""")
+def d5_summary(spark, d):
+    return rounded(joins.evaluation_summary(judged_boxes(spark, d), samples(spark, d), 0.5))
+
+
 @query("""SELECT model_name, sequence_id, CASE WHEN is_positive THEN 'fp' ELSE 'fn' END AS kind, trigger_frame_index FROM v_result WHERE is_positive <> is_positive_gt AND model_name = 'click' AND sequence_id % 13 <> 0""")
 def d6_review_sets(spark, d):
     one = A.predictions(spark, d).where("model_name = 'click' and sequence_id % 13 <> 0")

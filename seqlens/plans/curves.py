@@ -194,6 +194,6 @@ def j5_error_gallery(spark, d):
 
 @query(f"SELECT 'a' AS split, model_name, tp FROM ({METRICS}) UNION ALL SELECT 'b', model_name, tp FROM ({counted('model_name', 'v_result', 'is_positive_gt', 'num_detections_total > 0')})")
 def k8_union_of_results(spark, d):
-    one = metrics.sequence_metrics(A.results(spark, d).withColumn("split", F.lit("a")), ["split", "model_name"])
-    two = metrics.sequence_metrics(metrics.any_detection(A.results(spark, d)).withColumn("split", F.lit("b")), ["split", "model_name"])
-    return one.unionByName(two).select("split", "model_name", "tp")
+    rows = A.results(spark, d)
+    found = metrics.union_results({"a": metrics.sequence_metrics(rows, ["model_name"]), "b": metrics.sequence_metrics(metrics.any_detection(rows), ["model_name"])})
+    return found.select("split", "model_name", "tp")
