@@ -5,12 +5,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from seqlens.llm import decontaminate, language, mixing, near, token_file
-from seqlens.llm.common import shared_folder, table, without_ids, written
+from seqlens.llm.common import table, without_ids, written
 from seqlens.llm.registry import tokenizer_path
 
 
@@ -42,7 +40,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mix), ("token_file", tokens)]
 
-#: Compression and the tokenizer can't be said in SQL; tests/llm holds each stage against a plain version.
+#: Compression and the tokenizer can't be said in SQL; tests/llm holds the operators of the stages against plain versions or planted cases, and counts the rows of the stages.
 ORACLE_SQL = None
 
 
