@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 
@@ -14,6 +16,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _GOLD = U(0x9E3779B97F4A7C15)
 EMPTY = U(_MASK)
+#: Words of more bytes are hashed by blake2b: sums of powers modulo 2**64 are the same for a long word over two letters and its complement, if made for it (the Thue-Morse word of 1,024 letters).
+LONG = 32
 
 
 def _times(n: int) -> np.uint64:
@@ -67,7 +71,11 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros(len(data) + 1, U)
     np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
     found = (total[stops] - total[starts]) * inverse[starts]
-    return mix(found ^ ((stops - starts).astype(U) * _GOLD)), np.searchsorted(starts, off)
+    found = mix(found ^ ((stops - starts).astype(U) * _GOLD))
+    # there is at most one for every LONG bytes of text
+    for i in np.flatnonzero(stops - starts > LONG):
+        found[i] = int.from_bytes(blake2b(_LOWER[data[starts[i] : stops[i]]].tobytes(), digest_size=8).digest(), "little")
+    return found, np.searchsorted(starts, off)
 
 
 def shingles(hashes: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

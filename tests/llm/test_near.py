@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seqlens.llm import kernels, near
@@ -73,6 +74,29 @@ def test_hub_whose_copies_are_no_pairs(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, 4)
 
 
+def thue_morse(letters, n=1024):
+    return "".join(letters[i.bit_count() % 2] for i in range(n))
+
+
+def test_words_of_one_polynomial_sum(spark):
+    """A word over two letters and its complement, long enough for powers modulo 2**64 to cancel."""
+    one, two = thue_morse("ab"), thue_morse("ba")
+    hashes, _ = kernels.words(pa.array([f"{one} {two} {one.upper()}"], pa.large_string()))
+    assert hashes[0] != hashes[1] and hashes[0] == hashes[2]
+    rows = [(1, " ".join([one] * 9)), (2, " ".join([two] * 9)), (3, f"{one} x"), (4, f"{two} x"), (5, f"{one.upper()} X")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near.near_duplicates(docs, 4).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, 4)
+
+
+def test_word_hashes_at_the_limit():
+    """Equal words have equal hashes on both sides of the limit, wherever they stand and in either case; all others differ."""
+    words = [c * n for c in "aé" for n in range(1, 2 * kernels.LONG)] + ["b" * n + "a" * (40 - n) for n in range(40)]
+    hashes, off = kernels.words(pa.array([" ".join(words), "\t".join(reversed(words)).replace("a", "A")], pa.large_string()))
+    first, second = hashes[: off[1]], hashes[off[1] :]
+    assert len(set(words)) == len(set(first.tolist())) and (first == second[::-1]).all()
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in near.components(edges).collect()}
