@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.publish import publish, replace_folder
+from . import similar
 
 # Prefixes, the closed vocabulary of review tags, and the mark of the row that only seeds it.
 REVIEWER, DONE = "reviewer:", "label:"
@@ -65,13 +63,9 @@ def scan_invalid(tagged: DataFrame, vocabulary: list[str], by: list[str]) -> Dat
 
 
 def suggestions(tags: DataFrame, vocabulary: list[str], cutoff: float = 0.7) -> DataFrame:
-    """Each distinct tag with the closest word of the vocabulary by sequence similarity, null below the cutoff."""
-
-    @F.pandas_udf("string")
-    def closest(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: next(iter(difflib.get_close_matches(t, vocabulary, n=1, cutoff=cutoff)), None))
-
-    return tags.select("tag").distinct().withColumn("suggestion", closest("tag"))
+    """Each distinct tag (none that is null) with the closest word of the vocabulary by sequence similarity, null below the cutoff. `similar.closest` takes a vocabulary that is a table."""
+    words = tags.sparkSession.createDataFrame([(w,) for w in vocabulary], "word string")
+    return similar.closest(tags, words, cutoff).select("tag", F.col("word").alias("suggestion"))
 
 
 def report(invalid: DataFrame, by: list[str]) -> DataFrame:

@@ -76,7 +76,36 @@ def k4_report(spark, d):
     return review.report(review.scan_invalid(A.tags(spark, d), review.VOCABULARY, ["dataset"]), ["dataset"])
 
 
-@query()
+#: Sequence similarity: the longest common stretch (first in the word, then in the tag), then the same to its left and right.
+CLOSEST = f"""
+WITH RECURSIVE pairs AS (
+    SELECT tag, word
+    FROM (SELECT DISTINCT unnest({BAD}) AS tag FROM v_tag), (SELECT unnest(['label:add-smoke', 'label:remove-gt', 'label:fix-bbox', 'label:ok', 'status:unclear']) AS word)
+), spots AS (
+    SELECT tag, word, i, j, unnest(range(1, least(len(word) - i, len(tag) - j) + 1)) AS k
+    FROM (SELECT tag, word, i, unnest(range(0, len(tag))) AS j FROM (SELECT tag, word, unnest(range(0, len(word))) AS i FROM pairs))
+), common AS (
+    SELECT tag, word, i, j, max(k) AS k FROM spots WHERE word[i + 1 : i + k] = tag[j + 1 : j + k] GROUP BY ALL
+), parts AS (
+    SELECT tag, word, CAST(0 AS BIGINT) AS a, len(word) AS b, CAST(0 AS BIGINT) AS c, len(tag) AS d, CAST(0 AS BIGINT) AS matched FROM pairs
+    UNION ALL
+    SELECT tag, word, side.a, side.b, side.c, side.d, side.matched FROM (
+        SELECT tag, word, unnest([
+            {{'a': a, 'b': i, 'c': c, 'd': j, 'matched': k}},
+            {{'a': i + k, 'b': b, 'c': j + k, 'd': d, 'matched': 0}}]) AS side
+        FROM (
+            SELECT tag, word, a, b, c, d, i, j, least(k, b - i, d - j) AS k,
+                row_number() OVER (PARTITION BY tag, word, a, b, c, d ORDER BY least(k, b - i, d - j) DESC, i, j) AS place
+            FROM parts JOIN common USING (tag, word) WHERE i >= a AND i < b AND j >= c AND j < d)
+        WHERE place = 1)
+), scored AS (
+    SELECT tag, word, 2.0e0 * sum(matched) / (len(tag) + len(word)) AS similarity FROM parts GROUP BY tag, word
+)
+SELECT tag, max({{'s': similarity, 'w': word}}) FILTER (similarity >= 0.7e0).w AS suggestion FROM scored GROUP BY tag
+"""
+
+
+@query(CLOSEST)
 def k5_suggestions(spark, d):
     return review.suggestions(review.scan_invalid(A.tags(spark, d), review.VOCABULARY, ["dataset"]), review.VOCABULARY)
 
