@@ -77,7 +77,7 @@ def k4_report(spark, d):
 
 
 #: Sequence similarity: the longest common stretch (first in the word, then in the tag), then the same to its left and right.
-CLOSEST = f"""
+CLOSEST = f"""SELECT * FROM (
 WITH RECURSIVE pairs AS (
     SELECT tag, word
     FROM (SELECT DISTINCT unnest({BAD}) AS tag FROM v_tag), (SELECT unnest(['label:add-smoke', 'label:remove-gt', 'label:fix-bbox', 'label:ok', 'status:unclear']) AS word)
@@ -101,7 +101,7 @@ WITH RECURSIVE pairs AS (
 ), scored AS (
     SELECT tag, word, 2.0e0 * sum(matched) / (len(tag) + len(word)) AS similarity FROM parts GROUP BY tag, word
 )
-SELECT tag, max({{'s': similarity, 'w': word}}) FILTER (similarity >= 0.7e0).w AS suggestion FROM scored GROUP BY tag
+SELECT tag, max({{'s': similarity, 'w': word}}) FILTER (similarity >= 0.7e0).w AS suggestion FROM scored GROUP BY tag)
 """
 
 
