@@ -1,11 +1,14 @@
 """Parameter grids.
 
-Matching depends on confidence, box size, overlap and misses only; confirmation and post-filters come after it. So the kernel runs once for each matching setting and returns, of each track, the frame at which its streak first reaches each length; the other parameters are a cheap join on tracks. The grid is what is broadcast, never the data."""
+Which boxes pass, and how they are linked, depends on confidence, box size, change, overlap and misses only; confirmation and post-filters come after it. Per sequence, settings that must link alike are one class, found by critical values, and the linker runs once a class:
+settings that keep the same boxes are alike; a run with overlap limit t is the same for every limit up to the least overlap it matched at, as greedy choices don't change when pairs go that were not chosen; and a run that allows m misses is the same for every number down to the longest gap it bridged, as tracks that die sooner matched nothing more.
+Of a class's tracks only the earliest frame at which a streak reached each length is kept for each combination of post-filter limits passed; the later parameters are a join of these few rows with a broadcast grid, and settings are told apart again only when alarms have been counted. The grid is what is broadcast, never the data."""
 
 from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +24,9 @@ EACH = BASE | {"max_misses": [0, 1], "min_mean_confidence": [None, 0.4], "min_ar
 #: What tracker_sweep takes if no grid is given; not a published one.
 SMALL = {"confidence": [0.3], "max_area": [None], "iou": [0.1, 0.2], "max_misses": [0, 1], "min_consecutive": [1, 2, 3, 4, 5], "min_mean_confidence": [None, 0.4], "min_area_change": [None, 1.1]}
 MATCHING = ["confidence", "max_area", "iou", "max_misses"]
+#: The published grid of change validation and tracker.
+CHANGE = {"pixel_threshold": [3, 5, 7, 10, 15, 19, 25, 30, 40], "min_ratio": [0.001, 0.005, 0.01, 0.02, 0.05, 0.1], "confidence": [0.01, 0.1, 0.2, 0.3], "max_area": [None, 0.05, 0.1], "iou": [0.1, 0.2, 0.3], "max_misses": [0, 1], "min_consecutive": [1, 2, 3, 4, 5], "min_mean_confidence": [None], "min_area_change": [None]}
+CHANGED = ["pixel_threshold", "min_ratio"]
 AFTER = ["min_consecutive", "min_mean_confidence", "min_area_change"]
 
 
@@ -30,83 +36,144 @@ def grid_rows(spark, grid: dict, names: list[str]) -> DataFrame:
     return spark.createDataFrame(list(product(*[grid[n] for n in names])), ", ".join(f"{n} {kinds.get(n, 'double')}" for n in names))
 
 
+def filters_of(grid: dict) -> list[str]:
+    """The parameters that say which boxes pass."""
+    return [*(CHANGED if "min_ratio" in grid else []), "confidence", "max_area"]
+
+
+def matching_of(grid: dict) -> list[str]:
+    """The parameters of a matching setting; its number is its place among their combinations."""
+    return [*filters_of(grid), "iou", "max_misses"]
+
+
+def _run(frames: list[tuple[int, list[tuple], list[float]]], iou: float, misses: int, longest: int) -> tuple[dict, float, int]:
+    """One run of the linker: its tracks, the least overlap it matched at and the longest gap it bridged."""
+    linker, tracks, least, gap = Linker(iou, misses), {}, float("inf"), 0
+    for step, (at, boxes, sure) in enumerate(frames):
+        for t, j, streak, overlap in linker.step(boxes)["hits"]:
+            x = tracks.setdefault(t, {"sum": 0.0, "n": 0, "first": boxes[j], "step": step, "reached": [None] * longest})
+            if overlap is not None:
+                least, gap = min(least, overlap), max(gap, step - x["step"] - 1)
+            x["sum"] += sure[j]
+            x["n"] += 1
+            x["last"], x["step"] = boxes[j], step
+            if streak <= longest and x["reached"][streak - 1] is None:
+                x["reached"][streak - 1] = at
+    return tracks, least, gap
+
+
+def classes(limits: list[tuple[int, float, int]], run) -> list[tuple[list[int], dict]]:
+    """Settings (number, iou, max_misses) that link alike, with the tracks they share. run: of iou and max_misses, as `_run` gives it."""
+    left, out = sorted(limits, key=lambda x: (-x[2], x[1])), []
+    while left:
+        _, iou, misses = left[0]
+        tracks, least, gap = run(iou, misses)
+        same = [s for s in left if iou <= s[1] <= max(iou, least) and gap <= s[2] <= misses]
+        out.append(([s[0] for s in same], tracks))
+        left = [s for s in left if s not in same]
+    return out
+
+
 def matched_tracks(frames: DataFrame, grid: dict) -> DataFrame:
-    """Tracks under every matching setting: sequence_id, setting, its parameters, mean_confidence, area_ratio, reached (frame at which the streak first is 1, 2, ... long)."""
+    """Tracks of each class of matching settings: sequence_id, settings (their numbers), mean_confidence, area_ratio, reached (frame at which the streak first is 1, 2, ... long).
+
+    With change parameters in the grid frames has `ratios` too, of each box, in the order of the grid's pixel thresholds."""
     longest = max(grid["min_consecutive"])
-    settings = list(enumerate(product(*[grid[n] for n in MATCHING])))
+    names = filters_of(grid)
+    changed = "min_ratio" in names
+    places = list(product(*[range(len(grid[n])) for n in names]))
+    links = list(product(grid["iou"], grid["max_misses"]))
 
     def kernel(rows: pd.DataFrame) -> pd.DataFrame:
         key, out = rows["sequence_id"].iloc[0], []
-        some = rows[rows["det_idx"].notna()]
-        conf = dict(zip(zip(some["frame_idx"].tolist(), some["det_idx"].tolist()), some["confidence"].tolist()))
-        frames, kept = list(frames_of(rows)), {}
-        for s, (least, most, iou, misses) in settings:
-            if (least, most) not in kept:
-                kept[least, most] = [(at, [(b, conf[at, j]) for j, b in zip(dets, boxes) if conf[at, j] >= least and (most is None or b[2] * b[3] <= most)]) for at, dets, boxes in frames]
-            linker, tracks = Linker(iou, misses), {}
-            for at, seen in kept[least, most]:
-                for t, j, streak, _ in linker.step([b for b, _ in seen])["hits"]:
-                    box, sure = seen[j]
-                    x = tracks.setdefault(t, {"conf": [], "first": box, "reached": [None] * longest})
-                    x["conf"].append(sure)
-                    x["last"] = box
-                    if streak <= longest and x["reached"][streak - 1] is None:
-                        x["reached"][streak - 1] = at
-            out += [(key, s, t, sum(x["conf"]) / len(x["conf"]), x["first"][2] * x["first"][3], x["last"][2] * x["last"][3], x["reached"]) for t, x in tracks.items()]
-        return pd.DataFrame(out, columns=["sequence_id", "setting", "track_id", "mean_confidence", "first_area", "last_area", "reached"])
-
-    keep = frames.select("sequence_id", "frame_idx", "det_idx", "cx", "cy", "w", "h", "confidence")
+        rows = rows.sort_values(["frame_idx", "det_idx"], kind="stable").reset_index(drop=True)
+        some = rows["det_idx"].notna().to_numpy()
+        conf, area = rows["confidence"].to_numpy(float), (rows["w"] * rows["h"]).to_numpy(float)
+        nothing = [np.nan] * len(grid["pixel_threshold"]) if changed else []
+        ratios = np.array([nothing if x is None else x for x in rows["ratios"]], float) if changed else None
+        order, seen = list(frames_of(rows)), np.flatnonzero(some)
+        kept: dict[bytes, list[int]] = {}
+        for n, place in enumerate(places):
+            chosen = {name: grid[name][i] for name, i in zip(names, place)}
+            keep = some & (conf >= chosen["confidence"])
+            if chosen["max_area"] is not None:
+                keep &= area <= chosen["max_area"]
+            if changed:
+                keep &= ratios[:, place[0]] >= chosen["min_ratio"]
+            kept.setdefault(keep.tobytes(), []).append(n)
+        for mask, alike in kept.items():
+            keep, at, some_frames = np.frombuffer(mask, bool)[seen], 0, []
+            for frame, _, boxes in order:
+                here = [i for i in range(len(boxes)) if keep[at + i]]
+                some_frames.append((frame, [boxes[i] for i in here], [float(conf[seen[at + i]]) for i in here]))
+                at += len(boxes)
+            for same, tracks in classes([(k, *link) for k, link in enumerate(links)], lambda iou, misses: _run(some_frames, iou, misses, longest)):  # noqa: B023
+                settings = [n * len(links) + k for n in alike for k in same]
+                out += [(key, settings, x["sum"] / x["n"], x["first"][2] * x["first"][3], x["last"][2] * x["last"][3], x["reached"]) for x in tracks.values()]
+        return pd.DataFrame(out, columns=["sequence_id", "settings", "mean_confidence", "first_area", "last_area", "reached"])
+
+    keep = frames.select("sequence_id", "frame_idx", "det_idx", "cx", "cy", "w", "h", "confidence", *(["ratios"] if changed else []))
     kind = keep.schema["sequence_id"].dataType.simpleString()
-    tracks = by_sequence(keep).groupBy("sequence_id").applyInPandas(kernel, f"sequence_id {kind}, setting int, track_id int, mean_confidence double, first_area double, last_area double, reached array<int>")
-    named = keep.sparkSession.createDataFrame([(s, *p) for s, p in settings], "setting int, confidence double, max_area double, iou double, max_misses int")
-    return tracks.join(F.broadcast(named), "setting").withColumn("area_ratio", area_ratio("first_area", "last_area")).drop("first_area", "last_area")
+    tracks = by_sequence(keep).groupBy("sequence_id").applyInPandas(kernel, f"sequence_id {kind}, settings array<int>, mean_confidence double, first_area double, last_area double, reached array<int>")
+    return tracks.withColumn("area_ratio", area_ratio("first_area", "last_area")).drop("first_area", "last_area")
 
 
 def decisions(tracks: DataFrame, grid: dict) -> DataFrame:
-    """trigger_frame_index of each sequence with an alarm under each setting of the whole grid."""
-    after = F.broadcast(grid_rows(tracks.sparkSession, grid, AFTER))
-    each = tracks.crossJoin(after).withColumn("at", F.get("reached", F.col("min_consecutive") - 1)).where("at is not null")
-    passes = (F.col("min_mean_confidence").isNull() | (F.col("mean_confidence") >= F.col("min_mean_confidence"))) & (F.col("min_area_change").isNull() | (F.col("area_ratio") >= F.col("min_area_change")))
-    return each.where(passes).groupBy("sequence_id", *MATCHING, *AFTER).agg(F.min("at").alias("trigger_frame_index"))
+    """Alarms: sequence_id, settings (numbers of matching settings that link it alike), the later parameters, trigger_frame_index."""
+    limits = {c: sorted(v for v in grid[c] if v is not None) for c in ("min_mean_confidence", "min_area_change")}
+    passed = lambda value, c: sum((F.when(F.col(value) >= v, 1).otherwise(0) for v in limits[c]), F.lit(0))
+    rank = lambda c, v: 0 if v is None else limits[c].index(v) + 1
+    rows = [(n, sure, grown, rank("min_mean_confidence", sure), rank("min_area_change", grown)) for n, sure, grown in product(*[grid[c] for c in AFTER])]
+    after = tracks.sparkSession.createDataFrame(rows, "min_consecutive int, min_mean_confidence double, min_area_change double, needs_sure int, needs_grown int")
+    ranked = tracks.withColumn("sure", passed("mean_confidence", "min_mean_confidence")).withColumn("grown", passed("area_ratio", "min_area_change"))
+    longest = max(grid["min_consecutive"])
+    earliest = ranked.groupBy("sequence_id", "settings", "sure", "grown").agg(F.array(*[F.min(F.get("reached", F.lit(i))) for i in range(longest)]).alias("reached"))
+    each = earliest.join(F.broadcast(after), (F.col("sure") >= F.col("needs_sure")) & (F.col("grown") >= F.col("needs_grown")))
+    alarms = each.withColumn("at", F.get("reached", F.col("min_consecutive") - 1)).where("at is not null")
+    return alarms.groupBy("sequence_id", "settings", *AFTER).agg(F.min("at").alias("trigger_frame_index"))
+
+
+def alarm_counts(found: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
+    """Alarms (sequence_id, by, trigger_frame_index) counted: by, is_positive_gt, trigger_frame_index, n."""
+    return found.join(truth, "sequence_id").groupBy(*by, "is_positive_gt", "trigger_frame_index").agg(F.count("*").alias("n"))
 
 
-def grid_metrics(found: DataFrame, truth: DataFrame, grid: DataFrame, by: list[str]) -> DataFrame:
+def grid_metrics(alarms: DataFrame, truth: DataFrame, grid: DataFrame, by: list[str]) -> DataFrame:
     """Metrics of every setting from its alarms alone: sequences without an alarm are the truth's totals less those with one.
 
-    found: sequence_id, by, trigger_frame_index; grid: the settings, so that one without any alarm has its row too."""
+    alarms: as `alarm_counts` gives them; grid: the settings, so that one without any alarm has its row too."""
     totals = truth.agg(F.count_if("is_positive_gt").alias("pos"), F.count_if(~F.col("is_positive_gt")).alias("neg"))
     late = F.when(F.col("is_positive_gt"), F.col("trigger_frame_index"))
-    hit = found.join(truth, "sequence_id").groupBy(*by).agg(F.count_if("is_positive_gt").alias("tp"), F.count_if(~F.col("is_positive_gt")).alias("fp"), F.avg(late).alias("mean_ttd"), F.median(late).alias("median_ttd"))
+    held = lambda positive: F.sum(F.when(F.col("is_positive_gt") == positive, F.col("n")).otherwise(0))
+    hit = alarms.groupBy(*by).agg(held(True).alias("tp"), held(False).alias("fp"), F.try_divide(F.sum(late * F.col("n")), held(True)).alias("mean_ttd"), F.percentile(late, 0.5, F.col("n")).alias("median_ttd"))
     conditions = [F.col(f"g.{c}").eqNullSafe(F.col(f"h.{c}")) for c in by]
     joined = grid.alias("g").join(hit.alias("h"), conditions, "left").select(*[F.col(f"g.{c}") for c in by], F.coalesce("h.tp", F.lit(0)).alias("tp"), F.coalesce("h.fp", F.lit(0)).alias("fp"), "h.mean_ttd", "h.median_ttd")
     counted = joined.crossJoin(F.broadcast(totals)).withColumn("fn", F.col("pos") - F.col("tp")).withColumn("tn", F.col("neg") - F.col("fp")).drop("pos", "neg")
     return metrics.with_rates(counted)
 
 
+def _swept(frames: DataFrame, truth: DataFrame, grid: dict) -> DataFrame:
+    names = matching_of(grid)
+    counts = alarm_counts(decisions(matched_tracks(frames, grid), grid), truth, ["settings", *AFTER])
+    numbered = counts.withColumn("setting", F.explode("settings")).groupBy("setting", *AFTER, "is_positive_gt", "trigger_frame_index").agg(F.sum("n").alias("n"))
+    spark = frames.sparkSession
+    known = grid_rows(spark, grid, names).schema
+    named = spark.createDataFrame([(s, *p) for s, p in enumerate(product(*[grid[n] for n in names]))], "setting int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in known))
+    return grid_metrics(numbered.join(F.broadcast(named), "setting"), truth, grid_rows(spark, grid, [*names, *AFTER]), [*names, *AFTER])
+
+
 def tracker_sweep(frames: DataFrame, truth: DataFrame, grid: dict | None = None) -> DataFrame:
     """Metrics of every combination of the tracker's parameters."""
-    grid = grid or SMALL
-    found = decisions(matched_tracks(frames, grid), grid)
-    return grid_metrics(found, truth, grid_rows(frames.sparkSession, grid, [*MATCHING, *AFTER]), [*MATCHING, *AFTER])
-
-
-def change_sweep(ratios: DataFrame, slots: DataFrame, truth: DataFrame, min_ratios: list[float], grid: dict) -> DataFrame:
-    """Tracker sweep over change-validated detections at each pixel threshold (those of ratios) and minimum ratio. slots: all frames of each sequence."""
-    spark = ratios.sparkSession
-    kind = slots.schema["sequence_id"].dataType.simpleString()
-    limits = spark.createDataFrame([(r,) for r in min_ratios], "min_ratio double")
-    kept = ratios.crossJoin(F.broadcast(limits)).where(F.col("change_ratio") >= F.col("min_ratio"))
-    thresholds = ratios.select("pixel_threshold").distinct()
-    settings = thresholds.crossJoin(limits)
-    # a sequence under a setting is a sequence of its own
-    name = F.concat_ws("/", F.col("sequence_id").cast("string"), F.col("pixel_threshold").cast("string"), F.col("min_ratio").cast("string"))
-    all_slots = slots.select("sequence_id", "frame_idx").crossJoin(F.broadcast(settings))
-    joined = all_slots.join(kept, ["sequence_id", "frame_idx", "pixel_threshold", "min_ratio"], "left").withColumn("sequence_id", name)
-    found = decisions(matched_tracks(joined, grid), grid)
-    part = lambda i: F.split("sequence_id", "/")[i]
-    found = found.withColumns({"pixel_threshold": part(1).cast("int"), "min_ratio": part(2).cast("double"), "sequence_id": part(0).cast(kind)})
-    by = ["pixel_threshold", "min_ratio", *MATCHING, *AFTER]
-    return grid_metrics(found, truth, settings.crossJoin(grid_rows(spark, grid, [*MATCHING, *AFTER])), by)
+    return _swept(frames, truth, grid or SMALL)
+
+
+def change_sweep(ratios: DataFrame, slots: DataFrame, truth: DataFrame, grid: dict = CHANGE) -> DataFrame:
+    """Tracker sweep over change-validated detections at each pixel threshold (those of ratios hold the grid's) and minimum ratio. slots: all frames of each sequence."""
+    keys = ["sequence_id", "frame_idx", "det_idx"]
+    boxes = ["cx", "cy", "w", "h", "confidence"]
+    at = lambda t: F.max(F.when(F.col("pixel_threshold") == t, F.col("change_ratio")))
+    each = ratios.groupBy(*keys).agg(*[F.any_value(c).alias(c) for c in boxes], F.array(*[at(t) for t in grid["pixel_threshold"]]).alias("ratios"))
+    return _swept(slots.select(*keys[:2]).join(each, keys[:2], "left"), truth, grid)
 
 
 def smoothing_sweep(detections: DataFrame, truth: DataFrame, windows: list[int], thresholds: list[float]) -> DataFrame:
@@ -115,7 +182,7 @@ def smoothing_sweep(detections: DataFrame, truth: DataFrame, windows: list[int],
     smooth = smoothing.smoothed_windows(detections, windows)
     limits = F.broadcast(spark.createDataFrame([(t,) for t in thresholds], "threshold double"))
     found = smooth.crossJoin(limits).where(F.col("smoothed") > F.col("threshold")).groupBy("sequence_id", "window", "threshold").agg(F.min("frame_idx").alias("trigger_frame_index"))
-    return grid_metrics(found, truth, grid_rows(spark, {"window": windows, "threshold": thresholds}, ["window", "threshold"]), ["window", "threshold"])
+    return grid_metrics(alarm_counts(found, truth, ["window", "threshold"]), truth, grid_rows(spark, {"window": windows, "threshold": thresholds}, ["window", "threshold"]), ["window", "threshold"])
 
 
 def ablation(frames: DataFrame, truth: DataFrame, confidence: float = 0.3, iou: float = 0.1, min_consecutive: int = 3, max_misses: int = 1, min_mean_confidence: float = 0.4, min_area_change: float = 1.1) -> DataFrame:

@@ -16,12 +16,19 @@ def i1_tracker_sweep(spark, d):
     return rounded(sweep.tracker_sweep(A.frames(spark, d), A.truth(spark, d), sweep.EACH))
 
 
+@query()
+def i1_whole_grid(spark, d):
+    """All 28,800 settings."""
+    return rounded(sweep.tracker_sweep(A.frames(spark, d), A.truth(spark, d), sweep.WHOLE))
+
+
 @query()
 def i2_change_sweep(spark, d):
-    ratios = change.change_ratios(A.rasters(spark, d), A.raster_boxes(spark, d), [3, 5, 7, 10, 15, 19, 25, 30, 40])
+    """The published grid, with two further ratios."""
+    grid = sweep.CHANGE | {"min_ratio": [*sweep.CHANGE["min_ratio"], 0.2, 0.4]}
+    ratios = change.change_ratios(A.rasters(spark, d), A.raster_boxes(spark, d), grid["pixel_threshold"])
     truth = A.rasters(spark, d).groupBy("sequence_id").agg((F.count("*") % 2 == 0).alias("is_positive_gt"))
-    grid = {"confidence": [0.01, 0.1], "max_area": [None], "iou": [0.1, 0.2], "max_misses": [0, 1], "min_consecutive": [1, 2, 3, 4, 5], "min_mean_confidence": [None], "min_area_change": [None]}
-    return rounded(sweep.change_sweep(ratios, A.rasters(spark, d), truth, [0.001, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.4], grid))
+    return rounded(sweep.change_sweep(ratios, A.rasters(spark, d), truth, grid))
 
 
 @query(f"""SELECT CAST(4 AS INT) AS window, threshold, tp, fp, pos - tp AS fn, neg - fp AS tn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(pos, 0), 0), 6) AS recall, round(coalesce(2e0 * tp / nullif(2 * tp + fp + pos - tp, 0), 0), 6) AS f1, round(coalesce(fp / nullif(neg, 0), 0), 6) AS fpr, round(mean_ttd, 6) AS mean_ttd, round(median_ttd, 6) AS median_ttd
