@@ -85,16 +85,17 @@ def _listed(values: list) -> str:
 
 
 def sweep_sql(grid: dict) -> str:
-    """The tracker sweep over a grid without an area limit. A sequence under a matching setting is a sequence of its own."""
+    """The tracker sweep over a grid. A sequence under a matching setting is a sequence of its own."""
     each = lambda *names: "SELECT " + ", ".join(f"{n}" for n in names) + " FROM " + ", ".join(f"(SELECT unnest({_listed(grid[n])}) AS {n})" for n in names)
-    key = "{'seq': x.sequence_id, 'confidence': s.confidence, 'iou': s.iou, 'misses': s.max_misses} AS sequence_id"
-    matching = each("confidence", "iou", "max_misses")
+    key = "{'seq': x.sequence_id, 'confidence': s.confidence, 'area': s.max_area, 'iou': s.iou, 'misses': s.max_misses} AS sequence_id"
+    grid = {"max_area": [None]} | grid
+    matching = each("confidence", "max_area", "iou", "max_misses")
     slots = f"(SELECT {key}, x.frame_idx FROM v_slot x CROSS JOIN ({matching}) s)"
-    boxes = f"(SELECT {key}, x.frame_idx, x.det_idx, x.cx, x.cy, x.w, x.h, x.confidence FROM v_det x JOIN ({matching}) s ON x.confidence >= s.confidence)"
-    tracks = f"""SELECT sequence_id.seq AS sequence_id, sequence_id.confidence AS confidence, sequence_id.iou AS iou, sequence_id.misses AS max_misses, mean_confidence, CASE WHEN a > 0 THEN b / a ELSE 0e0 END AS area_ratio, min_consecutive, reached
+    boxes = f"(SELECT {key}, x.frame_idx, x.det_idx, x.cx, x.cy, x.w, x.h, x.confidence FROM v_det x JOIN ({matching}) s ON x.confidence >= s.confidence AND (s.max_area IS NULL OR x.w * x.h <= s.max_area))"
+    tracks = f"""SELECT sequence_id.seq AS sequence_id, sequence_id.confidence AS confidence, sequence_id.area AS max_area, sequence_id.iou AS iou, sequence_id.misses AS max_misses, mean_confidence, CASE WHEN a > 0 THEN b / a ELSE 0e0 END AS area_ratio, min_consecutive, reached
     FROM (SELECT sequence_id, track_id, avg(confidence) OVER t AS mean_confidence, first_value(area) OVER t AS a, last_value(area) OVER t AS b, streak AS min_consecutive, frame_idx AS reached
         FROM ({hits_sql(boxes, 'sequence_id.iou', 'sequence_id.misses', slots)}) WINDOW t AS (PARTITION BY sequence_id, track_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
-    alarms = f"""SELECT t.sequence_id, t.confidence, t.iou, t.max_misses, t.min_consecutive, s.min_mean_confidence, s.min_area_change, min(t.reached) AS first FROM ({tracks}) t CROSS JOIN ({each('min_mean_confidence', 'min_area_change')}) s
+    alarms = f"""SELECT t.sequence_id, t.confidence, t.max_area, t.iou, t.max_misses, t.min_consecutive, s.min_mean_confidence, s.min_area_change, min(t.reached) AS first FROM ({tracks}) t CROSS JOIN ({each('min_mean_confidence', 'min_area_change')}) s
     WHERE (s.min_mean_confidence IS NULL OR t.mean_confidence >= s.min_mean_confidence) AND (s.min_area_change IS NULL OR t.area_ratio >= s.min_area_change) GROUP BY ALL"""
-    by = ["confidence", "iou", "max_misses", "min_consecutive", "min_mean_confidence", "min_area_change"]
-    return f"SELECT *, CAST(NULL AS DOUBLE) AS max_area FROM ({counted_sql(alarms, each(*by), by)})"
+    by = ["confidence", "max_area", "iou", "max_misses", "min_consecutive", "min_mean_confidence", "min_area_change"]
+    return counted_sql(alarms, each(*by), by)

@@ -16,7 +16,7 @@ def i1_tracker_sweep(spark, d):
     return rounded(sweep.tracker_sweep(A.frames(spark, d), A.truth(spark, d), sweep.EACH))
 
 
-@query()
+@query(sweep_sql(sweep.WHOLE))
 def i1_whole_grid(spark, d):
     """All 28,800 settings."""
     return rounded(sweep.tracker_sweep(A.frames(spark, d), A.truth(spark, d), sweep.WHOLE))
