@@ -70,32 +70,39 @@ RATES = """round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(co
 round(coalesce(2e0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round(coalesce(fp / nullif(fp + tn, 0), 0), 6) AS fpr"""
 
 
-def counted_sql(alarms: str, settings: str, by: list[str]) -> str:
+def counted_sql(alarms: str, settings: str, by: list[str], truth: str = "v_gt") -> str:
     """Metrics under each setting from the alarms (sequence_id, by, first)."""
     same = " AND ".join(f"f.{c} IS NOT DISTINCT FROM s.{c}" for c in by)
     names = ", ".join(by)
     return f"""SELECT {names}, tp, fp, fn, tn, {RATES}, round(mean_ttd, 6) AS mean_ttd, median_ttd FROM (SELECT {', '.join(f's.{c}' for c in by)}, count(*) FILTER (f.first IS NOT NULL AND g.is_positive_gt) AS tp,
     count(*) FILTER (f.first IS NOT NULL AND NOT g.is_positive_gt) AS fp, count(*) FILTER (f.first IS NULL AND g.is_positive_gt) AS fn, count(*) FILTER (f.first IS NULL AND NOT g.is_positive_gt) AS tn,
     avg(f.first) FILTER (g.is_positive_gt) AS mean_ttd, median(f.first) FILTER (g.is_positive_gt) AS median_ttd
-    FROM v_gt g CROSS JOIN ({settings}) s LEFT JOIN ({alarms}) f ON f.sequence_id = g.sequence_id AND {same} GROUP BY ALL)"""
+    FROM {truth} g CROSS JOIN ({settings}) s LEFT JOIN ({alarms}) f ON f.sequence_id = g.sequence_id AND {same} GROUP BY ALL)"""
 
 
 def _listed(values: list) -> str:
     return "[" + ", ".join("CAST(NULL AS DOUBLE)" if v is None else f"{v}e0" if isinstance(v, float) else f"CAST({v} AS INT)" for v in values) + "]"
 
 
-def sweep_sql(grid: dict) -> str:
-    """The tracker sweep over a grid. A sequence under a matching setting is a sequence of its own."""
-    each = lambda *names: "SELECT " + ", ".join(f"{n}" for n in names) + " FROM " + ", ".join(f"(SELECT unnest({_listed(grid[n])}) AS {n})" for n in names)
-    key = "{'seq': x.sequence_id, 'confidence': s.confidence, 'area': s.max_area, 'iou': s.iou, 'misses': s.max_misses} AS sequence_id"
+def sweep_sql(grid: dict, boxes: str = "v_det", slots: str = "v_slot", truth: str = "v_gt") -> str:
+    """The tracker sweep over a grid. A sequence under a matching setting is a sequence of its own. With change parameters in the grid, boxes has pixel_threshold and change_ratio."""
     grid = {"max_area": [None]} | grid
-    matching = each("confidence", "max_area", "iou", "max_misses")
-    slots = f"(SELECT {key}, x.frame_idx FROM v_slot x CROSS JOIN ({matching}) s)"
-    boxes = f"(SELECT {key}, x.frame_idx, x.det_idx, x.cx, x.cy, x.w, x.h, x.confidence FROM v_det x JOIN ({matching}) s ON x.confidence >= s.confidence AND (s.max_area IS NULL OR x.w * x.h <= s.max_area))"
-    tracks = f"""SELECT sequence_id.seq AS sequence_id, sequence_id.confidence AS confidence, sequence_id.area AS max_area, sequence_id.iou AS iou, sequence_id.misses AS max_misses, mean_confidence, CASE WHEN a > 0 THEN b / a ELSE 0e0 END AS area_ratio, min_consecutive, reached
+    changed = "min_ratio" in grid
+    matching = [*(["pixel_threshold", "min_ratio"] if changed else []), "confidence", "max_area", "iou", "max_misses"]
+    after = ["min_consecutive", "min_mean_confidence", "min_area_change"]
+    each = lambda *names: "SELECT " + ", ".join(names) + " FROM " + ", ".join(f"(SELECT unnest({_listed(grid[n])}) AS {n})" for n in names)
+    key = "{'seq': x.sequence_id, " + ", ".join(f"'{n}': s.{n}" for n in matching) + "} AS sequence_id"
+    settings = each(*matching)
+    all_slots = f"(SELECT {key}, x.frame_idx FROM {slots} x CROSS JOIN ({settings}) s)"
+    enough = "AND x.pixel_threshold = s.pixel_threshold AND x.change_ratio >= s.min_ratio" if changed else ""
+    kept = f"""(SELECT {key}, x.frame_idx, x.det_idx, x.cx, x.cy, x.w, x.h, x.confidence
+    FROM {boxes} x JOIN ({settings}) s ON x.confidence >= s.confidence AND (s.max_area IS NULL OR x.w * x.h <= s.max_area) {enough})"""
+    named = ", ".join(f"sequence_id.{n} AS {n}" for n in matching)
+    tracks = f"""SELECT sequence_id.seq AS sequence_id, {named}, mean_confidence, CASE WHEN a > 0 THEN b / a ELSE 0e0 END AS area_ratio, min_consecutive, reached
     FROM (SELECT sequence_id, track_id, avg(confidence) OVER t AS mean_confidence, first_value(area) OVER t AS a, last_value(area) OVER t AS b, streak AS min_consecutive, frame_idx AS reached
-        FROM ({hits_sql(boxes, 'sequence_id.iou', 'sequence_id.misses', slots)}) WINDOW t AS (PARTITION BY sequence_id, track_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
-    alarms = f"""SELECT t.sequence_id, t.confidence, t.max_area, t.iou, t.max_misses, t.min_consecutive, s.min_mean_confidence, s.min_area_change, min(t.reached) AS first FROM ({tracks}) t CROSS JOIN ({each('min_mean_confidence', 'min_area_change')}) s
+        FROM ({hits_sql(kept, 'sequence_id.iou', 'sequence_id.max_misses', all_slots)})
+        WINDOW t AS (PARTITION BY sequence_id, track_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+    alarms = f"""SELECT t.sequence_id, {', '.join(f't.{n}' for n in matching)}, t.min_consecutive, s.min_mean_confidence, s.min_area_change, min(t.reached) AS first
+    FROM ({tracks}) t CROSS JOIN ({each('min_mean_confidence', 'min_area_change')}) s
     WHERE (s.min_mean_confidence IS NULL OR t.mean_confidence >= s.min_mean_confidence) AND (s.min_area_change IS NULL OR t.area_ratio >= s.min_area_change) GROUP BY ALL"""
-    by = ["confidence", "max_area", "iou", "max_misses", "min_consecutive", "min_mean_confidence", "min_area_change"]
-    return counted_sql(alarms, each(*by), by)
+    return counted_sql(alarms, each(*matching, *after), [*matching, *after], truth)

@@ -8,7 +8,7 @@ from ..operators import change, sweep
 from . import adapters as A
 from .greedy_sql import counted_sql, sweep_sql
 from .registry import query, rounded
-from .sequences import SMOOTH, smooth_sql
+from .sequences import SMOOTH, ratio_sql, smooth_sql
 
 
 @query(sweep_sql(sweep.EACH))
@@ -22,13 +22,15 @@ def i1_whole_grid(spark, d):
     return rounded(sweep.tracker_sweep(A.frames(spark, d), A.truth(spark, d), sweep.WHOLE))
 
 
-@query()
+#: The published grid, with two further ratios.
+CHANGE = sweep.CHANGE | {"min_ratio": [*sweep.CHANGE["min_ratio"], 0.2, 0.4]}
+
+
+@query(sweep_sql(CHANGE, f"(SELECT *, 0 AS det_idx FROM ({ratio_sql(CHANGE['pixel_threshold'])}))", "v_raster", "(SELECT sequence_id, count(*) % 2 = 0 AS is_positive_gt FROM v_raster GROUP BY 1)"))
 def i2_change_sweep(spark, d):
-    """The published grid, with two further ratios."""
-    grid = sweep.CHANGE | {"min_ratio": [*sweep.CHANGE["min_ratio"], 0.2, 0.4]}
-    ratios = change.change_ratios(A.rasters(spark, d), A.raster_boxes(spark, d), grid["pixel_threshold"])
+    ratios = change.change_ratios(A.rasters(spark, d), A.raster_boxes(spark, d), CHANGE["pixel_threshold"])
     truth = A.rasters(spark, d).groupBy("sequence_id").agg((F.count("*") % 2 == 0).alias("is_positive_gt"))
-    return rounded(sweep.change_sweep(ratios, A.rasters(spark, d), truth, grid))
+    return rounded(sweep.change_sweep(ratios, A.rasters(spark, d), truth, CHANGE))
 
 
 @query(f"""SELECT CAST(4 AS INT) AS window, threshold, tp, fp, pos - tp AS fn, neg - fp AS tn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(pos, 0), 0), 6) AS recall, round(coalesce(2e0 * tp / nullif(2 * tp + fp + pos - tp, 0), 0), 6) AS f1, round(coalesce(fp / nullif(neg, 0), 0), 6) AS fpr, round(mean_ttd, 6) AS mean_ttd, round(median_ttd, 6) AS median_ttd

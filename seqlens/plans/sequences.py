@@ -216,8 +216,18 @@ def f1_change_mask(spark, d):
     return rows.select("sequence_id", "frame_idx", F.size(F.filter(change.change_mask("p", "px"), lambda x: x)).cast("long").alias("n_changed"))
 
 
-RATIO = """SELECT r.sequence_id, r.frame_idx, b.confidence, t.threshold AS pixel_threshold, CASE WHEN p IS NULL THEN NULL WHEN (x1 - x0) <= 0 OR (y1 - y0) <= 0 THEN 0e0 ELSE len(list_filter(range(64), lambda i: i % 8 >= x0 AND i % 8 < x1 AND i // 8 >= y0 AND i // 8 < y1 AND abs(px[i + 1] - p[i + 1]) > t.threshold)) / CAST((x1 - x0) * (y1 - y0) AS DOUBLE) END AS change_ratio
-FROM (SELECT *, lag(px) OVER (PARTITION BY sequence_id ORDER BY frame_idx) AS p FROM v_raster) r JOIN (SELECT *, CAST(greatest(0, trunc((cx - w / 2) * 8)) AS INT) AS x0, CAST(greatest(0, trunc((cy - h / 2) * 8)) AS INT) AS y0, CAST(least(8, trunc((cx + w / 2) * 8)) AS INT) AS x1, CAST(least(8, trunc((cy + h / 2) * 8)) AS INT) AS y1 FROM v_rbox) b USING (sequence_id, frame_idx) CROSS JOIN (SELECT unnest([10, 19, 30]) AS threshold) t"""
+def ratio_sql(thresholds: list[int]) -> str:
+    """Change ratios of all boxes at each pixel threshold."""
+    return f"""SELECT r.sequence_id, r.frame_idx, b.cx, b.cy, b.w, b.h, b.confidence, t.threshold AS pixel_threshold,
+    CASE WHEN p IS NULL THEN NULL WHEN (x1 - x0) <= 0 OR (y1 - y0) <= 0 THEN 0e0
+        ELSE len(list_filter(range(64), lambda i: i % 8 >= x0 AND i % 8 < x1 AND i // 8 >= y0 AND i // 8 < y1 AND abs(px[i + 1] - p[i + 1]) > t.threshold)) / CAST((x1 - x0) * (y1 - y0) AS DOUBLE) END AS change_ratio
+FROM (SELECT *, lag(px) OVER (PARTITION BY sequence_id ORDER BY frame_idx) AS p FROM v_raster) r
+JOIN (SELECT *, CAST(greatest(0, trunc((cx - w / 2) * 8)) AS INT) AS x0, CAST(greatest(0, trunc((cy - h / 2) * 8)) AS INT) AS y0,
+        CAST(least(8, trunc((cx + w / 2) * 8)) AS INT) AS x1, CAST(least(8, trunc((cy + h / 2) * 8)) AS INT) AS y1 FROM v_rbox) b USING (sequence_id, frame_idx)
+CROSS JOIN (SELECT unnest({thresholds}) AS threshold) t"""
+
+
+RATIO = ratio_sql([10, 19, 30])
 
 
 @query(f"SELECT sequence_id, frame_idx, round(change_ratio, 6) AS change_ratio FROM ({RATIO}) WHERE pixel_threshold = 19")
