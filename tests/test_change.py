@@ -1,5 +1,7 @@
 """Summed-area tables, augmentation and window sums against plain versions."""
 
+import functools
+import operator
 import random
 
 import pytest
@@ -68,6 +70,15 @@ def test_windows_of_one_join(spark):
             assert got[s, f, n] == pytest.approx(max(sums) / (n + 1))
 
 
+def test_sums_of_windows_are_added_in_one_order(spark):
+    """Newest frame first, then by box, however the rows are dealt: sums in doubles depend on the order."""
+    conf = [0.1, 0.7, 0.3, 1e16, 0.2, -1e16, 0.9, 0.6]
+    rows = [(s, f, d, 0.5, 0.5, 0.3, 0.3, conf[2 * f + d]) for s in range(30) for f in range(4) for d in range(2)]
+    detections = spark.createDataFrame(rows, "sequence_id long, frame_idx int, det_idx int, cx double, cy double, w double, h double, confidence double").repartition(7, "confidence")
+    want = functools.reduce(operator.add, [conf[2 * f + d] for f in (3, 2, 1, 0) for d in range(2)]) / 5
+    assert {r.smoothed for r in smoothing.smoothed_windows(detections, [4]).where("frame_idx = 3").collect()} == {want}
+
+
 def test_mean_pool_over_a_mask(spark):
     rows = [(1, [1.0, 2.0], True), (1, [3.0, 6.0], True), (1, [9.0, 9.0], False), (2, [5.0, 5.0], False)]
     got = shape.mean_pool(spark.createDataFrame(rows, "k int, embedding array<float>, seen boolean"), ["k"], mask="seen").collect()
