@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import calibrated
-from . import shape, smoothing, tracking
+from . import ranks, shape, smoothing, tracking
 from .joins import attach_truth
 from .metrics import sequence_metrics
 from .tracking import by_sequence
@@ -137,7 +137,7 @@ def sanity_rows(features: DataFrame, coefficients: list[float], intercept: float
     """Three rows that span the probabilities: lowest, middle and highest, with their probability."""
     scored = features.select(*FEATURES, calibrated(FEATURES, coefficients, intercept).alias("prob"))
     distinct = scored.groupBy("prob").agg(F.min(F.struct(*FEATURES)).alias("x"))
-    middle = distinct.agg(F.percentile_approx("prob", 0.5, 1_000_000)).first()[0]
+    middle = ranks.values_at(distinct, [], "prob", {"middle": lambda n: F.ceil(n / 2) - 1}).first()["middle"]
     at = lambda order: distinct.orderBy(order).limit(1)
     picked = at(F.asc("prob")).unionByName(distinct.where(F.col("prob") == F.lit(middle)).limit(1)).unionByName(at(F.desc("prob")))
     return picked.select("x.*", "prob").distinct()

@@ -22,9 +22,11 @@ def _length() -> Column:
 
 
 def statistics(entries: DataFrame) -> DataFrame:
-    """length, mean_conf and max_conf of each tube. Interpolated entries count with their confidence 0, null ones don't."""
-    found = entries.groupBy("sequence_id", "tube_id").agg((F.max("frame_idx") - F.min("frame_idx") + 1).alias("length"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("mean_conf"), F.coalesce(F.max("confidence"), F.lit(0.0)).alias("max_conf"))
-    return found
+    """length, mean_conf and max_conf of each tube. Interpolated entries count with their confidence 0, null ones don't. Confidences are added in the order of frames, so equal tubes have equal means to the last bit."""
+    known = F.array_sort(F.collect_list(F.when(F.col("confidence").isNotNull(), F.struct("frame_idx", F.col("confidence").cast("double").alias("c")))))
+    found = entries.groupBy("sequence_id", "tube_id").agg((F.max("frame_idx") - F.min("frame_idx") + 1).alias("length"), known.alias("known"), F.coalesce(F.max("confidence"), F.lit(0.0)).alias("max_conf"))
+    mean = F.when(F.size("known") > 0, F.aggregate("known", F.lit(0.0), lambda a, x: a + x["c"]) / F.size("known")).otherwise(0.0)
+    return found.select("sequence_id", "tube_id", "length", mean.alias("mean_conf"), "max_conf")
 
 
 def score(rule: str, k: int = 1) -> Column:

@@ -1,6 +1,8 @@
 """Metrics, curves, thresholds, tube scores, calibrator: literal cases."""
 
+import functools
 import math
+import operator
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +91,18 @@ def test_calibrator_fit_is_the_penalised_optimum(spark):
         models.fit_calibrator(features.where("truth = 1"))
 
 
+def test_equal_tubes_have_equal_means(spark):
+    """However their entries are dealt, so the sanity rows are of the distinct tubes' probabilities."""
+    conf = [0.1, 0.7, 0.3, 1e16, 0.2, -1e16, 0.9, 0.6]
+    rows = [(t, 0, f, c) for t in range(40) for f, c in sorted(enumerate(conf), key=lambda x: (x[0] * (t + 3)) % 11)]
+    entries = spark.createDataFrame([*rows, (99, 0, 0, None)], "sequence_id long, tube_id int, frame_idx int, confidence double").repartition(7, "confidence")
+    found = {r.sequence_id: (r.length, r.mean_conf, r.max_conf) for r in tube_scores.statistics(entries).collect()}
+    assert found.pop(99) == (1, 0.0, 0.0)
+    assert set(found.values()) == {(8, functools.reduce(operator.add, conf) / 8, 1e16)}
+    features = spark.createDataFrame([(float(i), 0.0, 0.0, 0.0) for i in range(7)], "logit double, log_len double, mean_conf double, n_tubes double")
+    assert sorted(r.logit for r in models.sanity_rows(features, [0.1, 0.0, 0.0, 0.0], 0.0).collect()) == [0.0, 3.0, 6.0]
+
+
 def test_registry():
     with pytest.raises(KeyError, match="unknown model"):
         models.REGISTRY.load("nobody")
