@@ -1,9 +1,11 @@
 """Sweeps by classes of settings against one run of the linker for each setting."""
 
 import random
+import tracemalloc
 from itertools import product
 from statistics import mean, median
 
+import numpy as np
 import pytest
 
 from seqlens.operators import sweep
@@ -104,3 +106,31 @@ def test_a_class_is_run_once(spark):
     found = sweep.classes(limits, lambda iou, misses: sweep._run(gap, iou, misses, 3))
     assert len(found) == 2 and sorted(s for same, _ in found for s in same) == [s[0] for s in limits]
     assert sweep.classes(limits, lambda iou, misses: sweep._run([], iou, misses, 3))[0][1] == {}
+
+
+def test_long_sequences_are_read_through(tmp_path, monkeypatch):
+    """A run holds live tracks only, and a sequence beyond HELD bytes is read from a file in blocks that cut frames."""
+    limits = {"min_mean_confidence": [0.4], "min_area_change": [1.1]}
+
+    def peak(n):
+        tracemalloc.start()
+        # no box overlaps the one before, so every frame ends a track
+        best, _, _ = sweep._run(((at, [(at % 2, 0.5, 0.2, 0.2)], [at % 10 / 10]) for at in range(n)), 0.1, 0, 2, limits)
+        held = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert {k: v[0] for k, v in best.items()} == {(0, 0): 0, (1, 0): 4}
+        return held
+
+    assert peak(8000) < 2 * peak(800)
+    monkeypatch.setattr(sweep, "HELD", 1000)
+    monkeypatch.setattr(sweep, "TOGETHER", 7)
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", str(tmp_path))
+    frames = [(at, [(j / 10, 0.5, 0.2, 0.3) for j in range(at % 4)], [at / 100] * (at % 4)) for at in range(60)]
+    rows = sweep._Sequence()
+    for at, boxes, sure in frames:
+        held = [(at, True, (*b, s), at / 60) for b, s in zip(boxes, sure)] or [(at, False, [None] * 5, None)]
+        rows.add(np.array(held, sweep.ROW))
+    assert rows.file._rolled
+    assert list(rows.frames(lambda some: some["is_box"])) == frames
+    assert list(rows.frames(lambda some: some["is_box"] & (some["ratio"] >= 0.5))) == [(at, *(([], []) if at < 30 else x)) for at, *x in frames]
+    rows.close()
