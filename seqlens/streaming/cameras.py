@@ -47,21 +47,23 @@ def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 class _PerCamera(StatefulProcessor):
-    """What the processors share: `latest` (ts of the newest frame taken, and a count), and the timer that ends an idle camera's state."""
+    """What the processors share: `latest` (ts of the newest frame taken, a count, and what else a processor holds; one value, as every call for state is a round trip), and the timer that ends an idle camera's state."""
+
+    MORE = ""
 
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.latest = handle.getValueState("latest", "ts timestamp, n int")
+        self.latest = handle.getValueState("latest", "ts timestamp, n int" + self.MORE)
 
-    def before(self) -> tuple[pd.Timestamp | None, int]:
+    def before(self) -> tuple[pd.Timestamp | None, int, tuple]:
         held = self.latest.get()
-        return (pd.Timestamp(held[0]), held[1]) if held else (None, -1)
+        return (pd.Timestamp(held[0]), held[1], tuple(held[2:])) if held else (None, -1, ())
 
-    def after(self, ts: pd.Timestamp, n: int, is_new: bool) -> None:
-        self.latest.update((ts.to_pydatetime(), n))
+    def after(self, ts: pd.Timestamp, n: int, is_new: bool, *more) -> None:
+        self.latest.update((ts.to_pydatetime(), n, *more))
         if is_new:  # one timer a camera: it is set anew when it goes off too early
             self.handle.registerTimer(int(ts.timestamp() * 1000) + self.idle_ms)
 
@@ -69,7 +71,7 @@ class _PerCamera(StatefulProcessor):
         self.latest.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last, _ = self.before()
+        last, *_ = self.before()
         ends = int(last.timestamp() * 1000) + self.idle_ms if last is not None else 0
         if ends > timerValues.getCurrentWatermarkInMs():
             self.handle.registerTimer(ends)
@@ -82,35 +84,29 @@ class _PerCamera(StatefulProcessor):
 
 
 class _Judge(_PerCamera):
+    #: Frames kept within the lateness; ts in nanoseconds.
+    MORE = ", seen array<struct<frame_id: string, ts: long>>"
+
     def __init__(self, lateness_ms: int, idle_ms: int):
         super().__init__(idle_ms)
         self.lateness = pd.Timedelta(milliseconds=lateness_ms)
 
-    def init(self, handle) -> None:
-        super().init(handle)
-        self.seen = handle.getMapState("seen", "frame_id string", "ts timestamp")
-
-    def clear(self) -> None:
-        super().clear()
-        self.seen.clear()
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, _ = self.before()
+        last, _, more = self.before()
         is_new = last is None
         oldest = None if last is None else last - self.lateness
-        for k in [k for k, v in self.seen.iterator() if oldest is not None and pd.Timestamp(v[0]) < oldest]:
-            self.seen.removeKey(k)
+        seen = {} if is_new else {frame_id: ts for frame_id, ts in more[0] if ts >= oldest.value}
         frames, verdicts = _ordered(rows), []
         for frame_id, ts in zip(frames["frame_id"], frames["ts"]):
             if oldest is not None and ts < oldest:
                 verdicts.append("late")
-            elif self.seen.containsKey((frame_id,)):
+            elif frame_id in seen:
                 verdicts.append("repeated")
             else:
-                self.seen.updateValue((frame_id,), (ts.to_pydatetime(),))
+                seen[frame_id] = ts.value
                 verdicts.append("kept")
         newest = frames["ts"].max() if last is None else max(last, frames["ts"].max())
-        self.after(newest, 0, is_new)
+        self.after(newest, 0, is_new, list(seen.items()))
         yield frames[["camera", "frame_id", "ts"]].assign(verdict=verdicts)
 
 
@@ -120,7 +116,7 @@ class _Cutter(_PerCamera):
         self.gap = pd.Timedelta(milliseconds=gap_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, session = self.before()
+        last, session, _ = self.before()
         is_new = last is None
         frames, sessions = _ordered(rows), []
         for ts in frames["ts"]:
@@ -135,24 +131,18 @@ class _Cutter(_PerCamera):
 
 
 class _Tracker(_PerCamera):
+    MORE = ", live array<struct<id: int, cx: double, cy: double, w: double, h: double, streak: int, misses: int, done: boolean>>, born int"
+
     def __init__(self, min_iou: float, max_misses: int, min_consecutive: int, min_confidence: float, idle_ms: int):
         super().__init__(idle_ms)
         self.rules = (min_iou, max_misses)
         self.least, self.sure = min_consecutive, min_confidence
 
-    def init(self, handle) -> None:
-        super().init(handle)
-        self.tracks = handle.getValueState("tracks", "live array<struct<id: int, cx: double, cy: double, w: double, h: double, streak: int, misses: int, done: boolean>>, born int")
-
-    def clear(self) -> None:
-        super().clear()
-        self.tracks.clear()
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        linker, done, (last, at) = Linker(*self.rules), set(), self.before()
+        linker, done, (last, at, more) = Linker(*self.rules), set(), self.before()
         is_new = last is None
         if last is not None:
-            live, linker.born = self.tracks.get()
+            live, linker.born = more
             for t in live:
                 linker.live.append({"id": t[0], "box": tuple(t[1:5]), "streak": t[5], "misses": t[6]})
                 done |= {t[0]} if t[7] else set()
@@ -168,8 +158,7 @@ class _Tracker(_PerCamera):
                     done.add(track)
                     out.append((key[0], "confirmed", track, row.frame_id, row.ts, at))
         tracks = [(t["id"], *t["box"], t["streak"], t["misses"], t["id"] in done) for t in linker.live]
-        self.tracks.update((tracks, linker.born))
-        self.after(last, at, is_new)
+        self.after(last, at, is_new, tracks, linker.born)
         found = pd.DataFrame(out, columns=["camera", "kind", "track_id", "frame_id", "ts", "frame_idx"])
         yield found.astype({"track_id": "Int32", "frame_idx": "Int32"})
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 
 from seqlens.operators import tracking
@@ -63,3 +64,31 @@ def test_spans():
     assert cameras.milliseconds("10 minutes") == 600_000
     with pytest.raises(ValueError):
         cameras.milliseconds("soon")
+
+
+@pytest.mark.parametrize("processor", [cameras._Judge(60_000, 1000), cameras._Cutter(60_000, 1000), cameras._Tracker(0.2, 1, 2, 0.0, 1000)])
+def test_a_batch_reads_and_writes_state_once(processor):
+    """Every call for state is a round trip to the JVM, so their number mustn't grow with the frames."""
+    calls, held = [], {}
+
+    class Handle:
+        def getValueState(self, name, schema):
+            self.name = name
+            return self
+
+        def get(self):
+            calls.append("get")
+            return held.get(self.name)
+
+        def update(self, value):
+            calls.append("update")
+            held[self.name] = value
+
+        def registerTimer(self, at):
+            calls.append("timer")
+
+    processor.init(Handle())
+    batch = pd.DataFrame({"camera": 1, "frame_id": [f"{i}" for i in range(50)], "ts": [pd.Timestamp(T0) + pd.Timedelta(seconds=i) for i in range(50)], "detections": [[]] * 50})
+    for _ in range(2):
+        list(processor.handleInputRows((1,), iter([batch]), None))
+    assert calls == ["get", "update", "timer", "get", "update"]
