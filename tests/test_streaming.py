@@ -92,3 +92,66 @@ def test_a_batch_reads_and_writes_state_once(processor):
     for _ in range(2):
         list(processor.handleInputRows((1,), iter([batch]), None))
     assert calls == ["get", "update", "timer", "get", "update"]
+
+
+def test_cameras_of_a_group_share_a_state_value():
+    """Round trips mustn't grow with the cameras either; each has its own sessions, and the one timer of a group ends those that are idle."""
+    calls, held = [], []
+
+    class Handle:
+        now = 1_000_000
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            calls.append("get")
+            return held[-1] if held else None
+
+        def update(self, value):
+            calls.append("update")
+            held.append(value)
+
+        def clear(self):
+            calls.append("clear")
+            held.clear()
+
+        def registerTimer(self, at):
+            calls.append(at)
+
+        def deleteTimer(self, at):
+            calls.append(-at)
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    processor, handle = cameras._Cutter(60_000, 1000), Handle()
+    processor.init(handle)
+
+    def sent(*rows):
+        calls.clear()
+        batch = pd.DataFrame([(c, str(s), pd.Timestamp(s, unit="s")) for c, s in rows], columns=["camera", "frame_id", "ts"])
+        out = pd.concat(list(processor.handleInputRows((0,), iter([batch]), None)))
+        return [(r.camera, int(r.frame_id), r.session_id) for r in out.astype({"session_id": object}).itertuples()]
+
+    assert sent((7, 0), (2**53 + 1, 500), (7, 100), (2**53 + 1, 510), (7, 70)) == [(7, 0, 0), (7, 70, 1), (7, 100, 1), (2**53 + 1, 500, 0), (2**53 + 1, 510, 0)]
+    assert calls == ["get", "update", 101_000]
+    # an older camera comes in: the timer is set back; what is older than the last taken is late
+    assert sent((8, 40), (2**53 + 1, 505), (7, 200)) == [(7, 200, 2), (8, 40, 0), (2**53 + 1, 505, pd.NA)]
+    assert calls == ["get", "update", -101_000, 41_000]
+    calls.clear()
+    handle.now = 201_000
+    assert not list(processor.handleExpiredTimer((0,), handle, None))
+    assert calls == ["get", "update", 511_000]
+    assert sent((7, 520), (2**53 + 1, 600)) == [(7, 520, 0), (2**53 + 1, 600, 1)]
+    calls.clear()
+    handle.now = 601_000
+    assert not list(processor.handleExpiredTimer((0,), handle, None))
+    assert calls == ["get", "clear"]
+
+
+@pytest.mark.parametrize("groups", [1, 1024])
+def test_idle_cameras_of_one_group(spark, groups):
+    rows = [frame(1, 0, 0), frame(2, 0, 0), frame(2, 400, 1), frame(2, 800, 2), frame(1, 900, 3), frame(2, 900, 3)]
+    cut = streamed(spark, spark.createDataFrame(rows, FRAMES), lambda s: cameras.session_stream(s, "1 minute", idle="1 hour", groups=groups))
+    assert sorted((r.camera, int(r.frame_id[-3:]), r.session_id) for r in cut.collect()) == [(1, 0, 0), (1, 900, 0), (2, 0, 0), (2, 400, 1), (2, 800, 2), (2, 900, 3)]
