@@ -46,6 +46,11 @@ def sessions_batch(frames: DataFrame, gap_seconds: float) -> DataFrame:
     return frames.withColumn("new", apart).withColumn("session_id", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("new")
 
 
+def _plain(value):
+    """Rows in a state's value as tuples: the client writes back no Row that it has read."""
+    return [_plain(v) for v in value] if isinstance(value, list) else tuple(map(_plain, value)) if isinstance(value, tuple) else value
+
+
 class _PerCamera(StatefulProcessor):
     """What the processors share. A key is a group of cameras, and its state one value: of each camera the time of the newest frame taken (microseconds), a count, and what else a processor holds. Every call for state is a round trip, so a batch makes one to read and one to write for a whole group.
     One timer a group, at the earliest end of a camera; it ends those that are idle by then and is set anew for the next."""
@@ -69,7 +74,7 @@ class _PerCamera(StatefulProcessor):
 
     def before(self) -> tuple[int | None, dict[int | None, tuple]]:
         timer, cameras = self.state.get() or (None, [])
-        return timer, {camera: tuple(held) for camera, *held in cameras}
+        return timer, {camera: tuple(held) for camera, *held in _plain(cameras)}
 
     def after(self, timer: int | None, cameras: dict[int | None, tuple]) -> None:
         ends = min(last for last, *_ in cameras.values()) // 1000 + self.idle_ms
