@@ -134,3 +134,71 @@ def test_long_sequences_are_read_through(tmp_path, monkeypatch):
     assert list(rows.frames(lambda some: some["is_box"])) == frames
     assert list(rows.frames(lambda some: some["is_box"] & (some["ratio"] >= 0.5))) == [(at, *(([], []) if at < 30 else x)) for at, *x in frames]
     rows.close()
+
+
+def all_at_once(frames, grid, lanes):
+    """Of each matching setting and combination of later parameters: the frame of the first alarm, from one pass; frames as (frame_idx, boxes with confidence)."""
+    tracks, out = sweep._Tracks(lanes, sweep._After(grid)), {}
+    for at, boxes in frames:
+        tracks.step(at, [(*b, kept) for b in boxes if (kept := lanes.of_box(b[2] * b[3], b[4], float("nan")))])
+    for later, at, some in tracks.alarms():
+        for n in range(lanes.n):
+            if some >> n & 1:
+                assert (n, later) not in out
+                out[n, later] = at
+    return out
+
+
+def one_by_one(frames, grid, lanes):
+    """The same from a run of the linker for each setting."""
+    limits, out = {c: sorted(v for v in grid[c] if v is not None) for c in sweep.AFTER[1:]}, {}
+    for n, (confidence, max_area, iou, misses) in enumerate(lanes.settings):
+        kept = [(at, [b for b in boxes if b[4] >= confidence and (max_area is None or b[2] * b[3] <= max_area)]) for at, boxes in frames]
+        best, _, _ = sweep._run(((at, [b[:4] for b in boxes], [b[4] for b in boxes]) for at, boxes in kept), iou, misses, max(grid["min_consecutive"]), limits)
+        for later, (streak, *least) in enumerate(product(*[grid[c] for c in sweep.AFTER])):
+            passed = [held[streak - 1] for ranks, held in best.items() if all(v is None or limits[c].index(v) < rank for c, v, rank in zip(sweep.AFTER[1:], least, ranks))]
+            if passed and min(passed) != sweep.NEVER:
+                out[n, later] = min(passed)
+    return out
+
+
+@pytest.mark.parametrize("ends", [3, 20_000])
+def test_all_settings_in_one_pass(monkeypatch, ends):
+    """Boxes on a coarse grid, so overlaps tie, some without a confidence or a width: one pass for all settings gives what a run for each gives, and compares a pair of boxes once."""
+    monkeypatch.setattr(sweep, "ENDS", ends)
+    plain_iou, compared = sweep.box_iou, []
+    monkeypatch.setattr(sweep, "box_iou", lambda a, b: compared.append((a, b)) or plain_iou(a, b))
+    lanes, rng = sweep._Lanes(sweep.WHOLE), random.Random(5)
+    for _ in range(12):
+        some = lambda v: float("nan") if rng.random() < 0.03 else v
+        frames = [(3 * at, [(rng.randrange(5) / 10, rng.randrange(3) / 10, some(rng.choice([0.2, 0.3])), rng.choice([0.2, 0.3, 0.6]), some(rng.randrange(1, 9) / 10)) for _ in range(rng.randrange(5))]) for at in range(14)]
+        compared.clear()
+        got = all_at_once(frames, sweep.WHOLE, lanes)
+        sizes = [len(boxes) for _, boxes in frames]
+        assert len(compared) <= sum(sizes[i] * sum(sizes[max(0, i - 3) : i]) for i in range(len(sizes)))
+        assert got == one_by_one(frames, sweep.WHOLE, lanes)
+
+
+def test_ends_that_decide_nothing_are_dropped(monkeypatch):
+    """What a long sequence leaves behind doesn't grow with its length."""
+    monkeypatch.setattr(sweep, "ENDS", 50)
+    tracks = sweep._Tracks(sweep._Lanes(sweep.WHOLE), sweep._After(sweep.WHOLE))
+    for at in range(4000):
+        # no box overlaps the one before, so every frame ends a track
+        tracks.step(at, [(at % 4, 0.5, 0.2, 0.2, 0.1 + at % 9 / 10, tracks.lanes.of_box(0.04, 0.1 + at % 9 / 10, 0.0))])
+        assert len(tracks.ends) < 500 and len(tracks.live) < 5
+    assert {at for _, at, _ in tracks.alarms()} <= set(range(9))
+
+
+def test_counts_of_all_settings():
+    """Digits of counts, and lists added up over partitions."""
+    counts, want, rng = sweep._Counts(11), np.zeros(11, int), random.Random(1)
+    for _ in range(300):
+        some = rng.getrandbits(11) & ~4
+        counts.add((1, 2, True, 7), some)
+        want += [some >> n & 1 for n in range(11)]
+    (batch,) = counts.batches()
+    assert batch.column(4).to_pylist() == [want.tolist()] and not counts.digits
+    rows = next(sweep._summed(11)(iter([batch, batch]))).to_pylist()
+    assert [(r["setting"] - 11, r["n"]) for r in rows] == [(n, 2 * want[n]) for n in range(11) if n != 2]
+    assert all((r["later"], r["is_positive_gt"], r["trigger_frame_index"]) == (2, True, 7) for r in rows)
